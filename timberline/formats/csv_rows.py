@@ -21,7 +21,8 @@ NOT_COMPONENTS = ["debug", "trace", "info", "notice", "warn", "warning", "error"
 
 def _parse(df: DataFrame, active: Column, ctx: ParseContext):
     raw, cols = F.col("raw_line"), F.col("_csv_cols")
-    header = F.col("line_number") == 1
+    # Live lines may come without a number.
+    header = F.coalesce(F.col("line_number") == 1, F.lit(False))
     df = df.withColumn("_csv_cols", F.when(active & ~header, split_csv_row(raw)))
 
     def time_of(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed value: what looks like an error code in a message.
 TOKEN_PATTERN = r"(0x[0-9A-Fa-f]{4,}|errno=\d+|OSStatus\s-?\d+|error\s-?\d+|kIOReturn\w*|-\d{6,})"
 
-INT32_MIN, INT32_MAX, UINT32_MAX = -(2**31), 2**31 - 1, 2**32 - 1
+INT32_MAX, UINT32_MAX = 2**31 - 1, 2**32 - 1
 
 
 def extract_error_tokens(message: Column) -> Column:
@@ -28,13 +28,11 @@ def parse_code(text: Column) -> Column:
     return F.when(t.rlike(r"^0[xX]"), signed).when(t.rlike(r"^[+-]?\d+$"), t.try_cast("long"))
 
 
-def clamp_int32(code: Column) -> Column:
-    return F.least(F.greatest(code, F.lit(INT32_MIN)), F.lit(INT32_MAX))
-
-
 def code_hex(code: Column, domain: Column) -> Column:
     """``0x%X`` of the 32-bit pattern; IOReturn is padded to eight; HTTP and gRPC have none."""
-    pattern = code.bitwiseAND(F.lit(UINT32_MAX))
-    return F.when(domain == "IOReturn", F.format_string("0x%08X", pattern)).when(
-        ~domain.isin("HTTP", "gRPC"), F.format_string("0x%X", pattern)
+    pattern = code.cast("long").bitwiseAND(F.lit(UINT32_MAX))
+    return (
+        F.when(code.isNull() | domain.isin("HTTP", "gRPC"), F.lit(None).cast("string"))
+        .when(domain == "IOReturn", F.format_string("0x%08X", pattern))
+        .otherwise(F.format_string("0x%X", pattern))
     )

@@ -50,13 +50,22 @@ def parse_json_object(text: Column) -> Column:
 
 
 def json_get_ci(obj: Column, keys: list[str]) -> Column:
-    """Value of the first key present, each tried exactly and then in any case."""
-    # Objects whose keys are all lower case, by far the most, skip the any-case scan.
-    cased = F.when(F.exists(F.map_keys(obj), lambda k: k != F.lower(k)), F.map_entries(obj))
+    """Value of the first key present, each tried exactly and then in any case.
 
-    def any_case(key: str) -> Column:
-        entries = cased if key == key.lower() else F.map_entries(obj)
-        found = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(key.lower()))
-        return F.get(found, F.lit(0))["value"]
-
-    return F.coalesce(*[get(key) for key in keys for get in (lambda k: F.element_at(obj, F.lit(k)), any_case)])
+    One pass over the object's members ranks those asked for; null members count as absent.
+    """
+    exact = F.array(*[F.lit(k) for k in keys])
+    low = F.array(*[F.lit(k.lower()) for k in keys])
+    wanted = F.filter(
+        F.map_entries(obj),
+        lambda e: F.lower(e["key"]).isin(*sorted({k.lower() for k in keys})) & e["value"].isNotNull(),
+    )
+    ranked = F.transform(
+        wanted,
+        lambda e: F.struct(
+            F.array_position(low, F.lower(e["key"])).alias("at"),
+            F.when(F.array_contains(exact, e["key"]), 0).otherwise(1).alias("inexact"),
+            e["value"].alias("value"),
+        ),
+    )
+    return F.array_min(ranked)["value"]

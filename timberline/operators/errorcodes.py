@@ -20,7 +20,7 @@ from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, Code, built
 MATCH_TYPE = T.StructType(
     [
         T.StructField("domain", T.StringType()),
-        T.StructField("code", T.LongType()),
+        T.StructField("code", T.IntegerType()),
         T.StructField("symbol", T.StringType()),
         T.StructField("description", T.StringType()),
     ]
