@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.schema import PARSED_FIELDS
+from timberline.settle import settle, staged
+
+__all__ = ["LogFormat", "ParseContext", "Sample", "fields", "settle", "staged", "struct_parse"]
 
 
 @dataclass(frozen=True)
@@ -79,16 +82,6 @@ def struct_parse(make: Callable[[Column, Column], Column]) -> Parse:
     return parse
 
 
-def settle(column: Column) -> Column:
-    """Keep a later filter above this projection.
-
-    Spark copies the expressions behind a column into any filter on it and would run the whole
-    parse twice, once to filter and once to project. An expression tied to the partition number
-    is not copied; the condition itself always holds.
-    """
-    return F.when(F.spark_partition_id() >= 0, column)
-
-
 def fields(**given: Column) -> dict[str, Column]:
     """Parsed fields with the absent ones null."""
     return {name: given.get(name, F.lit(None)) for name in PARSED_FIELDS}

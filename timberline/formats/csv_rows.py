@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, fields
+from timberline.formats.base import LogFormat, ParseContext, Sample, fields, staged
 from timberline.functions import levels as L
 from timberline.functions.text import split_csv_row, trim_blanks
-from timberline.functions.times import parse_timestamp
+from timberline.functions.times import is_timestamp, parse_timestamp
 from timberline.schema import DEBUG
 
 # Header names that make a table a log.
@@ -23,30 +23,30 @@ def _parse(df: DataFrame, active: Column, ctx: ParseContext):
     raw, cols = F.col("raw_line"), F.col("_csv_cols")
     # Live lines may come without a number.
     header = F.coalesce(F.col("line_number") == 1, F.lit(False))
-    df = df.withColumn("_csv_cols", F.when(active & ~header, split_csv_row(raw)))
+    df = staged(df, _csv_cols=F.when(active & ~header, split_csv_row(raw)))
 
-    def time_of(value: Column) -> Column:
-        return parse_timestamp(trim_blanks(value), "csv", ctx.tz)
+    df = staged(df, _csv_bare=F.transform(cols, trim_blanks))
+    bare = F.col("_csv_bare")
 
     def column_level(value: Column) -> Column:
-        return L.word_level(F.lower(trim_blanks(value)), L.CSV_LEVEL_WORDS)
+        return L.word_level(F.lower(value), L.CSV_LEVEL_WORDS)
 
-    named = F.get(F.filter(F.transform(cols, column_level), lambda v: v.isNotNull()), F.lit(0))
+    named = F.get(F.filter(F.transform(bare, column_level), lambda v: v.isNotNull()), F.lit(0))
     middle = F.slice(cols, F.lit(2), F.greatest(F.size(cols) - 2, F.lit(0)))
     short = F.filter(
         middle,
         lambda v: (F.length(v) > 0)
         & (F.length(v) < 50)
-        & time_of(v).isNull()
+        & ~is_timestamp(trim_blanks(v), "csv", ctx.tz)
         & ~F.lower(trim_blanks(v)).isin(*NOT_COMPONENTS),
     )
-    longest = F.array_max(F.transform(cols, lambda v: F.length(v)))
+    df = staged(df, _csv_longest=F.array_max(F.transform(cols, lambda v: F.length(v))))
     return df, fields(
-        timestamp=F.coalesce(*[time_of(F.get(cols, F.lit(i))) for i in range(3)]),
+        timestamp=F.coalesce(*[parse_timestamp(F.get(bare, F.lit(i)), "csv", ctx.tz) for i in range(3)]),
         level=F.when(active & header, F.lit(DEBUG))
         .when(active, F.coalesce(named, L.detect_level(F.array_join(cols, " ")))),
         message=F.when(header, F.concat(F.lit("CSV Header: "), raw)).otherwise(
-            F.get(F.filter(cols, lambda v: F.length(v) == longest), F.lit(0))
+            F.get(F.filter(cols, lambda v: F.length(v) == F.col("_csv_longest")), F.lit(0))
         ),
         component=F.when(F.size(cols) > 3, F.get(short, F.lit(0))),
     )

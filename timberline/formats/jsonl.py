@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, fields
+from timberline.formats.base import LogFormat, ParseContext, Sample, fields, staged
 from timberline.functions import levels as L
-from timberline.functions.text import basename, json_get_ci, parse_json_object, trim_blank_lines
+from timberline.functions.text import (
+    basename,
+    has_cased_keys,
+    json_get_ci,
+    parse_json_object,
+    trim_blank_lines,
+)
 from timberline.functions.times import epoch_number, parse_timestamp
 from timberline.schema import INFO
 
@@ -23,23 +29,24 @@ ARRAY_KEYS = ["timestamp", "level", "message", "severity", "eventMessage", "mess
 
 def _parse(df: DataFrame, active: Column, ctx: ParseContext):
     raw, obj = F.col("raw_line"), F.col("_json_obj")
-    df = df.withColumn("_json_obj", F.when(active, parse_json_object(trim_blank_lines(raw))))
-    df = df.withColumns(
-        {
-            "_json_time": json_get_ci(obj, TIME_KEYS),
-            "_json_level": json_get_ci(obj, LEVEL_KEYS),
-        }
-    )
+    df = staged(df, _json_text=F.when(active, trim_blank_lines(raw)))
+    df = staged(df, _json_obj=parse_json_object(F.col("_json_text")))
+    df = staged(df, _json_cased=has_cased_keys(obj))
+
+    def get(keys: list[str]) -> Column:
+        return json_get_ci(obj, keys, F.col("_json_cased"))
+
+    df = staged(df, _json_time=get(TIME_KEYS), _json_level=get(LEVEL_KEYS))
     time, level = F.col("_json_time"), F.col("_json_level")
-    said = F.coalesce(json_get_ci(obj, ["message", "msg"]), F.lit(""))
+    said = F.coalesce(get(["message", "msg"]), F.lit(""))
     return df, fields(
         timestamp=F.coalesce(parse_timestamp(time, "json", ctx.tz), epoch_number(time)),
         level=F.when(obj.isNull(), L.detect_level(raw))
         .when(level.isNull(), L.detect_level(said))
         .otherwise(F.coalesce(L.word_level(F.lower(level), L.JSON_LEVEL_WORDS), F.lit(INFO))),
-        message=F.coalesce(json_get_ci(obj, MESSAGE_KEYS), raw),
-        component=json_get_ci(obj, COMPONENT_KEYS),
-        thread_id=json_get_ci(obj, THREAD_KEYS),
+        message=F.coalesce(get(MESSAGE_KEYS), raw),
+        component=get(COMPONENT_KEYS),
+        thread_id=get(THREAD_KEYS),
     )
 
 
@@ -69,7 +76,8 @@ JSON = LogFormat("json", _score, _parse)
 def _parse_unified(df: DataFrame, active: Column, ctx: ParseContext):
     raw, obj = F.col("raw_line"), F.col("_unified_obj")
     text = F.btrim(trim_blank_lines(raw), F.lit("[],"))
-    df = df.withColumn("_unified_obj", F.when(active, parse_json_object(text)))
+    df = staged(df, _unified_text=F.when(active, text))
+    df = staged(df, _unified_obj=parse_json_object(F.col("_unified_text")))
 
     def member(name: str) -> Column:
         return F.element_at(obj, F.lit(name))

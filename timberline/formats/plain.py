@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, fields
+from timberline.formats.base import LogFormat, ParseContext, Sample, fields, staged
 from timberline.functions import levels as L
-from timberline.functions.text import trim_blanks
+from timberline.functions.text import captured, trim_blanks
 from timberline.functions.times import parse_timestamp, yearless_timestamp
 from timberline.schema import INFO
 
@@ -63,80 +63,87 @@ def line_shape(text: Column) -> Column:
     )
 
 
-def _groups(text: Column, shape: Column, wanted: dict[int, tuple[str, int]]) -> Column:
+# Per shape: its pattern, how many groups it has, and which of them hold the time, the name, the
+# level tag and the rest of the line.
+_GROUPS = {
+    1: (BSD_SYSLOG, 5, {"time": 1, "name": 3, "tag": 4, "body": 5}),
+    2: (APPLE_DAEMON, 3, {"time": 1, "name": 2, "body": 3}),
+    3: (DATED_SYSLOG, 4, {"time": 1, "name": 3, "body": 4}),
+    4: (BRACKETED, 4, {"time": 1, "inner": 2, "tag": 3, "body": 4}),
+    5: (PREFIX_TAGGED, 3, {"time": 2, "name": 1, "body": 3}),
+    6: (LOGFMT, 4, {"time": 1, "tag": 2, "quoted": 3, "body": 4}),
+    7: (DATED_COMPONENT, 3, {"time": 1, "name": 2, "body": 3}),
+    8: (ISO, 2, {"time": 1, "body": 2}),
+}
+
+
+def _part(role: str) -> Column:
     out = None
-    for number, (pattern, group) in wanted.items():
-        value = F.regexp_extract(text, pattern, group)
-        out = (out.when if out is not None else F.when)(shape == number, value)
+    for shape, (_, _, roles) in _GROUPS.items():
+        if role in roles:
+            value = F.get(F.col("_plain_line.parts"), F.lit(roles[role] - 1))
+            out = (out.when if out is not None else F.when)(F.col("_plain_line.shape") == shape, value)
     return out
 
 
 def _parse(df: DataFrame, active: Column, ctx: ParseContext):
-    c = {n: F.col(f"_plain_{n}") for n in (
-        "text", "shape", "time", "name", "tag", "inner", "body", "prefixed", "level", "said"
-    )}
-    df = df.withColumn("_plain_text", F.when(active, trim_blanks(F.col("raw_line"))))
-    df = df.withColumn("_plain_shape", line_shape(c["text"]))
-    text, shape = c["text"], c["shape"]
-    quoted = F.regexp_extract(text, LOGFMT, 3)
-    df = df.withColumns(
-        {
-            "_plain_time": _groups(text, shape, {
-                1: (BSD_SYSLOG, 1), 2: (APPLE_DAEMON, 1), 3: (DATED_SYSLOG, 1), 4: (BRACKETED, 1),
-                5: (PREFIX_TAGGED, 2), 6: (LOGFMT, 1), 7: (DATED_COMPONENT, 1), 8: (ISO, 1),
-            }),
-            "_plain_name": _groups(text, shape, {
-                1: (BSD_SYSLOG, 3), 2: (APPLE_DAEMON, 2), 3: (DATED_SYSLOG, 3),
-                5: (PREFIX_TAGGED, 1), 7: (DATED_COMPONENT, 2),
-            }),
-            "_plain_tag": _groups(text, shape, {1: (BSD_SYSLOG, 4), 4: (BRACKETED, 3), 6: (LOGFMT, 2)}),
-            "_plain_inner": _groups(text, shape, {4: (BRACKETED, 2)}),
-            "_plain_body": F.when(
-                shape == 6,
-                F.when(
-                    text.rlike(r'\smsg="'), F.replace(quoted, F.lit(r"\""), F.lit('"'))
-                ).otherwise(F.regexp_extract(text, LOGFMT, 4)),
-            )
-            .when(shape >= 9, text)
-            .otherwise(_groups(text, shape, {
-                1: (BSD_SYSLOG, 5), 2: (APPLE_DAEMON, 3), 3: (DATED_SYSLOG, 4), 4: (BRACKETED, 4),
-                5: (PREFIX_TAGGED, 3), 7: (DATED_COMPONENT, 3), 8: (ISO, 2),
-            })),
-        }
+    text, shape = F.col("_plain_text"), F.col("_plain_shape")
+    # Each step is a projection of its own, so that no pattern runs twice for one line.
+    df = staged(df, _plain_text=F.when(active, trim_blanks(F.col("raw_line"))))
+    df = staged(df, _plain_shape=line_shape(text))
+    parts = None
+    for number, (pattern, groups, _) in _GROUPS.items():
+        found = captured(text, pattern, groups)
+        parts = (parts.when if parts is not None else F.when)(shape == number, found)
+    # Passing through a generator, of one row per line, cuts the expressions above off from the
+    # patterns below. The planner traces join keys down to the scan by substitution, which over
+    # this many steps would not end.
+    line = F.struct(shape.alias("shape"), parts.alias("parts"))
+    df = df.select("*", F.explode(F.array(line)).alias("_plain_line"))
+    shape = F.col("_plain_line.shape")
+
+    unescaped = F.replace(_part("quoted"), F.lit(r"\""), F.lit('"'))
+    inner = _part("inner")
+    time = F.regexp_replace(_part("time"), r"\s+", " ")
+    df = staged(
+        df,
+        _plain_time=F.when(shape == 3, time).otherwise(_part("time")),
+        _plain_words=F.when(shape <= 2, F.split(_part("time"), r"\s+")),
+        _plain_tag=F.when(inner != "", trim_blanks(inner)).otherwise(trim_blanks(_part("tag"))),
+        _plain_body=F.when(shape >= 9, text)
+        .when((shape == 6) & text.rlike(r'\smsg="'), unescaped)
+        .otherwise(_part("body")),
     )
-    body, inner = c["body"], c["inner"]
-    tag = F.when(inner != "", trim_blanks(inner)).otherwise(trim_blanks(c["tag"]))
-    marked = L.interpret_bracket_tag(tag)
-    named = F.when(shape.isin(1, 6), L.recognized_level(c["tag"])).when(shape == 4, marked["level"])
-    df = df.withColumns(
-        {
-            "_plain_level": named,
-            "_plain_prefixed": F.coalesce(
-                shape.isin(1, 3, 5, 7, 8, 9) & ~((shape == 1) & named.isNotNull()) & L.has_level_prefix(body),
-                F.lit(False),
-            ),
-        }
+    body, tag = F.col("_plain_body"), F.col("_plain_tag")
+    df = staged(df, _plain_marked=F.when(shape == 4, L.interpret_bracket_tag(tag)))
+    marked = F.col("_plain_marked")
+    df = staged(
+        df, _plain_level=F.when(shape.isin(1, 6), L.recognized_level(tag)).when(shape == 4, marked["level"])
     )
-    prefixed = c["prefixed"]
+    named = F.col("_plain_level")
+    may_lead = shape.isin(3, 5, 7, 8, 9) | ((shape == 1) & named.isNull())
+    df = staged(df, _plain_prefix=F.when(may_lead, L.level_prefix(body)))
+    prefix = F.col("_plain_prefix")
+
     level = (
         F.when(shape.isNull(), F.lit(None).cast("int"))
-        .when(c["level"].isNotNull(), c["level"])
+        .when(named.isNotNull(), named)
         .when(shape == 6, F.lit(INFO))
-        .when(prefixed, L.recognized_level(L.prefix_word(body)))
+        .when(prefix.isNotNull(), L.recognized_level(F.get(prefix, F.lit(0))))
         .otherwise(L.detect_level(body))
     )
-    # Years are inferred only on the two shapes without one.
-    time = F.when(shape <= 2, yearless_timestamp(c["time"], ctx.now, ctx.tz)).otherwise(
-        parse_timestamp(F.regexp_replace(c["time"], r"\s+", " "), "plain", ctx.tz)
-    )
     component = (
-        F.when(shape == 3, trim_blanks(c["name"]))
+        F.when(shape == 3, trim_blanks(_part("name")))
         .when(shape == 4, marked["component"])
-        .when(shape.isin(8, 9), F.when(prefixed, L.prefix_component(body)))
-        .otherwise(c["name"])
+        .when(shape >= 8, F.nullif(F.get(prefix, F.lit(1)), F.lit("")))
+        .otherwise(_part("name"))
+    )
+    # Years are inferred only on the two shapes without one.
+    moment = F.when(shape <= 2, yearless_timestamp(F.col("_plain_words"), ctx.now, ctx.tz)).otherwise(
+        parse_timestamp(F.col("_plain_time"), "plain", ctx.tz)
     )
-    message = F.when(prefixed, L.prefix_message(body)).otherwise(body)
-    return df, fields(timestamp=time, level=level, message=message, component=component)
+    message = F.coalesce(F.get(prefix, F.lit(2)), body)
+    return df, fields(timestamp=moment, level=level, message=message, component=component)
 
 
 def _score(sample: Sample) -> Column:

@@ -12,6 +12,7 @@ from timberline.formats.plain import PLAIN
 from timberline.formats.reports import DIAG, IPS
 from timberline.formats.sccm import SCCM
 from timberline.schema import LOG_SCHEMA, PARSED_FIELDS
+from timberline.session import prefer_compiled
 
 SAMPLE_LINES = 50
 
@@ -83,6 +84,7 @@ def parse_logs(
     its measured size, and otherwise splits a source that holds most of the lines.
     """
     ctx = ParseContext(tz, now, honor_offset)
+    prefer_compiled(lines.sparkSession)
     if format in ("auto", "column"):
         chosen = formats()
         if lines.isStreaming:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, fields
+from timberline.formats.base import LogFormat, ParseContext, Sample, fields, staged
 from timberline.functions import levels as L
 from timberline.functions.text import parse_json_object, trim_blanks
 from timberline.functions.times import parse_timestamp
@@ -93,9 +93,10 @@ def _parse_diag(df: DataFrame, active: Column, ctx: ParseContext):
     raw, default = F.col("raw_line"), F.col(DIAG.header_column())
     shape = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s*[+-]\d{4})?)"
     inline = F.regexp_replace(F.regexp_extract(F.substring(raw, 1, 30), shape, 1), r"\s+", " ")
+    df = staged(df, _diag_inline=F.when(active, inline))
     known = default.isNotNull()
     return df, fields(
-        timestamp=F.when(known, F.coalesce(parse_timestamp(inline, "report", ctx.tz), default)),
+        timestamp=F.when(known, F.coalesce(parse_timestamp(F.col("_diag_inline"), "report", ctx.tz), default)),
         level=F.when(known, L.report_level(raw)).otherwise(F.lit(INFO)),
         message=raw,
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, fields
+from timberline.formats.base import LogFormat, ParseContext, Sample, fields, staged
 from timberline.functions import levels as L
+from timberline.functions.text import captured
 from timberline.functions.times import parse_timestamp
 from timberline.schema import INFO
 
@@ -18,33 +19,34 @@ TRACE = (
 
 
 def _parse(df: DataFrame, active: Column, ctx: ParseContext):
-    raw, hit = F.col("raw_line"), F.col("_sccm_hit")
-    df = df.withColumn("_sccm_hit", F.when(active, raw.rlike(TRACE)))
+    raw, parts = F.col("raw_line"), F.col("_sccm_parts")
+    whole = TRACE.replace("(?s)", "(?s)^.*?") + ".*$"
+    df = staged(df, _sccm_parts=F.when(active & raw.rlike(TRACE), captured(raw, whole, 7)))
 
     def group(n: int) -> Column:
-        return F.when(hit, F.regexp_extract(raw, TRACE, n))
+        return F.get(parts, F.lit(n - 1))
 
-    def filled(n: int) -> Column:
-        return F.nullif(group(n), F.lit(""))
-
-    clock = F.regexp_extract(group(2), r"^[\d:.]+", 0)
-    clock = F.when(clock == "", group(2)).otherwise(clock)
-    time = parse_timestamp(F.concat_ws(" ", group(3), clock), "sccm", ctx.tz)
+    # The clock up to its offset, which is discarded unless asked for.
+    clock = F.nullif(F.regexp_extract(group(2), r"^[\d:.]+", 0), F.lit(""))
+    df = staged(df, _sccm_time=F.concat_ws(" ", group(3), F.coalesce(clock, group(2))))
+    text = F.col("_sccm_time")
+    time = parse_timestamp(text, "sccm", ctx.tz)
     if ctx.honor_offset:
         # The suffix is minutes to add to local time to reach UTC.
         minutes = F.regexp_extract(group(2), r"([+-]\d{1,4})$", 1).try_cast("int")
-        utc = parse_timestamp(F.concat_ws(" ", group(3), clock), "sccm", "UTC")
+        utc = parse_timestamp(text, "sccm", "UTC")
         shifted = F.timestamp_micros(F.unix_micros(utc) + minutes.cast("long") * 60_000_000)
         time = F.when(minutes.isNotNull(), shifted).otherwise(time)
+    hit = parts.isNotNull()
     return df, fields(
         timestamp=F.when(hit, time),
         level=F.when(hit, F.coalesce(L.word_level(group(5), L.SCCM_TYPES), F.lit(INFO))).otherwise(
             L.detect_level(raw)
         ),
-        message=F.when(hit, group(1)).otherwise(raw),
-        component=filled(4),
+        message=F.coalesce(group(1), raw),
+        component=F.nullif(group(4), F.lit("")),
         thread_id=group(6),
-        source_ref=filled(7),
+        source_ref=F.nullif(group(7), F.lit("")),
     )
 
 

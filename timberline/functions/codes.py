@@ -22,10 +22,9 @@ def parse_code(text: Column) -> Column:
     Hexadecimal values with only the 32-bit sign bit range are read as negative 32-bit numbers.
     """
     t = F.trim(text)
-    digits = F.regexp_extract(t, r"^0[xX]0*([0-9A-Fa-f]{1,15}|7[0-9A-Fa-f]{15})$", 1)
-    value = F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long")
+    value = F.conv(F.substring(t, 3, 40), 16, 10).try_cast("long")
     signed = F.when((value > INT32_MAX) & (value <= UINT32_MAX), value - 2**32).otherwise(value)
-    return F.when(t.rlike(r"^0[xX]"), signed).when(t.rlike(r"^[+-]?\d+$"), t.try_cast("long"))
+    return F.when(t.rlike(r"^0[xX][0-9A-Fa-f]+$"), signed).otherwise(t.try_cast("long"))
 
 
 def code_hex(code: Column, domain: Column) -> Column:

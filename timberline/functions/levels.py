@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.text import captured
 from timberline.schema import CRITICAL, DEBUG, ERROR, INFO, NOTICE, WARNING
 
 # Keywords looked for as whole words in free text, strongest set first.
@@ -106,29 +107,18 @@ def report_level(line: Column) -> Column:
     return out.otherwise(F.lit(INFO))
 
 
-def has_level_prefix(text: Column) -> Column:
-    return text.rlike(LEVEL_PREFIX)
-
-
-def prefix_word(text: Column) -> Column:
-    return F.regexp_extract(text, LEVEL_PREFIX, 1)
-
-
-def prefix_component(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, LEVEL_PREFIX, 2), F.lit(""))
-
-
-def prefix_message(text: Column) -> Column:
-    return F.regexp_extract(text, LEVEL_PREFIX, 3)
+def level_prefix(text: Column) -> Column:
+    """Array (level word, component or "", message) of a text with a level prefix, else null."""
+    return F.when(text.rlike(LEVEL_PREFIX), captured(text, LEVEL_PREFIX, 3))
 
 
 def parse_level_and_component(text: Column) -> Column:
     """Struct (level, message, component) of a text that may start with a level word."""
-    hit = has_level_prefix(text)
+    parts = level_prefix(text)
     return F.struct(
-        F.when(hit, recognized_level(prefix_word(text))).otherwise(detect_level(text)).alias("level"),
-        F.when(hit, prefix_message(text)).otherwise(text).alias("message"),
-        F.when(hit, prefix_component(text)).alias("component"),
+        F.coalesce(recognized_level(F.get(parts, F.lit(0))), detect_level(text)).alias("level"),
+        F.coalesce(F.get(parts, F.lit(2)), text).alias("message"),
+        F.nullif(F.get(parts, F.lit(1)), F.lit("")).alias("component"),
     )
 
 

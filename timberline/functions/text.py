@@ -42,6 +42,20 @@ def split_csv_row(text: Column) -> Column:
     return F.split(F.array_join(pieces, ""), _FIELD_BREAK)
 
 
+_NUL = "\u0000"
+
+
+def captured(text: Column, pattern: str, groups: int) -> Column:
+    """Array of the capture groups of a pattern that is known to match all of ``text``.
+
+    One run of the pattern instead of one per group: the groups are written out with a separator
+    and split again. A text that itself has the separator takes the slow way.
+    """
+    joined = F.regexp_replace(text, pattern, _NUL.join(f"${i}" for i in range(1, groups + 1)))
+    each = F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, groups + 1)])
+    return F.when(text.contains(_NUL), each).otherwise(F.split(joined, _NUL))
+
+
 def parse_json_object(text: Column) -> Column:
     """Map of a JSON object's members as text; null when ``text`` is not one object."""
     return F.when(
@@ -49,11 +63,20 @@ def parse_json_object(text: Column) -> Column:
     )
 
 
-def json_get_ci(obj: Column, keys: list[str]) -> Column:
+def has_cased_keys(obj: Column) -> Column:
+    """Whether any key of a JSON object has capitals."""
+    return F.exists(F.map_keys(obj), lambda k: k != F.lower(k))
+
+
+def json_get_ci(obj: Column, keys: list[str], cased: Column | None = None) -> Column:
     """Value of the first key present, each tried exactly and then in any case.
 
-    One pass over the object's members ranks those asked for; null members count as absent.
+    Null members count as absent. ``cased`` is :func:`has_cased_keys`, as a column when several
+    lookups share it: objects without capitals, the most, need plain lookups only.
     """
+    cased = has_cased_keys(obj) if cased is None else cased
+    forms = [form for k in keys for form in dict.fromkeys([k, k.lower()])]
+    plain = F.coalesce(*[F.element_at(obj, F.lit(form)) for form in forms])
     exact = F.array(*[F.lit(k) for k in keys])
     low = F.array(*[F.lit(k.lower()) for k in keys])
     wanted = F.filter(
@@ -68,4 +91,4 @@ def json_get_ci(obj: Column, keys: list[str]) -> Column:
             e["value"].alias("value"),
         ),
     )
-    return F.array_min(ranked)["value"]
+    return F.when(cased, F.array_min(ranked)["value"]).otherwise(plain)

@@ -4,50 +4,75 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}:\d{2}(?:\.\d+)?"
-_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)"
-
-# Which timestamp texts each format accepts.
-ACCEPTED = {
-    "plain": rf"^{_DATE}[T ]{_CLOCK}{_OFFSET}?$",
-    "json": rf"^{_DATE}(?:T{_CLOCK}(?:Z|[+-]\d{{2}}:?\d{{2}})| {_CLOCK})$",
-    "csv": rf"^(?:{_DATE}(?:T{_CLOCK}(?:Z|[+-]\d{{2}}:?\d{{2}})| {_CLOCK})|\d{{2}}/\d{{2}}/\d{{4}} \d{{2}}:\d{{2}}:\d{{2}})$",
-    "unified": rf"^{_DATE} {_CLOCK}(?:Z|[+-]\d{{2}}:?\d{{2}})?$",
-    "report": rf"^{_DATE} {_CLOCK}(?: ?(?:Z|[+-]\d{{2}}:?\d{{2}}))?$",
-    "sccm": rf"^\d{{2}}-\d{{2}}-\d{{4}} {_CLOCK}$",
+_OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})"
+
+# Which timestamp texts each format accepts, without and with an offset.
+LOCAL_FORMS = {
+    "plain": rf"{_DATE}[T ]{_CLOCK}",
+    "json": rf"{_DATE} {_CLOCK}",
+    "csv": rf"{_DATE} {_CLOCK}",
+    "unified": rf"{_DATE} {_CLOCK}",
+    "report": rf"{_DATE} {_CLOCK}",
 }
+OFFSET_FORMS = {
+    "plain": rf"{_DATE}[T ]{_CLOCK}(?:Z|[+-]\d{{2}}(?::?\d{{2}})?)",
+    "json": rf"{_DATE}T{_CLOCK}{_OFFSET}",
+    "csv": rf"{_DATE}T{_CLOCK}{_OFFSET}",
+    "unified": rf"{_DATE} {_CLOCK}{_OFFSET}",
+    "report": rf"{_DATE} {_CLOCK} ?{_OFFSET}",
+}
+# Month-first forms, rearranged to ISO.
+SCCM_FORM = rf"^(\d{{2}})-(\d{{2}})-(\d{{4}}) ({_CLOCK})$"
+US_FORM = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})$"
 
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
-def instant(text: Column, tz: str) -> Column:
-    """ISO-like text to a timestamp; ``tz`` applies when the text carries no offset."""
-    has_offset = text.rlike(rf":\d{{2}}(?:\.\d+)? ?{_OFFSET}$")
-    return F.try_to_timestamp(F.when(has_offset, text).otherwise(F.concat(text, F.lit(f" {tz}"))))
+def local_instant(text: Column, tz: str) -> Column:
+    """ISO text without offset, read in ``tz``; null when it is no time.
+
+    Spark reads such text in the session's zone; only for another one is it spelled out.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.session.timeZone") == tz:
+        return F.try_to_timestamp(text)
+    return F.try_to_timestamp(F.concat(text, F.lit(f" {tz}")))
 
 
 def parse_timestamp(text: Column, kind: str = "plain", tz: str = "UTC") -> Column:
-    """Timestamp of ``text`` if it has one of the forms ``kind`` accepts, else null."""
-    iso = text
+    """Timestamp of ``text`` if it has one of the forms ``kind`` accepts, else null.
+
+    ``text`` is evaluated once per form, so give it a column rather than a long expression.
+    """
+    if kind == "sccm":
+        iso = F.regexp_replace(text, SCCM_FORM, "$3-$1-$2 $4")
+        return F.when(text.rlike(SCCM_FORM), local_instant(iso, tz))
+    local = local_instant(F.regexp_extract(text, f"^{LOCAL_FORMS[kind]}$", 0), tz)
+    dated = F.regexp_extract(text, f"^{OFFSET_FORMS[kind]}$", 0)
+    if kind == "report":
+        dated = F.replace(F.replace(dated, F.lit(" +"), F.lit("+")), F.lit(" -"), F.lit("-"))
+    tries = [local, F.try_to_timestamp(dated)]
     if kind == "csv":
-        us = r"^(\d{2})/(\d{2})/(\d{4}) (.*)$"
-        iso = F.when(text.contains("/"), F.regexp_replace(text, us, "$3-$1-$2 $4")).otherwise(text)
-    elif kind == "sccm":
-        iso = F.regexp_replace(text, r"^(\d{2})-(\d{2})-(\d{4}) ", "$3-$1-$2 ")
-    elif kind == "report":
-        iso = F.regexp_replace(text, r" (?=[Z+-])", "")
-    return F.when(text.rlike(ACCEPTED[kind]), instant(iso, tz))
+        iso = F.regexp_replace(text, US_FORM, "$3-$1-$2 $4")
+        tries.append(F.when(text.rlike(US_FORM), local_instant(iso, tz)))
+    return F.coalesce(*tries)
+
+
+def is_timestamp(text: Column, kind: str, tz: str = "UTC") -> Column:
+    """Whether :func:`parse_timestamp` gives a time; texts not starting with a digit cost little."""
+    return text.rlike(r"^\d{2}") & parse_timestamp(text, kind, tz).isNotNull()
 
 
 def _literal_now(now: datetime | str | None, tz: str) -> Column:
     if now is None:
         return F.current_timestamp()
     text = now.isoformat(sep=" ") if isinstance(now, datetime) else now
-    return instant(F.lit(text if ":" in text else f"{text} 00:00:00"), tz)
+    return local_instant(F.lit(text if ":" in text else f"{text} 00:00:00"), tz)
 
 
 def infer_year(month: Column, day: Column, clock: Column, now=None, tz: str = "UTC") -> Column:
@@ -62,21 +87,19 @@ def infer_year(month: Column, day: Column, clock: Column, now=None, tz: str = "U
 
     def in_year(y: Column) -> Column:
         date = F.date_add(F.make_date(y, month, F.lit(1)), day - 1)
-        return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), clock, F.lit(f" {tz}")))
+        return local_instant(F.concat(date.cast("string"), F.lit(" "), clock), tz)
 
     here = in_year(year)
     ahead = F.unix_micros(here) - F.unix_micros(moment) > 86_400_000_000
     return F.when(possible & (day >= 1), F.when(ahead, in_year(year - 1)).otherwise(here))
 
 
-def yearless_timestamp(text: Column, now=None, tz: str = "UTC") -> Column:
-    """``[EEE ]MMM d HH:mm:ss[.f]`` to a timestamp by :func:`infer_year`."""
-    shape = r"^(?:\w{3}\s+)?(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2}(?:\.\d+)?)$"
-    at = F.instr(F.lit(MONTHS), F.lower(F.regexp_extract(text, shape, 1)))
-    month = F.when((at % 3) == 1, F.floor((at + 2) / 3).cast("int"))
-    day = F.regexp_extract(text, shape, 2).try_cast("int")
-    clock = F.regexp_extract(text, shape, 3)
-    return infer_year(month, day, clock, now, tz)
+def yearless_timestamp(parts: Column, now=None, tz: str = "UTC") -> Column:
+    """Words ``[EEE] MMM d HH:mm:ss[.f]`` to a timestamp by :func:`infer_year`."""
+    at = F.instr(F.lit(MONTHS), F.lower(F.get(parts, F.size(parts) - 3)))
+    month = F.when((at % 3) == 1, F.call_function("div", at + 2, F.lit(3)).cast("int"))
+    day = F.get(parts, F.size(parts) - 2).try_cast("int")
+    return infer_year(month, day, F.get(parts, F.size(parts) - 1), now, tz)
 
 
 def epoch_number(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from timberline.functions.codes import code_hex, extract_error_tokens, parse_code
 from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, Code, built_in_codes
+from timberline.settle import staged
 
 MATCH_TYPE = T.StructType(
     [
@@ -85,10 +86,14 @@ def lookup_key(text: Column) -> Column:
     return F.when(trimmed != "", key)
 
 
-def preferred_domain(text: Column) -> Column:
-    """The domain an input unambiguously points to, or null. More specific signs come first."""
+def preferred_domain(text: Column, number: Column | None = None) -> Column:
+    """The domain an input unambiguously points to, or null. More specific signs come first.
+
+    ``number`` is :func:`parse_code` of the text, if at hand.
+    """
     t = F.trim(text)
-    up, number = F.upper(t), parse_code(t)
+    up = F.upper(t)
+    number = parse_code(t) if number is None else number
     is_hex = t.rlike(r"^0[xX][0-9A-Fa-f]+$")
     return (
         F.when(t.startswith("errSec"), F.lit("Security"))
@@ -117,9 +122,13 @@ def _preferred_first(found: Column, domain: Column) -> Column:
 
 def _with_matches(df: DataFrame, key: Column, text: Column, keyed, name: str) -> DataFrame:
     table = _lookup_table(df.sparkSession, keyed)
-    out = df.withColumn("_at", key).join(table, F.col("_at") == F.col("_key"), "left")
-    return out.withColumn(name, _preferred_first(F.col("_found"), preferred_domain(text))).drop(
-        "_at", "_key", "_found"
+    asked = staged(staged(df, _at=key, _text=text), _number=parse_code(F.col("_text")))
+    out = asked.join(table, F.col("_at") == F.col("_key"), "left")
+    # Only inputs with several matches have an order to settle.
+    domain = F.when(F.size("_found") > 1, preferred_domain(F.col("_text"), F.col("_number")))
+    out = out.withColumn("_domain", domain)
+    return out.withColumn(name, _preferred_first(F.col("_found"), F.col("_domain"))).drop(
+        "_at", "_text", "_number", "_key", "_found", "_domain"
     )
 
 
@@ -173,26 +182,23 @@ def decode_codes(
     all. ``strict`` looks whole tokens up as they stand, so that these never resolve.
     """
     keyed = _keyed(codes)
-
-    def key_of(token: Column) -> Column:
-        if strict:
-            return lookup_key(token)
-        number = F.regexp_extract(token, r"(-?\d+)$", 1)
-        return (
-            F.when(token.startswith("errno="), F.concat(F.lit("errno|"), lookup_key(number)))
-            .when(token.startswith("OSStatus"), F.concat(F.lit("OSStatus|"), lookup_key(number)))
-            .when(token.startswith("error"), lookup_key(number))
-            .otherwise(lookup_key(token))
-        )
-
-    pairs = F.transform(
-        extract_error_tokens(F.col(message)),
-        lambda t: F.struct(t.alias("token"), key_of(t).alias("key")),
+    tokens = extract_error_tokens(F.col(message))
+    if strict:
+        hint, bare = "CAST(NULL AS STRING)", "t"
+    else:
+        hint = "CASE WHEN t LIKE 'errno=%' THEN 'errno|' WHEN t LIKE 'OSStatus%' THEN 'OSStatus|' END"
+        bare = r"regexp_replace(t, '^(errno=|OSStatus\\s|error\\s)', '')"
+    out = staged(df, _tokens=tokens)
+    out = staged(out, _tokens=F.expr(f"transform(_tokens, t -> struct(t AS token, {hint} AS hint, {bare} AS bare))"))
+    keyed_token = lambda t: F.struct(
+        t["token"].alias("token"),
+        F.concat(F.coalesce(t["hint"], F.lit("")), lookup_key(t["bare"])).alias("key"),
     )
-    # A set literal: membership is one hash probe per token, inside the row.
-    known = F.filter(pairs, lambda p: p["key"].isin(list(keyed)))
-    out = df.withColumn("_hit", F.get(known, F.lit(0)))
+    out = staged(out, _tokens=F.transform("_tokens", keyed_token))
+    # Membership in a literal set is one hash probe per token, inside the row.
+    known = ", ".join("'" + key.replace("'", "''") + "'" for key in keyed)
+    out = staged(out, _hit=F.expr(f"get(filter(_tokens, t -> t.key IN ({known})), 0)"))
     token = F.col("_hit.token")
-    bare = token if strict else F.regexp_replace(token, r"^(errno=|OSStatus\s|error\s)", "")
-    out = _with_matches(out.withColumn("code_token", token), F.col("_hit.key"), bare, keyed, "matches")
-    return out.drop("_hit")
+    said = token if strict else F.regexp_replace(token, r"^(errno=|OSStatus\s|error\s)", "")
+    out = _with_matches(out.withColumn("code_token", token), F.col("_hit.key"), said, keyed, "matches")
+    return out.drop("_tokens", "_hit")

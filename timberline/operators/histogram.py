@@ -59,6 +59,11 @@ def bucket_center(bucket: Column, first_us: Column, span_us: Column, buckets: in
     return first_us + _div((bucket.cast("long") * 2 + 1) * span_us, F.lit(2 * buckets).cast("long"))
 
 
+def _frame(df: DataFrame, buckets: int) -> DataFrame:
+    """All bucket numbers."""
+    return df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+
+
 def add_bucket(df: DataFrame, buckets: int = BUCKETS, name: str = "bucket") -> DataFrame:
     """Add the histogram bucket of each row; null without a timestamp or without a histogram."""
     span = _span(df)
@@ -83,11 +88,13 @@ def histogram(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             F.count_if(level.isNull() | (level < WARNING)).alias("info"),
         )
     )
-    frame = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     zero = F.lit(0).cast("long")
+    empty = _frame(df, buckets).select("bucket", *[zero.alias(n) for n in ("err", "warn", "info")])
     rows = (
-        frame.join(F.broadcast(counted), "bucket", "left")
-        .select("bucket", *[F.coalesce(n, zero).alias(n) for n in ("err", "warn", "info")], span.alias("_s"))
+        counted.unionByName(empty)
+        .groupBy("bucket")
+        .agg(*[F.sum(n).alias(n) for n in ("err", "warn", "info")])
+        .withColumn("_s", span)
         .where(F.col("_s.span_us").isNotNull())
     )
     first, width = F.col("_s.first_us"), F.col("_s.span_us")
@@ -202,8 +209,11 @@ def bucket_representatives(
         F.min(F.when(F.col("_shown") & (level == WARNING), row)).alias("_warn"),
         F.min(F.when(F.col("_shown"), row)).alias("_any"),
     )
-    frame = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    filled = frame.join(F.broadcast(found), "bucket", "left")
+    filled = (
+        found.unionByName(_frame(df, buckets), allowMissingColumns=True)
+        .groupBy("bucket")
+        .agg(*[F.min(n).alias(n) for n in ("_err", "_warn", "_any")])
+    )
     # One row per bucket from here on.
     ahead = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(0, Window.unboundedFollowing)
     following = F.min(F.when(F.col("_any").isNotNull(), F.struct("_any", "bucket"))).over(ahead)

@@ -45,17 +45,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-_UP, _DOWN = Window.unboundedPreceding, Window.unboundedFollowing
+_UP = Window.unboundedPreceding
 
 
-def _over(run: Run, value: Column, window, inclusive: bool) -> Column:
-    reach = 0 if inclusive else 1
-    if run.how == "first":
-        return F.first(value, ignorenulls=True).over(window.rowsBetween(reach, _DOWN))
-    if run.how == "last":
-        return F.last(value, ignorenulls=True).over(window.rowsBetween(_UP, -reach))
+def _over(run: Run, value: Column, keys: list[str], order: str, inclusive: bool) -> Column:
+    """The running value inside one window partition.
+
+    Frames only ever grow from the partition's start, which Spark keeps up row by row; one that
+    reaches to the end is evaluated afresh for each row. What follows is therefore what precedes
+    in the opposite order, at the price of a second sort of the same partitions.
+    """
+    way = F.desc(order) if run.how == "first" else F.asc(order)
+    frame = Window.partitionBy(*keys).orderBy(way).rowsBetween(_UP, 0 if inclusive else -1)
     if run.how == "sum":
-        return F.sum(value).over(window.rowsBetween(_UP, -reach))
+        return F.sum(value).over(frame)
+    if run.how in ("first", "last"):
+        return F.last(value, ignorenulls=True).over(frame)
     raise ValueError(run.how)
 
 
@@ -88,8 +93,10 @@ def running(
         {"_block": block_start(F.col(order), width)}
         | {f"_v_{n}": r.value for n, r in runs.items()}
     )
-    local = Window.partitionBy(*keys, "_block").orderBy(order)
-    rows = df.withColumns({f"_n_{n}": _over(r, F.col(f"_v_{n}"), local, r.inclusive) for n, r in runs.items()})
+    local = [*keys, "_block"]
+    rows = df.withColumns(
+        {f"_n_{n}": _over(r, F.col(f"_v_{n}"), local, order, r.inclusive) for n, r in runs.items()}
+    )
 
     blocks = df.groupBy(*keys, "_block").agg(
         *[_total(r, F.col(f"_v_{n}"), F.col(order)).alias(f"_t_{n}") for n, r in runs.items()]
@@ -104,14 +111,17 @@ def running(
 def _carry(blocks: DataFrame, runs: dict[str, Run], keys: list[str], width: int) -> DataFrame:
     """Per block, the value carried in from the blocks before (or after) it."""
     blocks = blocks.withColumn("_group", block_start(F.col("_block"), width * SPAN))
-    inside = Window.partitionBy(*keys, "_group").orderBy("_block")
-    near = blocks.withColumns({f"_n_{n}": _over(r, F.col(f"_t_{n}"), inside, False) for n, r in runs.items()})
+    inside = [*keys, "_group"]
+    near = blocks.withColumns(
+        {f"_n_{n}": _over(r, F.col(f"_t_{n}"), inside, "_block", False) for n, r in runs.items()}
+    )
     groups = blocks.groupBy(*keys, "_group").agg(
         *[_total(r, F.col(f"_t_{n}"), F.col("_block")).alias(f"_t_{n}") for n, r in runs.items()]
     )
-    across = Window.partitionBy(*keys).orderBy("_group")
     far = groups.select(
-        *keys, "_group", *[_over(r, F.col(f"_t_{n}"), across, False).alias(f"_g_{n}") for n, r in runs.items()]
+        *keys,
+        "_group",
+        *[_over(r, F.col(f"_t_{n}"), keys, "_group", False).alias(f"_g_{n}") for n, r in runs.items()],
     )
     return join_on(near, far, [*keys, "_group"]).select(
         *keys, "_block", *[_combine(r, F.col(f"_n_{n}"), F.col(f"_g_{n}")).alias(f"_f_{n}") for n, r in runs.items()]

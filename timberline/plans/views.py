@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.display import level_name
 from timberline.operators.ordered import number_rows, number_sorted
+from timberline.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -133,7 +134,7 @@ lineitem_log AS (
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as text files: their lines, numbered, without the empty ones."""
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents"))
         .select(
             F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"),
             F.posexplode(F.split("text", "\r\n|\n|\r")).alias("_i", "raw_line"),
@@ -234,7 +235,7 @@ def rendered(fmt: str) -> Column:
 
 def events_lines(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     """The events log as lines of one format, one file."""
-    lines = events_log(spark, sf).select(
+    lines = as_events_log(spread(table(spark, sf, "events"))).select(
         F.lit(fmt).alias("source_id"), "line_number", "entry_id", rendered(fmt).alias("raw_line")
     )
     if fmt != "csv":
@@ -249,7 +250,7 @@ def events_lines(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Each event as a report file: a crash report or a diagnostic report."""
-    log = events_log(spark, sf)
+    log = as_events_log(spread(table(spark, sf, "events")))
     dated = _stamp("yyyy-MM-dd HH:mm:ss.SSS")
     if kind == "ips":
         bug = (

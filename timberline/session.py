@@ -25,6 +25,26 @@ def get_session(app: str = "timberline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def prefer_compiled(spark: SparkSession) -> None:
+    """Let wide projections run as several small methods.
+
+    The Java VM does not compile methods above 8000 bytes of bytecode, which a parse with all its
+    columns exceeds when fused into one; it then runs about three times slower. Left alone if set.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8000")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan with fewer splits than cores: a small table, or files that cannot be split.
+
+    Meant for scans, before costly work per row. A scan with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only where none is set (local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
