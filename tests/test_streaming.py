@@ -1,5 +1,7 @@
 """Streams run to the end, batch by batch."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def test_pause_between_batches(spark, tmp_path):
     assert [r.line_number for r in rows] == list(range(1, len(rows) + 1))
     status = [live.status(spark, b).first() for b in range(4)]
     assert [s.held for s in status][0] == 0 and max(s.held for s in status) <= 3 and status[3].held == 0
+    assert sorted(r.level for r in rows if r.message in ("a", "g")) in ([1, 4], [4], [1])
+    assert all(r.level is not None for r in rows)
     arrived = sum(1 for g in groups for x in g if x)
     assert len(rows) + status[2].dropped == arrived == 7
 
@@ -66,8 +70,16 @@ def test_rate_ticks():
 
 def test_rate_stream(spark, tmp_path):
     lines = batches(spark, tmp_path, [["a", "b"], ["c"], [], []])
-    query = rate_and_stall(lines).writeStream.outputMode("update").trigger(availableNow=True)
     out = []
+    # The timers that notice silence go on for ever, so the query is stopped, not awaited.
+    query = rate_and_stall(lines).writeStream.outputMode("update").trigger(processingTime="1 second")
     query = query.option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda df, _: out.extend(df.collect()))
-    query.start().awaitTermination()
-    assert sum(r.lines for r in out) == 3 and all(r.rate >= 0 for r in out)
+    running = query.start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if sum(r.lines for r in out) == 3 and any(r.idle_seconds > 0 for r in out):
+                break
+    finally:
+        running.stop()
+    assert sum(r.lines for r in out) == 3 and any(r.idle_seconds > 0 for r in out)

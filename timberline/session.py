@@ -57,6 +57,12 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def new_stage_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

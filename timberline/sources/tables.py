@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.formats import detect_format, parse_logs
 from timberline.schema import LOG_COLUMNS
-from timberline.session import new_stage_path, stage
+from timberline.session import path_exists, stage
 from timberline.sources.lines import read_log_lines
 
 MTIME_TOLERANCE_US = 1_000
@@ -43,12 +43,6 @@ def changed_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     return catalog.join(known, same, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def ingest_changed(
     spark: SparkSession, catalog: DataFrame, root: str, tz: str = "UTC", now=None, format: str = "auto"
 ) -> int:
@@ -63,7 +57,7 @@ def ingest_changed(
     schema = "path string, source_id string, size long, modified timestamp, generation long, format string"
     old = (
         spark.read.parquet(_latest(spark, manifest_path))
-        if _exists(spark, manifest_path)
+        if path_exists(spark, manifest_path)
         else spark.createDataFrame([], schema)
     )
     todo = stage(changed_files(catalog.select("path", "source_id", "size", "modified"), old), "changed")
@@ -111,12 +105,3 @@ def read_ingested(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
     return rows.join(current, ["source_id", "generation"], "left_semi").drop("generation")
 
-
-__all__ = [
-    "changed_files",
-    "ingest_changed",
-    "new_stage_path",
-    "read_ingested",
-    "read_log_table",
-    "write_log_table",
-]

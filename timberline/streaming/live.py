@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.formats import parse_logs
+from timberline.formats import detect_format, parse_logs
 from timberline.operators.histogram import PEAK_CAP, peak_shadows, retain_peaks, spikes
-from timberline.operators.ordered import number_sorted
+from timberline.operators.ordered import number_rows, number_sorted
 from timberline.operators.rates import PAUSE_CAPACITY
 from timberline.schema import ERROR, WARNING
-from timberline.session import new_stage_path
+from timberline.session import new_stage_path, path_exists
 
 WATERMARK = "10 minutes"
 
@@ -174,7 +174,8 @@ class LiveLog:
     continue from the rows so far, so drops leave no gap. ``order`` sorts the lines of a batch.
 
     Each batch writes its own folders from those of the batch before; one run again after a
-    failure writes the same. With ``format=None`` it is detected per source within the batch.
+    failure writes the same. With ``format=None`` the first lines let through of a source fix its
+    format for good.
     """
 
     def __init__(
@@ -219,18 +220,32 @@ class LiveLog:
             numbered = waiting.withColumns(
                 {"entry_id": F.col("_n") + rows, "line_number": F.col("_n") + rows + 1}
             ).drop("_at", "_n")
-            self._parse(numbered).write.mode("overwrite").parquet(self._path("rows", batch))
+            self._parse(numbered, batch).write.mode("overwrite").parquet(self._path("rows", batch))
             waiting.where(F.lit(False)).drop("_n").write.mode("overwrite").parquet(self._path("held", batch))
             rows, dropped = rows + total, 0
         state = spark.createDataFrame([(rows, dropped)], "rows long, dropped long")
         state.coalesce(1).write.mode("overwrite").parquet(self._path("state", batch))
 
-    def _parse(self, lines: DataFrame) -> DataFrame:
+    def _formats(self, spark: SparkSession, batch: int) -> DataFrame:
+        """Formats fixed before this batch."""
+        past = [b for b in range(batch - 1, -1, -1) if path_exists(spark, self._path("formats", b))]
+        if not past:
+            return spark.createDataFrame([], "source_id string, format string")
+        return spark.read.parquet(self._path("formats", past[0]))
+
+    def _parse(self, lines: DataFrame, batch: int) -> DataFrame:
         if self.format:
             return parse_logs(lines, self.format, self.tz, self.now)
-        # Detection looks at the first lines of each source in this batch, wherever they are
-        # numbered in the whole stream.
-        return parse_logs(lines, "auto", self.tz, self.now)
+        spark = lines.sparkSession
+        known = self._formats(spark, batch)
+        # Detection counts lines from 1 per source, whatever their number in the whole stream.
+        heads = number_rows(
+            lines.select("source_id", "raw_line", "entry_id"), "entry_id", "line_number", keys=["source_id"]
+        )
+        fresh = detect_format(heads).select("source_id", "format").join(known, "source_id", "left_anti")
+        path = self._path("formats", batch)
+        known.unionByName(fresh).write.mode("overwrite").parquet(path)
+        return parse_logs(lines.join(spark.read.parquet(path), "source_id", "left"), "column", self.tz, self.now)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All rows let through so far."""

@@ -60,6 +60,9 @@ def rate_and_stall(stream: DataFrame) -> DataFrame:
 
     State is four numbers per source. Lines are counted within tasks first, so that a source
     sending most of the lines shuffles one row per batch of rows, not each line.
+
+    A timer per source fires every second to notice silence, so the query never runs out of
+    work: give it a processing-time trigger, not ``availableNow``.
     """
     counts = stream.select("source_id", F.lit(1).cast("long").alias("n")).mapInPandas(
         _combine, "source_id string, n long"
