@@ -38,11 +38,13 @@ def block_start(order: Column, width: int) -> Column:
     return order - F.pmod(order, F.lit(width).cast("long"))
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join in which null keys meet; columns of ``right`` other than keys are added."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add the keys as one struct column, in which null meets null under plain equality.
+
+    Plain equality lets a join use the partitioning a window or aggregate left behind; a
+    null-safe one would shuffle the rows again.
+    """
+    return (df.withColumn("_keys", F.struct(*keys)), ["_keys"]) if keys else (df, [])
 
 
 _UP = Window.unboundedPreceding
@@ -88,7 +90,7 @@ def running(
 
     The rows are shuffled once, by block.
     """
-    keys = keys or []
+    df, keys = keyed(df, keys or [])
     df = df.withColumns(
         {"_block": block_start(F.col(order), width)}
         | {f"_v_{n}": r.value for n, r in runs.items()}
@@ -102,10 +104,10 @@ def running(
         *[_total(r, F.col(f"_v_{n}"), F.col(order)).alias(f"_t_{n}") for n, r in runs.items()]
     )
     carried = _carry(blocks, runs, keys, width)
-    rows = join_on(rows, carried, [*keys, "_block"])
+    rows = rows.join(carried, [*keys, "_block"], "left")
     out = rows.withColumns({n: _combine(r, F.col(f"_n_{n}"), F.col(f"_f_{n}")) for n, r in runs.items()})
     helpers = [c for n in runs for c in (f"_v_{n}", f"_n_{n}", f"_f_{n}")]
-    return out.drop("_block", *helpers)
+    return out.drop("_keys", "_block", *helpers)
 
 
 def _carry(blocks: DataFrame, runs: dict[str, Run], keys: list[str], width: int) -> DataFrame:
@@ -123,7 +125,7 @@ def _carry(blocks: DataFrame, runs: dict[str, Run], keys: list[str], width: int)
         "_group",
         *[_over(r, F.col(f"_t_{n}"), keys, "_group", False).alias(f"_g_{n}") for n, r in runs.items()],
     )
-    return join_on(near, far, [*keys, "_group"]).select(
+    return near.join(far, [*keys, "_group"], "left").select(
         *keys, "_block", *[_combine(r, F.col(f"_n_{n}"), F.col(f"_g_{n}")).alias(f"_f_{n}") for n, r in runs.items()]
     )
 

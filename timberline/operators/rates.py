@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.ordered import Run, join_on, number_rows, running
+from timberline.operators.ordered import Run, keyed, number_rows, running
 
 # Fixed values.
 KEEP, ADD = 0.6, 0.4
@@ -62,8 +62,11 @@ def line_rates(df: DataFrame, time: str = "timestamp", keys: list[str] | None =
     )
     idle = F.coalesce(F.col("second") - F.col("_last") - 1, F.lit(0).cast("long"))
     before = before.select(*keys, "second", idle.alias("idle_before"))
-    return join_on(rated, before, [*keys, "second"], "inner").withColumn(
-        "stalled_before", F.col("idle_before") >= STALL_SECONDS
+    rated, on = keyed(rated, keys)
+    before, _ = keyed(before, keys)
+    both = rated.join(before.drop(*keys), [*on, "second"])
+    return both.select(
+        *keys, "second", "lines", "rate", "idle_before", (F.col("idle_before") >= STALL_SECONDS).alias("stalled_before")
     )
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.ordered import join_on
-
 _MASK = (1 << 33) - 1
 
 
@@ -58,7 +56,7 @@ def read_log_lines(spark: SparkSession, path: str | list[str], keep_empty: bool
         F.coalesce(F.sum("_kept").over(in_task), zero).alias("_kept_in_task"),
     )
     rows = text.where(kept).withColumn("_kept_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_MASK)))
-    placed = join_on(rows, starts, ["source_id", "_block"])
+    placed = rows.join(starts, ["source_id", "_block"], "left")
     offset = F.col("_at") - F.col("_from")
     moved = F.raise_error(F.lit("file splits changed between passes; set spark.sql.files.minPartitionNum"))
     return placed.select(
