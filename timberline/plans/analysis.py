@@ -13,7 +13,7 @@ from timberline.formats import parse_logs
 from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, built_in_codes
 from timberline.plans import views as V
 from timberline.plans.catalogue import query, with_ctes
-from timberline.plans.parsing import _LEVEL_NAME, NOW, keyword_level_sql
+from timberline.plans.parsing import NOW, keyword_level_sql
 from timberline.sinks import to_csv_lines, to_json_records
 
 E, O, LI, D = V.EVENTS_LOG_SQL, V.ORDERS_LOG_SQL, V.LINEITEM_LOG_SQL, V.DOCUMENT_LINES_SQL
