@@ -319,23 +319,41 @@ class PieceEncoder(TextEncoder):
         return self.SPLIT.findall(first), rest
 
 
-class LibraryPieces(PieceEncoder):
-    """The same with new words encoded by the tokenizers library."""
+class PieceLibrary:
+    """Whole texts by the same kind of vocabulary in compiled code, for operators whose method is
+    elsewhere: a text gives its unsigned 32-bit ids."""
 
-    def __init__(self, path: str, render, join):
-        super().__init__(path, render, join)
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import tiktoken
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        bpe = merges(path)
+        of = {c: b for b, c in enumerate(_BYTES)}
+        special = set(bpe.specials.values())
+        ranks = {bytes(of[c] for c in t): i for i, t in bpe.names.items() if i not in special}
+        born = bpe.born[sorted(ranks.values())]
+        if (np.diff(born[born >= 0]) < 0).any() or (born[:256] >= 0).any():
+            raise ValueError("the order of ids must be the order of merges")
+        self.codec = tiktoken.Encoding("file", pat_str=PieceEncoder.SPLIT.pattern, mergeable_ranks=ranks, special_tokens=bpe.specials)
 
-    def _encode(self, texts: list[str]):
-        return [self.render(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.codec.encode_to_numpy(t, allowed_special="all") for t in texts]
 
-    def _learn(self, heads: set[str], chunks: set[str]) -> None:
-        new, later = list(heads - self.words.keys()), list(chunks)
-        self.words.update(zip(new, self._encode(new)))
-        self.chunks.update(zip(later, self._encode([" " + c for c in later])))
+
+class PieceCounter(PieceEncoder):
+    """Token counts: a word that is proven to be one token is looked up, the others are merged by
+    the compiled library."""
+
+    def __init__(self, path: str):
+        super().__init__(path, len, sum)
+        of = {c: b for b, c in enumerate(_BYTES)}
+        spelled = (bytes(of[c] for c in t) for t in self.bpe.proposals if t not in self.bpe.specials)
+        #: The whole tokens as text, where they are text.
+        self.whole = {t.decode() for t in spelled if t.decode(errors="ignore").encode() == t}
+        self.merge = PieceLibrary(path).codec.encode_ordinary
+
+    def _learn_words(self, words: set[str]) -> None:
+        whole, merge = self.whole, self.merge
+        self.words.update({w: 1 if w in whole else len(merge(w)) for w in words - self.words.keys()})
 
 
 class MarkedEncoder(TextEncoder):

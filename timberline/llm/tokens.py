@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from timberline.llm.bpe import LibraryPieces, MarkedEncoder, PieceEncoder, vocabulary
+from timberline.llm.bpe import MarkedEncoder, PieceCounter, vocabulary
 from timberline.llm.common import narrow
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_text string, decoded string, ids_sha256 string, decoded_sha256 string"
@@ -90,8 +89,8 @@ def decode_ids(encoded: DataFrame, vocab: str = "word_bpe_49k.json") -> DataFram
 
 
 @functools.lru_cache(maxsize=2)
-def _counter(path: str) -> PieceEncoder:
-    return PieceEncoder(path, len, sum, speculate=False)
+def _counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
 
 
 def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
@@ -116,9 +115,3 @@ def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
             )
 
     return narrow(docs).mapInArrow(run, COUNTED)
-
-
-@functools.lru_cache(maxsize=2)
-def packed_ids(path: str) -> LibraryPieces:
-    """Texts as unsigned 32-bit little-endian ids, for packing."""
-    return LibraryPieces(path, lambda ids: array("I", ids).tobytes(), b"".join)
