@@ -7,12 +7,13 @@ each is used is a non-negative least-squares fit to the histogram, rounded down,
 greedily. Rests that no combination takes are laid end to end, from long to short, and cut at the
 windows' borders; the last, unfinished window is cut into powers of two, which need no padding.
 
-Ids are never moved: the pass that encodes keeps a checksum for each piece, and only the few rests
-that are cut are encoded again.
+Ids are encoded once and never shuffled: full windows and uncut rests are carried by checksums, and
+only the stored rests that are cut are read again.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.bpe import vocabulary
+from timberline.llm.bpe import PieceLibrary, vocabulary
 from timberline.llm.common import checked_broadcast, narrow, stage
-from timberline.llm.tokens import packed_ids
 
 #: Combinations kept for rounding; fits with more, each used less than once, would round to none.
 KEPT = 4096
@@ -100,57 +100,58 @@ def borders(total: int, window: int) -> list[tuple[int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str) -> PieceLibrary:
+    return PieceLibrary(path)
+
+
+ROWS = "doc_id long, part long, row long, doc_tokens long, rest long, number long, first long, crcs array<long>, crc long, ids binary"
+
+
 def _encoded(docs: DataFrame, vocab: str, window: int, end_id: int) -> DataFrame:
-    """A row per document: checksums of its full windows and of its rest; no ids."""
+    """A row per document: checksums of its full windows, and its rest with a checksum.
+
+    (part, row) names a row; ``number`` counts equal rests, ``first`` full windows within a part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = packed_ids(vocabulary(vocab))
+        encoder = _library(vocabulary(vocab))
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        windows, wide, end = 0, 4 * window, end_id.to_bytes(4, "little")
+        windows = rows = 0
+        small = encoder.codec.n_vocab <= 1 << 16 and end_id < 1 << 16
         for batch in batches:
-            n, rest, number, first, crcs, crc = [], [], [], [], [], []
-            for ids in encoder.texts(batch.column("text").to_pylist()):
-                ids += end
-                full = len(ids) // wide
-                n.append(len(ids) // 4)
-                rest.append(len(ids) % wide // 4)
-                number.append(seen[rest[-1]])
-                seen[rest[-1]] += 1
-                first.append(windows)
-                windows += full
-                crcs.append([zlib.crc32(ids[i * wide : (i + 1) * wide]) for i in range(full)])
-                crc.append(zlib.crc32(ids[full * wide :]))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "digest": batch.column("digest"),
-                    "part": pa.array([part] * len(n), pa.int64()),
-                    "doc_tokens": pa.array(n, pa.int64()),
-                    "rest": pa.array(rest, pa.int64()),
-                    "number": pa.array(number, pa.int64()),
-                    "first": pa.array(first, pa.int64()),
-                    "crcs": pa.array(crcs, pa.list_(pa.int64())),
-                    "crc": pa.array(crc, pa.int64()),
-                }
-            )
-
-    schema = "doc_id long, digest long, part long, doc_tokens long, rest long, number long, first long, crcs array<long>, crc long"
-    return docs.mapInArrow(run, schema)
-
-
-def _cut_pieces(wanted: DataFrame, vocab: str, window: int, end_id: int, full_until: int, tail: list, base: int) -> DataFrame:
-    """The pieces of rests that cross a border, encoded again."""
+            out = []
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text").to_pylist())):
+                ids = np.append(ids.astype("<u4"), np.uint32(end_id))
+                full, rest = divmod(len(ids), window)
+                crcs = [zlib.crc32(ids[i * window : (i + 1) * window]) for i in range(full)]
+                left = ids[full * window :]
+                kept = left.astype("<u2" if small else "<u4").tobytes()
+                out.append((doc, part, rows, len(ids), rest, seen[rest], windows, crcs, zlib.crc32(left), kept))
+                rows, windows = rows + 1, windows + full
+                seen[rest] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ROW_TYPES)], ROW_NAMES) if out else EMPTY
+
+    return docs.mapInArrow(run, ROWS)
+
+
+ROW_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+ROW_TYPES = [pa.list_(pa.int64()) if n == "crcs" else pa.binary() if n == "ids" else pa.int64() for n in ROW_NAMES]
+EMPTY = pa.RecordBatch.from_arrays([pa.array([], t) for t in ROW_TYPES], ROW_NAMES)
+
+
+def _cut_pieces(cut: DataFrame, window: int, full_until: int, tail: list, base: int) -> DataFrame:
+    """The pieces of rests that cross a border."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = packed_ids(vocabulary(vocab))
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for row, ids in zip(rows, encoder.texts([r["text"] for r in rows])):
-                ids += end
-                start, at, stop = row["doc_tokens"] - row["rest"], row["stream"], row["stream"] + row["rest"]
+            for row in batch.to_pylist():
+                wide = "<u2" if len(row["ids"]) == 2 * row["rest"] else "<u4"
+                ids = np.frombuffer(row["ids"], wide).astype("<u4")
+                begin, at, stop = row["doc_tokens"] - row["rest"], row["stream"], row["stream"] + row["rest"]
+                done = 0
                 while at < stop:
                     if at < full_until:
                         where, offset, till = at // window, at % window, (at // window + 1) * window
@@ -158,12 +159,12 @@ def _cut_pieces(wanted: DataFrame, vocab: str, window: int, end_id: int, full_un
                         i = next(i for i, (s, k) in enumerate(tail) if s <= at < s + k)
                         where, offset, till = full_until // window + i, at - tail[i][0], sum(tail[i])
                     length = min(stop, till) - at
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    out.append((row["doc_id"], start, length, crc, row["doc_tokens"], base + where, offset))
-                    at, start = at + length, start + length
+                    crc = zlib.crc32(ids[done : done + length])
+                    out.append((row["doc_id"], begin + done, length, crc, row["doc_tokens"], base + where, offset))
+                    at, done = at + length, done + length
             yield pa.RecordBatch.from_pylist([dict(zip(PIECE_NAMES, r)) for r in out], PIECE_ARROW)
 
-    return wanted.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE_NAMES))
+    return cut.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE_NAMES))
 
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -181,8 +182,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", window: in
     if window & (window - 1) or window < 4:
         raise ValueError("window must be a power of two, 4 at least")
     spark = docs.sparkSession
-    texts = narrow(docs).withColumn("digest", F.xxhash64("text"))
-    rows = stage(_encoded(texts, vocab, window, end_id), "packing")
+    rows = stage(_encoded(narrow(docs), vocab, window, end_id), "packing")
 
     counts = np.zeros(window, np.int64)
     for rest, n in rows.where("rest > 0").groupBy("rest").count().collect():
@@ -214,10 +214,10 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", window: in
     places = spark.createDataFrame(
         plan or [(0, 0, 0, 0, 0, 0)], "rest long, low long, high long, sequence long, offset long, stream long"
     )
-    rests = rows.where("rest > 0").join(firsts, ["rest", "part"]).withColumn("number", F.col("number") + F.col("earlier"))
+    rests = rows.drop("ids", "crcs").where("rest > 0").join(firsts, ["rest", "part"]).withColumn("number", F.col("number") + F.col("earlier"))
     # Bounded: two or three rows for each combination kept, one for each length.
     placed = rests.join(F.broadcast(places), "rest").where("low <= number and number < high").select(
-        "doc_id", "digest", "doc_tokens", "rest", "crc", "offset",
+        "doc_id", "part", "row", "doc_tokens", "rest", "crc", "offset",
         (F.col("sequence") + F.col("number") - F.col("low")).alias("sequence_id"),
         F.when(F.col("stream") >= 0, F.col("stream") + (F.col("number") - F.col("low")) * F.col("rest")).alias("stream"),
     )
@@ -231,10 +231,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", window: in
         F.when(in_stream, F.lit(base) + F.floor(at / window)).otherwise(F.col("sequence_id")).alias("sequence_id"),
         F.when(in_stream, at % window).otherwise(F.col("offset")).alias("offset"),
     )
-    cut = stage(placed.where(~uncut).select("doc_id", "digest", "doc_tokens", "rest", "stream"), "cuts")
-    wanted = texts.join(checked_broadcast(cut), [texts.doc_id.eqNullSafe(cut.doc_id), texts.digest == cut.digest]).select(
-        texts.doc_id, "text", "doc_tokens", "rest", "stream"
-    )
-    # Rows that repeat meet each other's places; a place is taken once.
-    again = _cut_pieces(wanted, vocab, window, end_id, full_until, tail, base).dropDuplicates(["sequence_id", "offset"])
+    cut = stage(placed.where(~uncut).select("part", "row", "stream"), "cuts")
+    stored = rows.select("doc_id", "part", "row", "doc_tokens", "rest", "ids").join(checked_broadcast(cut), ["part", "row"])
+    again = _cut_pieces(stored, window, full_until, tail, base)
     return full.unionByName(whole).unionByName(again)
