@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm.packing import pack_documents
+from timberline.llm.quality import quality_rules
+from timberline.llm.quality_sql import RULES_SQL
 from timberline.llm.tokens import count_tokens, encode_documents
+from timberline.llm.urls import FILTER_SQL, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +40,16 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+@query("op6_quality", RULES_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules(table(spark, sf, "documents"))
+
+
+@query("op8_urls", FILTER_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter(table(spark, sf, "pages"), table(spark, sf, "labels"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), "byte_bpe_50k.json", window=2048, end_id=1)
