@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from timberline.llm.packing import pack_documents
 from timberline.llm.quality import quality_rules
 from timberline.llm.quality_sql import RULES_SQL
+from timberline.llm.secret_scan import find_secrets
 from timberline.llm.tokens import count_tokens, encode_documents
 from timberline.llm.urls import FILTER_SQL, url_filter
 
@@ -35,6 +36,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "word_bpe_49k.json", keep=False)
 
 
+@query("op3_secrets")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(table(spark, sf, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), "byte_bpe_50k.json", limit=1024)
