@@ -76,7 +76,7 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 #: Names of the rules that count for hosts.
-HOST_RULES = ("symbols", "dup_lines", "word_length", "shouting")
+HOST_RULES = ("symbols", "symbols_heavy", "dup_lines", "word_length", "shouting")
 
 
 def host_rules() -> dict[str, Column]:
@@ -84,6 +84,7 @@ def host_rules() -> dict[str, Column]:
     words = F.col("n_words")
     return {
         "symbols": 10 * F.col("n_symbols") > words,
+        "symbols_heavy": F.col("n_symbols") > words,
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         "word_length": either(F.col("word_chars") < 2 * words, F.col("word_chars") > 15 * words),
         "shouting": 2 * F.col("n_upper") > F.col("word_chars"),

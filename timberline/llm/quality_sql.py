@@ -35,13 +35,14 @@ f AS (
            CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 'dup_lines' END,
            CASE WHEN 2 * n_upper > word_chars THEN 'shouting' END,
            CASE WHEN 10 * n_symbols > n_words THEN 'symbols' END,
+           CASE WHEN n_symbols > n_words THEN 'symbols_heavy' END,
            CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 'word_length' END
          ], lambda x: x IS NOT NULL) AS failed
   FROM m
 ),
 hr AS (
   SELECT host, rule, count(*) AS n, CAST(sum(CASE WHEN list_contains(failed, rule) THEN 1 ELSE 0 END) AS BIGINT) AS bad
-  FROM f, (SELECT unnest(['symbols', 'dup_lines', 'word_length', 'shouting']) AS rule) GROUP BY host, rule
+  FROM f, (SELECT unnest(['symbols', 'symbols_heavy', 'dup_lines', 'word_length', 'shouting']) AS rule) GROUP BY host, rule
 ),
 s AS (
   SELECT rule, sum(n) AS total, count(*) AS hosts, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS m FROM hr GROUP BY rule

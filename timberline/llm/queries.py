@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm.packing import pack_documents
+from timberline.llm.pii import find_pii
 from timberline.llm.quality import quality_rules
 from timberline.llm.quality_sql import RULES_SQL
 from timberline.llm.secret_scan import find_secrets
@@ -51,6 +52,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+@query("op7_pii")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents"))
+
+
 @query("op8_urls", FILTER_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"), table(spark, sf, "labels"))
