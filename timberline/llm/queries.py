@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.llm.line_runs import line_dedup
 from timberline.llm.packing import pack_documents
 from timberline.llm.pii import find_pii
 from timberline.llm.quality import quality_rules
@@ -65,3 +66,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), "byte_bpe_50k.json", window=2048, end_id=1)
+
+
+@query("op10_line_runs")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup(table(spark, sf, "documents"), min_words=50)
