@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.llm.jaccard import similar_documents
 from timberline.llm.line_runs import line_dedup
 from timberline.llm.packing import pack_documents
 from timberline.llm.pii import find_pii
@@ -48,6 +49,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+@query("op5_jaccard")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_documents(table(spark, sf, "documents"), size=5, percent=80)
+
+
 @query("op6_quality", RULES_SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
