@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.llm.embeddings import near_embeddings
 from timberline.llm.jaccard import similar_documents
 from timberline.llm.line_runs import line_dedup
 from timberline.llm.packing import pack_documents
@@ -16,6 +17,30 @@ from timberline.llm.secret_scan import find_secrets
 from timberline.llm.tokens import count_tokens, encode_documents
 from timberline.llm.urls import FILTER_SQL, url_filter
 
+EMBEDDINGS_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+ok AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+),
+reach AS (
+  SELECT DISTINCT a AS node, a AS seen FROM link
+  UNION
+  SELECT reach.node, link.b FROM reach JOIN link ON reach.seen = link.a
+)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+       coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN (SELECT a, count(*) AS n_links FROM link GROUP BY a) n ON e.vec_id = n.a
+LEFT JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON e.vec_id = c.node
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +59,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_embeddings", EMBEDDINGS_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return near_embeddings(table(spark, sf, "embeddings"), threshold=0.93)
+
+
 @query("op2_bpe")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "word_bpe_49k.json", keep=False)
