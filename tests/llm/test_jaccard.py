@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import timberline.llm.jaccard as module
-from timberline.llm.jaccard import similar_documents
+from timberline.llm.jaccard import differing, set_keys, similar_documents
 from timberline.llm.shingles import alike, shingle_sets
 from timberline.llm.signature_tree import candidate_pairs, signature
 
@@ -64,6 +64,23 @@ def want(rows):
     return sets, components(rows, linked)
 
 
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(4)
+    none = np.array([], np.int64)
+    for n in [*range(1, 140), 200, 333, 1000, 5000]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for out in {0, differing(n, 80) // 2, differing(n, 80)}:
+            for gone in {0, out // 2, out}:
+                left = rng.permutation(a)[: n - gone]
+                b = np.unique(np.concatenate((left, rng.integers(0, 1 << 63, out - gone, dtype=np.uint64))))
+                if not len(b) or not alike(a, b, 80):
+                    continue
+                (x, few), (y, _) = set_keys(a, 80, none), set_keys(b, 80, none)
+                if few:
+                    x, y = (set_keys(s, 80, np.array([n]))[0] for s in (a, b))
+                assert len(np.intersect1d(x, y)), (n, out, gone)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_join(spark, monkeypatch, small):
     if small:  # wide roots, tiles, salts and no broadcasts, on little data

@@ -1,14 +1,18 @@
 """Similarity join on word shingles: texts whose Jaccard similarity reaches a threshold.
 
-Texts with the same set of shingles are one class from the start. Two similar sets share a token
-among their first (1 - threshold) of tokens in any common order, so a forest of signature trees has
-one root for each list of classes that share such a token. The order puts tokens of busy hash cells
-last; the cells are counted over all texts. Lists that many tokens share are one root.
+Texts with the same set of shingles are one class from the start. A forest of signature trees has one
+root for each list of classes that share a key; lists that many keys share are one root.
+
+Keys are chosen so that similar sets share one. A set's tokens are dealt by their leading bits into
+groups, of one or two tokens on average; sets at least 80 % alike differ in a quarter as many tokens as
+they have at most, so most groups of similar sets are equal. Groups in a common order, large ones
+first, are keys, as many as may differ and one more. A key of several tokens is hardly ever shared by
+chance or through a passage alone. Small sets use their first tokens instead (prefix filter).
 
 Below a root, leaves are class signatures, inner nodes OR-ed bitmaps with size ranges. Dual traversal
 leaves the pairs whose largest possible overlap suffices; roots too wide for a task are dealt out as
 pairs of tiles. Candidates are then checked on their full sets. Wide roots first link their members to
-two pivots, and what is connected by then isn't compared again: links only matter for components.
+a pivot, and what is connected by then isn't compared again: links only matter for components.
 """
 
 from __future__ import annotations
@@ -18,77 +22,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import checked_broadcast, components, narrow, stage
-from timberline.llm.shingles import alike, shingle_sets
+from timberline.llm.shingles import alike, mix, shingle_sets
 from timberline.llm.signature_tree import candidate_pairs, signature
 
-#: Cells of the count of tokens, and slices in which it is summed.
-CELLS, SLICES = 1 << 18, 16
-#: A cell is busy if it holds so large a share of the texts beyond the average cell.
-BUSY = 0.001
+#: Sets of fewer tokens use single tokens as keys, and so do all below the least percentage.
+GROUPED_FROM, GROUPED_PERCENT = 64, 80
+#: A level has 2^level groups: the most that give this many tokens each on average.
+PER_GROUP = 1.2
+_LEVEL = np.uint64(0xD6E8FEB86659FD93)
 #: Members in a tile of a root, and from how many members on a root has pivots first.
 TILE, WIDE = 512, 64
 #: Partners of one text that a task checks.
 PARTNERS = 2000
 
 
-def busy_cells(docs: DataFrame, size: int) -> np.ndarray:
-    """Which hash cells hold tokens of unusually many texts: counted over all texts, in slices."""
+def _level(n: int) -> int:
+    return int(np.log2(n / PER_GROUP))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, texts = np.zeros(CELLS, np.int64), 0
-        for batch in batches:
-            for tokens in shingle_sets(batch.column("text").to_pylist(), size):
-                cells += np.bincount((tokens >> np.uint64(46)).astype(np.int64), minlength=CELLS) if len(tokens) > 50_000 else 0
-                if len(tokens) <= 50_000:
-                    np.add.at(cells, (tokens >> np.uint64(46)).astype(np.int64), 1)
-                texts += 1
-        parts = [p.astype("<i8").tobytes() for p in np.split(cells, SLICES)]
-        yield pa.RecordBatch.from_pydict(
-            {"slice": pa.array(range(SLICES), pa.int32()), "cells": pa.array(parts, pa.binary()), "texts": pa.array([texts] * SLICES, pa.int64())}
-        )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        texts: dict[int, int] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = np.frombuffer(row["cells"], "<i8")
-                total[row["slice"]] = total.get(row["slice"], 0) + part
-                texts[row["slice"]] = texts.get(row["slice"], 0) + row["texts"]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "slice": pa.array(list(total), pa.int32()),
-                "cells": pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary()),
-                "texts": pa.array(list(texts.values()), pa.int64()),
-            }
-        )
+def differing(n: int, percent: int) -> int:
+    """The most tokens in which a set of ``n`` tokens and a similar one may differ, taken together."""
+    return n * (100 - percent) // percent
 
-    schema = "slice int, cells binary, texts long"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
-    cells = np.zeros(CELLS, np.int64)
-    for r in rows:  # a row per slice
-        cells[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["cells"], "<i8")
-    texts = rows[0]["texts"] if rows else 0
-    return cells > cells.mean() + max(BUSY * texts, 20)
 
+def group_keys(tokens: np.ndarray, level: int, wanted: int) -> tuple[np.ndarray, int]:
+    """The first ``wanted`` keys of a sorted set's groups at a level, and how many there are."""
+    group = tokens >> np.uint64(64 - level)
+    start = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1))
+    size = np.diff(np.append(start, len(tokens)))
+    key = mix(np.add.reduceat(mix(tokens + _LEVEL), start) + _LEVEL * np.uint64(level))
+    if len(key) <= wanted:
+        return key, len(key)
+    order = np.lexsort((key, -np.minimum(size, 3)))
+    return key[order[:wanted]], len(key)
 
-def _described(docs: DataFrame, busy: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the set's digest, its signature, and its first tokens in the common order."""
-    flags = np.packbits(busy).tobytes()
+
+def set_keys(tokens: np.ndarray, percent: int, plain_for: np.ndarray) -> tuple[np.ndarray, bool]:
+    """A set's keys, and whether its groups may be too few (then plain keys must be used as well).
+
+    ``plain_for``: sizes of sets for which that happened; sets that may be similar use plain keys too.
+    """
+    n = len(tokens)
+    if n == 0:
+        return tokens, False
+    grouped = percent >= GROUPED_PERCENT
+    most = n * 100 // percent  # the size of the largest similar set
+    keys, short = [], False
+    if not grouped or n < GROUPED_FROM or ((100 * plain_for >= percent * n) & (100 * n >= percent * plain_for)).any():
+        keys.append(tokens[: n - -(-percent * n // 100) + 1])
+    if grouped and most >= GROUPED_FROM:
+        wanted = differing(n, percent) + 1
+        for level in range(_level(max(n, GROUPED_FROM)), _level(most) + 1):
+            found, there = group_keys(tokens, level, wanted)
+            keys.append(found)
+            short |= there < wanted
+    return np.unique(np.concatenate(keys)), short
+
+
+def _described(docs: DataFrame, size: int, percent: int, plain_for: list[int]) -> DataFrame:
+    """doc_id, the set's size, digest, signature and keys, and whether its groups may be too few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+        plain = np.array(plain_for, np.int64)
         for batch in batches:
-            n, d1, d2, bits, keys = [], [], [], [], []
+            n, d1, d2, bits, keys, few = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text").to_pylist(), size):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                last = crowded[(tokens >> np.uint64(46)).astype(np.int64)]
-                prefix = len(tokens) - -(-percent * len(tokens) // 100) + 1 if len(tokens) else 0
-                first = np.concatenate((tokens[~last], tokens[last]))[:prefix]
+                first, short = set_keys(tokens, percent, plain)
+                few.append(short)
                 n.append(len(tokens))
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -102,10 +107,11 @@ def _described(docs: DataFrame, busy: np.ndarray, size: int, percent: int) -> Da
                     "d2": pa.array(d2, pa.int64()),
                     "bits": pa.array(bits, pa.binary()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
+                    "few": pa.array(few, pa.bool_()),
                 }
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, keys array<long>, few boolean")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -203,10 +209,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return ordered.mapInArrow(check, "a long, b long").distinct()
 
 
-def _hash_xor(column: str) -> Column:
-    return F.bit_xor(F.xxhash64(column))
-
-
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept (the first of its component).
 
@@ -217,38 +219,44 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     compared by 64-bit token hashes. An empty table gives no rows.
     """
     texts = narrow(docs, id_col, text_col)
-    rows = stage(_described(texts, busy_cells(texts, size), size, percent), "described")
+    rows = stage(_described(texts, size, percent, []), "described")
+    # Hash groups of a set may by rare chance be too few to be sure of a common key.
+    few = [r["n"] for r in rows.where("few").select("n").distinct().collect()]
+    if few:
+        rows = stage(_described(texts, size, percent, few), "described")
     named = rows.where("doc_id is not null and n > 0")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     many = stage(classes.where("copies > 1").select("d1", "d2", F.col("id").alias("first")), "copies")
     # A class is its first document; copies drop out here.
     of = named.join(checked_broadcast(many), ["d1", "d2"], "left").where("first is null or first = doc_id")
-    leaves = stage(of.select(F.col("doc_id").alias("id"), "n", "bits", "keys").dropDuplicates(["id"]), "leaves")
+    leaves = of.select(F.col("doc_id").alias("id"), "n", "bits", "keys")
     keys = leaves.select("id", F.explode("keys").alias("key"))
-    lists = (
-        keys.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), _hash_xor("id").alias("mark"))
-        .where("m > 1")
+    # Most keys have one class, and most others two, which are known from here.
+    shared = (
+        keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    )
+    shared = stage(shared, "keys")
+    pairs = shared.where("m = 2").groupBy("low", "high").agg(F.min("key").alias("root"))
+    longer = shared.where("m > 2").select("key")
+    listed = stage(keys.join(checked_broadcast(longer), "key").distinct(), "lists")
+    # Keys with the same list of classes are one root: by number, ends and hash of the list.
+    lists = listed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark")
     )
-    # Tokens with the same list of classes are one root: by number, ends and hash of the list.
-    roots = stage(lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")), "roots")
-    pairs = roots.where("m = 2")
-    longer = stage(roots.where("m > 2").select("root", "m"), "wide_roots")
-    listed = keys.join(checked_broadcast(longer), F.col("key") == F.col("root")).select("root", "m", "id")
-    listed = stage(listed, "lists")
+    roots = stage(lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")).select("root", "m"), "roots")
+    listed = listed.join(checked_broadcast(roots), F.col("key") == F.col("root")).select("root", "m", "id")
 
     wide = listed.where(F.col("m") > WIDE)
-    pivots = wide.groupBy("root").agg(F.min("id").alias("p1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p2"))
-    spokes = wide.join(pivots, "root").select("id", F.explode(F.array("p1", "p2.id")).alias("p")).where("id <> p")
-    spokes = stage(spokes.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "spokes")
+    pivots = wide.groupBy("root").agg(F.min("id").alias("p"))
+    spokes = stage(wide.join(pivots, "root").where("p < id").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "spokes")
     links = stage(_linked(spokes, texts, size, percent), "links")
     parts = stage(components(links), "parts")
 
-    members = listed.union(pairs.select("root", "m", F.explode(F.array("low", "high")).alias("id")))
-    members = members.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left").select(
+    two = pairs.select("root", F.lit(2).cast("long").alias("m"), F.explode(F.array("low", "high")).alias("id"))
+    members = listed.union(two).join(checked_broadcast(parts), F.col("id") == F.col("node"), "left").select(
         "root", "m", "id", F.coalesce("component", "id").alias("part")
     )
-    members = members.join(leaves.select("id", "n", "bits"), "id")
+    members = members.join(leaves.select("id", "n", "bits").dropDuplicates(["id"]), "id")
     candidates = stage(_tree_candidates(members, percent), "candidates")
     links = stage(links.union(_linked(candidates, texts, size, percent)), "links")
     found = stage(components(links), "components")
