@@ -1,18 +1,61 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences of clean, distinct, masked text out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timberline.llm.common import stage
+from timberline.llm.common import checked_broadcast, stage
+from timberline.llm.jaccard import similar_documents
+from timberline.llm.line_runs import drop_repeated_lines
 from timberline.llm.packing import pack_documents
+from timberline.llm.pii import mask_pii
+from timberline.llm.quality import quality_rules
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is among ``ids`` (a column doc_id)."""
+    gone = stage(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(checked_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars as long as the text is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; rows that repeat an id go together."""
+    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs of 50 words or more go, and documents of nothing else."""
+    return _measured(drop_repeated_lines(docs, min_words=50))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of similar texts stays."""
+    return _without(docs, similar_documents(docs).where("kept = false"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return _measured(mask_pii(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii),
+    ("packing", packing),
+]
 
 #: Encoding by a vocabulary file has no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
