@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timberline import functions as fn
 from timberline import operators as op
+from timberline.functions.codes import parse_code
 from timberline.operators.error_tables import Code
 
 T0 = datetime(2026, 4, 1)
@@ -228,3 +229,20 @@ def test_display(spark):
     ]
     assert [show(fn.format_bytes(F.lit(n))) for n in (512, 1280, 1536, 120 * 2**20)] == ["512 B", "1.2 KB", "1.5 KB", "120 MB"]
     assert show(fn.split_csv_row(F.lit('a,"b,c",""'))) == ["a", "b,c", ""] and show(fn.basename(F.lit("/a/b/"))) == "b"
+
+
+def test_long_hexadecimal_tokens(spark):
+    texts = ["0x" + "f" * n for n in (4, 15, 16, 17, 32, 64)] + ["0x" + "0" * 30 + "e00002bc", "0x0", "12", "0xg", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [r[0] for r in df.orderBy("i").select(parse_code(F.col("t"))).collect()]
+    assert got == [0xFFFF, 16**15 - 1, None, None, None, None, 0xE00002BC - 2**32, 0, 12, None, None]
+
+
+def test_nothing_is_capped_unless_asked(spark):
+    df = spark.range(70_000).select(F.col("id").alias("entry_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("component"))
+    assert op.component_dictionary(df).agg(F.max("component_id")).head()[0] == 70_000
+    assert op.component_dictionary(df, cap=65_535).count() == 65_535
+    held = spark.range(12_000).select(F.col("id").alias("o"), F.lit(True).alias("paused"), F.lit(1).alias("pause_id"))
+    assert op.pause_buffer(held, "o").count() == 12_000
+    assert [tuple(r) for r in op.pause_drops(held).collect()] == [(1, 12_000, 0)]
+    assert [tuple(r) for r in op.pause_drops(held, 10_000).collect()] == [(1, 10_000, 2_000)]

@@ -83,7 +83,7 @@ def _diag_header(head: Column, ctx: ParseContext) -> Column:
     times = F.transform(
         dated,
         lambda r: parse_timestamp(
-            trim_blanks(F.substring(r["raw_line"], len(mark) + 1, 1_000)), "report", ctx.tz
+            trim_blanks(F.regexp_replace(r["raw_line"], "^Date/Time:", "")), "report", ctx.tz
         ),
     )
     return F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0))
@@ -92,7 +92,7 @@ def _diag_header(head: Column, ctx: ParseContext) -> Column:
 def _parse_diag(df: DataFrame, active: Column, ctx: ParseContext):
     raw, default = F.col("raw_line"), F.col(DIAG.header_column())
     shape = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s*[+-]\d{4})?)"
-    inline = F.regexp_replace(F.regexp_extract(F.substring(raw, 1, 30), shape, 1), r"\s+", " ")
+    inline = F.regexp_replace(F.regexp_extract(raw, shape, 1), r"\s+", " ")
     df = staged(df, _diag_inline=F.when(active, inline))
     known = default.isNotNull()
     return df, fields(

@@ -20,9 +20,11 @@ def parse_code(text: Column) -> Column:
     """A hexadecimal (``0x``) or decimal number as a long, else null.
 
     Hexadecimal values with only the 32-bit sign bit range are read as negative 32-bit numbers.
+    More than 16 digits after leading zeros are no code but a digest, and give null.
     """
     t = F.trim(text)
-    value = F.conv(F.substring(t, 3, 40), 16, 10).try_cast("long")
+    digits = F.regexp_extract(t, "^0[xX]0*([0-9A-Fa-f]+)$", 1)
+    value = F.when(F.length(digits) <= 16, F.conv(digits, 16, 10)).try_cast("long")
     signed = F.when((value > INT32_MAX) & (value <= UINT32_MAX), value - 2**32).otherwise(value)
     return F.when(t.rlike(r"^0[xX][0-9A-Fa-f]+$"), signed).otherwise(t.try_cast("long"))
 

@@ -13,7 +13,6 @@ MIN_ROWS = 10
 MIN_TIMED_SHARE = 0.1
 SPIKE_MULTIPLIER = 3.0
 SPIKE_FLOOR = 5
-PEAK_CAP = 100
 DAY_US = 86_400_000_000
 
 
@@ -156,9 +155,9 @@ def spikes(bars: DataFrame, multiplier: float = SPIKE_MULTIPLIER, floor: int = S
     )
 
 
-def retain_peaks(peaks: DataFrame, cap: int = PEAK_CAP) -> DataFrame:
-    """The ``cap`` largest peaks; the earlier of equal ones."""
-    return peaks.orderBy(F.desc("peak_count"), F.asc("peak_us")).limit(cap)
+def retain_peaks(peaks: DataFrame, cap: int | None = None) -> DataFrame:
+    """All peaks, or the ``cap`` largest; the earlier of equal ones."""
+    return peaks if cap is None else peaks.orderBy(F.desc("peak_count"), F.asc("peak_us")).limit(cap)
 
 
 def peak_shadows(bars: DataFrame, peaks: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from timberline.operators.ordered import Run, keyed, number_rows, running
 # Fixed values.
 KEEP, ADD = 0.6, 0.4
 STALL_SECONDS = 5
-PAUSE_CAPACITY = 10_000
 MIN_SHOWN_RATE = 0.5
 
 # Seconds that still weigh in the average: 0.6**160 is 3e-36, far below a double's precision
@@ -96,24 +95,28 @@ def pause_state(df: DataFrame, order: str, pause: Column, resume: Column) -> Dat
 
 
 def pause_buffer(
-    df: DataFrame, order: str, capacity: int = PAUSE_CAPACITY, stopped: Column | None = None
+    df: DataFrame, order: str, capacity: int | None = None, stopped: Column | None = None
 ) -> DataFrame:
     """Lines that get through, numbered in arrival order as ``live_number``.
 
-    Of the lines of one pause the last ``capacity`` are replayed and the older ones dropped; lines
-    of a ``stopped`` pause are all discarded. Expects ``paused`` and ``pause_id``.
+    All lines of a pause are replayed; with a ``capacity`` the last so many, and the older ones are
+    dropped. Lines of a ``stopped`` pause are all discarded. Expects ``paused`` and ``pause_id``.
     """
-    capacity = max(1, capacity)
-    kept = _ranked_from_end(df, order).where(~F.col("paused") | (F.col("_from_end") <= capacity))
+    kept = df
+    if capacity is not None:
+        last = F.col("_from_end") <= max(1, capacity)
+        kept = _ranked_from_end(df, order).where(~F.col("paused") | last).drop("_from_end")
     if stopped is not None:
         kept = kept.where(~(F.col("paused") & F.coalesce(stopped, F.lit(False))))
-    return number_rows(kept.drop("_from_end"), order, "live_number")
+    return number_rows(kept, order, "live_number")
 
 
-def pause_drops(df: DataFrame, capacity: int = PAUSE_CAPACITY) -> DataFrame:
-    """``(pause_id, buffered, dropped)`` per pause that saw lines."""
-    capacity = max(1, capacity)
+def pause_drops(df: DataFrame, capacity: int | None = None) -> DataFrame:
+    """``(pause_id, buffered, dropped)`` per pause that saw lines; without a capacity none drops."""
     held = df.where("paused").groupBy("pause_id").agg(F.count("*").alias("_n"))
+    if capacity is None:
+        return held.select("pause_id", F.col("_n").alias("buffered"), F.lit(0).cast("long").alias("dropped"))
+    capacity = max(1, capacity)
     return held.select(
         "pause_id",
         F.least("_n", F.lit(capacity).cast("long")).alias("buffered"),

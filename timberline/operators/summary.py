@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from timberline.operators.ordered import Run, number_sorted, running
 from timberline.schema import LEVELS
 
-COMPONENT_CAP = 65_535
-
 
 def level_counts(df: DataFrame) -> DataFrame:
     """``(level, name, rows)`` for all seven levels, zero where absent."""
@@ -39,12 +37,12 @@ def column_flags(df: DataFrame) -> DataFrame:
 
 
 def component_dictionary(
-    df: DataFrame, order: str = "entry_id", cap: int | None = COMPONENT_CAP
+    df: DataFrame, order: str = "entry_id", cap: int | None = None
 ) -> DataFrame:
     """``(component_id, component, first_row, rows)``, ids from 1 by first appearance.
 
-    0 stands for no component. With a ``cap``, components first seen after the cap get no id, as
-    a 16-bit column needs; ``cap=None`` numbers all of them.
+    0 stands for no component. All are numbered; only with a ``cap``, such as 65 535 for a 16-bit
+    column, components first seen after the cap get no id.
     """
     found = (
         df.where(F.col("component") != "")

@@ -373,7 +373,7 @@ tallest AS (SELECT (peak_us - f) * 60 // w AS bucket, max(peak_count) AS peak_co
 def spike_shadows(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks seen when the log was shown in 20 buckets, shadowed behind 60."""
     log = V.orders_log(spark, sf)
-    peaks = op.retain_peaks(op.spikes(op.histogram(log, 20), multiplier=0.9))
+    peaks = op.retain_peaks(op.spikes(op.histogram(log, 20), multiplier=0.9), 100)
     return op.peak_shadows(op.histogram(log), peaks)
 
 

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.formats import detect_format, parse_logs
-from timberline.operators.histogram import PEAK_CAP, peak_shadows, retain_peaks, spikes
+from timberline.operators.histogram import peak_shadows, retain_peaks, spikes
 from timberline.operators.ordered import number_rows, number_sorted
-from timberline.operators.rates import PAUSE_CAPACITY
 from timberline.schema import ERROR, WARNING
 from timberline.session import new_stage_path, path_exists
 
@@ -144,10 +143,10 @@ class LiveHistogram:
     """``foreachBatch`` handler over :func:`time_windows` in complete mode.
 
     Each batch writes the bars now, the shadows of past peaks on them, and the peaks to remember:
-    those of the bars about to be replaced are added first, and the largest hundred kept.
+    those of the bars about to be replaced are added first; with a ``cap`` the largest so many are kept.
     """
 
-    def __init__(self, root: str, buckets: int = 60, cap: int = PEAK_CAP):
+    def __init__(self, root: str, buckets: int = 60, cap: int | None = None):
         self.root, self.buckets, self.cap = root.rstrip("/"), buckets, cap
 
     def _path(self, part: str, batch: int) -> str:
@@ -166,11 +165,15 @@ class LiveHistogram:
         peak_shadows(bars, kept).write.mode("overwrite").parquet(self._path("shadows", batch))
 
 
+#: Held lines get places below those of a batch by so much; no batch has more lines.
+HELD_FIRST = 1 << 60
+
+
 class LiveLog:
     """``foreachBatch`` handler that parses, numbers and stores lines, and can be paused.
 
-    While ``paused()`` is true lines are held back, raw; only the last ``capacity`` are kept and
-    the dropped ones counted. The next batch that is not paused replays them first. Numbers
+    While ``paused()`` is true lines are held back, raw; with a ``capacity`` only the last so many
+    are kept and the dropped ones counted. The next batch that is not paused replays them first. Numbers
     continue from the rows so far, so drops leave no gap. ``order`` sorts the lines of a batch.
 
     Each batch writes its own folders from those of the batch before; one run again after a
@@ -184,12 +187,13 @@ class LiveLog:
         order: Callable[[], list[Column]],
         format: str | None = None,
         paused: Callable[[], bool] = lambda: False,
-        capacity: int = PAUSE_CAPACITY,
+        capacity: int | None = None,
         tz: str = "UTC",
         now=None,
     ):
         self.root, self.order, self.format = root.rstrip("/"), order, format
-        self.paused, self.capacity, self.tz, self.now = paused, max(1, capacity), tz, now
+        self.paused, self.tz, self.now = paused, tz, now
+        self.capacity = None if capacity is None else max(1, capacity)
 
     def _path(self, part: str, batch: int) -> str:
         return f"{self.root}/{part}/batch={batch}"
@@ -208,11 +212,11 @@ class LiveLog:
         # Held lines come before this batch's: their places are below zero.
         if batch > 0:
             held = spark.read.parquet(self._path("held", batch - 1))
-            lines = held.withColumn("_at", F.col("_at") - self.capacity).unionByName(lines, allowMissingColumns=True)
+            lines = held.withColumn("_at", F.col("_at") - HELD_FIRST).unionByName(lines, allowMissingColumns=True)
         waiting = number_sorted(lines, [F.col("_at")], "_n", 0, "waiting")
         total = waiting.count()
         if self.paused():
-            over = max(0, total - self.capacity)
+            over = 0 if self.capacity is None else max(0, total - self.capacity)
             kept = waiting.where(F.col("_n") >= over).withColumn("_at", F.col("_n") - over).drop("_n")
             kept.write.mode("overwrite").parquet(self._path("held", batch))
             dropped += over
