@@ -22,6 +22,7 @@ from timberline.llm.quality import BLANK_RUN, BLANKS
 #: The key of rows without an id: they come first.
 NO_ID = -(1 << 63)
 PLACE = ["doc", "digest"]
+BROADCAST_NUMBERS = 4_000_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,8 +155,10 @@ def _without_lines(docs: DataFrame, columns: list[Column | str], min_words: int,
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_digest"),
     )
+    # Lists of line numbers may be sent to all tasks up to 16 MB of them, counted; else rows are joined.
+    size = gone.agg(F.sum(F.size("removed") + 8)).head()[0] or 0
     gone = gone.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed"), F.col("removed_words").alias("_words"))
-    return rows.join(gone, ["_doc", "_digest"], "left")
+    return rows.join(F.broadcast(gone) if size <= BROADCAST_NUMBERS else gone, ["_doc", "_digest"], "left")
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
