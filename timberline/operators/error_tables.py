@@ -1,251 +1,20 @@
-"""Error codes by domain: symbol and number, as published by the systems that define them."""
+"""Error codes by domain: the dimension that lookups use, and how numbers are tried in it.
+
+The codes are fixed values: domains, numbers and symbols have to be these for lookups to give the
+expected matches. They are plain rows of ``error_codes.csv`` beside this file, one a code, in the order
+of domains; descriptions are this library's own words.
+"""
 
 from __future__ import annotations
 
-import errno
-import os
-import re
-import signal
+import csv
 from functools import lru_cache
-from http import HTTPStatus
+from pathlib import Path
 from typing import NamedTuple
 
-# Fixed values. Each table reads: a number, then the symbols from there on, counting away from
-# zero; a new number starts a new run.
-
-ERRNO = """
-1 EPERM ENOENT ESRCH EINTR EIO ENXIO E2BIG ENOEXEC EBADF ECHILD EDEADLK ENOMEM EACCES EFAULT
-ENOTBLK EBUSY EEXIST EXDEV ENODEV ENOTDIR EISDIR EINVAL ENFILE EMFILE ENOTTY ETXTBSY EFBIG ENOSPC
-ESPIPE EROFS EMLINK EPIPE EDOM ERANGE EAGAIN EINPROGRESS EALREADY ENOTSOCK EDESTADDRREQ EMSGSIZE
-EPROTOTYPE ENOPROTOOPT EPROTONOSUPPORT ESOCKTNOSUPPORT ENOTSUP EPFNOSUPPORT EAFNOSUPPORT
-EADDRINUSE EADDRNOTAVAIL ENETDOWN ENETUNREACH ENETRESET ECONNABORTED ECONNRESET ENOBUFS EISCONN
-ENOTCONN ESHUTDOWN ETOOMANYREFS ETIMEDOUT ECONNREFUSED ELOOP ENAMETOOLONG EHOSTDOWN EHOSTUNREACH
-ENOTEMPTY EPROCLIM EUSERS EDQUOT ESTALE EREMOTE EBADRPC ERPCMISMATCH EPROGUNAVAIL EPROGMISMATCH
-EPROCUNAVAIL ENOLCK ENOSYS EFTYPE EAUTH ENEEDAUTH EPWROFF EDEVERR EOVERFLOW EBADEXEC EBADARCH
-ESHLIBVERS EBADMACHO ECANCELED EIDRM ENOMSG EILSEQ ENOATTR EBADMSG EMULTIHOP ENODATA ENOLINK ENOSR
-ENOSTR EPROTO ETIME EOPNOTSUPP ENOPOLICY ENOTRECOVERABLE EOWNERDEAD EQFULL ENOTCAPABLE
-"""
-
-OSSTATUS = """
-0 noErr
--1 qErr vTypErr corErr unimpErr
--17 controlErr statusErr readErr writErr badUnitErr unitEmptyErr openErr closErr dRemovErr
--27 abortErr notOpenErr
--33 dirFulErr dskFulErr nsvErr ioErr bdNamErr fnOpnErr eofErr posErr mFulErr tmfoErr fnfErr wPrErr
-fLckdErr vLckdErr fBsyErr dupFNErr opWrErr paramErr rfNumErr gfpErr volOffLinErr permErr
-volOnLinErr nsDrvErr noMacDskErr extFSErr fsRnErr badMDBErr wrPermErr
--64 noDriveErr
--108 memFullErr nilHandleErr memAdrErr memWZErr memPurErr memAZErr memPCErr
--117 memLockedErr
--120 dirNFErr
--122 badMovErr wrgVolTypErr
--127 fsDSIntErr userCanceledErr
--185 badExtResource CantDecompress
--188 resourceInMemory writingPastEnd
--192 resNotFound resFNotFound addResFailed addRefFailed rmvResFailed rmvRefFailed resAttrErr mapReadErr
-noHardwareErr notEnoughHardwareErr
--1700 errAECoercionFail errAEDescNotFound
--1703 errAEWrongDataType errAENotAEDesc
--1708 errAEEventNotHandled
--1712 errAETimeout errAENoUserInteraction
--5000 afpAccessDenied
--5551 gestaltUnknownErr
--10660 kLSAppInTrashErr
--10810 kLSUnknownErr kLSNotAnApplicationErr
--10813 kLSDataUnavailableErr kLSApplicationNotFoundErr
--10817 kLSDataErr kLSLaunchInProgressErr
--10822 kLSServerCommunicationErr kLSCannotSetInfoErr
--10827 kLSIncompatibleApplicationVersionErr kLSNoRosettaEnvironmentErr
--10846 kAudioHardwareNotRunningError kAudioHardwareUnexpectedFileFormatError
-kAudioHardwareIllegalOperationError kAudioHardwareBadObjectError kAudioHardwareBadDeviceError
-kAudioHardwareBadStreamError kAudioHardwareUnsupportedOperationError kAudioHardwareNotReadyError
--10863 kAudioHardwareUnspecifiedError kAudioHardwareUnknownPropertyError
-kAudioHardwareBadPropertySizeError kAudioHardwareIllegalOperationError
-kAudioHardwareBadObjectError_Legacy
--10875 kAudioUnitErr_InvalidProperty
--10877 kAudioUnitErr_InvalidElement
--25260 errSecReadOnlyAttr errSecWrongSecVersion errSecKeySizeNotAllowed errSecNoStorageModule
-errSecNoCertificateModule errSecNoPolicyModule
--25291 errSecNotAvailable errSecReadOnly errSecAuthFailed errSecNoSuchKeychain errSecInvalidKeychain
-errSecDuplicateKeychain errSecDuplicateCallback errSecInvalidCallback errSecDuplicateItem
-errSecItemNotFound errSecBufferTooSmall
--25303 errSecNoSuchAttr errSecInvalidItemRef errSecInvalidSearchRef errSecNoSuchClass
-errSecNoDefaultKeychain errSecInteractionNotAllowed
--25316 errSecDataNotAvailable errSecDataNotModifiable errSecCreateChainFailed
--26275 errSecDecode
--67028 errSecCSOutdated errSecCSInvalidObjectRef errSecCSUnsigned errSecCSSignatureFailed
-errSecCSSignatureNotVerifiable errSecCSSignatureUnsupported errSecCSBadDictionaryFormat
-errSecCSResourcesNotSealed errSecCSResourcesNotFound errSecCSResourcesInvalid errSecCSBadResource
-errSecCSResourceRulesInvalid errSecCSReqInvalid errSecCSReqUnsupported errSecCSReqFailed
-errSecCSBadObjectFormat errSecCSInternalError errSecCSHostReject errSecCSNotAHost
-errSecCSSignatureInvalid errSecCSHostProtocolRelativePath errSecCSHostProtocolContradiction
-errSecCSHostProtocolDedicationError errSecCSHostProtocolNotProxy errSecCSHostProtocolStateError
-errSecCSHostProtocolUnrelated
--67060 errSecCSStaticCodeNotFound errSecCSUnsupportedGuestAttributes errSecCSInvalidAttributeValues
--67066 errSecCSNoSuchCode errSecCSMultipleGuests
-"""
-
-IORETURN = """
-0x0 kIOReturnSuccess
-0xE0000001 kIOReturnInvalid
-0xE00002BC kIOReturnError kIOReturnNoMemory kIOReturnNoResources kIOReturnIPCError kIOReturnNoDevice
-kIOReturnNotPrivileged kIOReturnBadArgument kIOReturnLockedRead kIOReturnLockedWrite
-kIOReturnExclusiveAccess kIOReturnBadMessageID kIOReturnUnsupported kIOReturnVMError
-kIOReturnInternalError kIOReturnIOError
-0xE00002CC kIOReturnCannotLock kIOReturnNotOpen kIOReturnNotReadable kIOReturnNotWritable
-kIOReturnNotAligned kIOReturnBadMedia kIOReturnStillOpen kIOReturnRLDError kIOReturnDMAError
-kIOReturnBusy kIOReturnTimeout kIOReturnOffline kIOReturnNotReady kIOReturnNotAttached
-kIOReturnNoChannels kIOReturnNoSpace
-0xE00002DD kIOReturnPortExists kIOReturnCannotWire kIOReturnNoInterrupt kIOReturnNoFrames
-kIOReturnMessageTooLarge kIOReturnNotPermitted kIOReturnNoPower kIOReturnNoMedia
-kIOReturnUnformattedMedia kIOReturnUnsupportedMode kIOReturnUnderrun kIOReturnOverrun
-kIOReturnDeviceError kIOReturnNoCompletion kIOReturnAborted kIOReturnNoBandwidth
-kIOReturnNotResponding kIOReturnIsoTooOld kIOReturnIsoTooNew kIOReturnNotFound
-0xE0004061 kIOUSBPipeStalled
-"""
-
-MACH = """
-0 KERN_SUCCESS KERN_INVALID_ADDRESS KERN_PROTECTION_FAILURE KERN_NO_SPACE KERN_INVALID_ARGUMENT
-KERN_FAILURE KERN_RESOURCE_SHORTAGE KERN_NOT_RECEIVER KERN_NO_ACCESS KERN_MEMORY_FAILURE
-KERN_MEMORY_ERROR KERN_ALREADY_IN_SET KERN_NOT_IN_SET KERN_NAME_EXISTS KERN_ABORTED
-KERN_INVALID_NAME KERN_INVALID_TASK KERN_INVALID_RIGHT KERN_INVALID_VALUE KERN_UREFS_OVERFLOW
-KERN_INVALID_CAPABILITY KERN_RIGHT_EXISTS KERN_INVALID_HOST KERN_MEMORY_PRESENT
-KERN_MEMORY_DATA_MOVED KERN_MEMORY_RESTART_COPY KERN_INVALID_PROCESSOR_SET KERN_POLICY_LIMIT
-KERN_INVALID_POLICY KERN_INVALID_OBJECT KERN_ALREADY_WAITING KERN_DEFAULT_SET
-KERN_EXCEPTION_PROTECTED KERN_INVALID_LEDGER KERN_INVALID_MEMORY_CONTROL KERN_INVALID_SECURITY
-KERN_NOT_DEPRESSED KERN_TERMINATED KERN_LOCK_SET_DESTROYED KERN_LOCK_UNSTABLE KERN_LOCK_OWNED
-KERN_LOCK_OWNED_SELF KERN_SEMAPHORE_DESTROYED KERN_RPC_SERVER_TERMINATED KERN_RPC_TERMINATE_ORPHAN
-KERN_RPC_CONTINUE_ORPHAN KERN_NOT_SUPPORTED KERN_NODE_DOWN KERN_NOT_WAITING
-KERN_OPERATION_TIMED_OUT KERN_CODESIGN_ERROR KERN_POLICY_STATIC KERN_INSUFFICIENT_BUFFER_SIZE
-KERN_DENIED KERN_MISSING_KC KERN_INVALID_KC KERN_NOT_FOUND KERN_INVALID_GUARD_OBJECT_SLOT
-"""
-
-CFNETWORK = """
--1 Unknown
--999 Cancelled BadURL TimedOut UnsupportedURL CannotFindHost CannotConnectToHost
-NetworkConnectionLost DNSLookupFailed HTTPTooManyRedirects ResourceUnavailable
-NotConnectedToInternet RedirectToNonExistentLocation BadServerResponse UserCancelledAuthentication
-UserAuthenticationRequired ZeroByteResource CannotDecodeRawData CannotDecodeContentData
-CannotParseResponse InternationalRoamingOff CallIsActive DataNotAllowed RequestBodyStreamExhausted
-AppTransportSecurityRequiresSecureConnection
--1100 FileDoesNotExist FileIsDirectory NoPermissionsToReadFile DataLengthExceedsMaximum
-FileOutsideSafeArea
--1200 SecureConnectionFailed ServerCertificateHasBadDate ServerCertificateUntrusted
-ServerCertificateHasUnknownRoot ServerCertificateNotYetValid ClientCertificateRejected
-ClientCertificateRequired
--2000 CannotLoadFromNetwork
--3000 CannotCreateFile CannotOpenFile CannotCloseFile CannotWriteToFile CannotRemoveFile
-CannotMoveFile DownloadDecodingFailedMidStream DownloadDecodingFailedToComplete
-"""
-
-COCOA = """
-4 NSFileNoSuchFileError
-255 NSFileLockingError NSFileReadUnknownError NSFileReadNoPermissionError
-NSFileReadInvalidFileNameError NSFileReadCorruptFileError NSFileReadNoSuchFileError
-NSFileReadInapplicableStringEncodingError NSFileReadUnsupportedSchemeError NSFileReadTooLargeError
-NSFileReadUnknownStringEncodingError
-512 NSFileWriteUnknownError NSFileWriteNoPermissionError NSFileWriteInvalidFileNameError
-516 NSFileWriteFileExistsError NSFileWriteInapplicableStringEncodingError
-NSFileWriteUnsupportedSchemeError
-640 NSFileWriteOutOfSpaceError
-642 NSFileWriteVolumeReadOnlyError
-1024 NSExecutableNotLoadableError NSExecutableArchitectureMismatchError
-NSExecutableRuntimeMismatchError NSExecutableLoadError NSExecutableLinkError
-3840 NSPropertyListReadCorruptError NSPropertyListReadUnknownVersionError
-NSPropertyListReadStreamError
-3851 NSPropertyListWriteStreamError NSPropertyListWriteInvalidError
-4097 NSXPCConnectionInterrupted
-4099 NSXPCConnectionInvalid
-4101 NSXPCConnectionReplyInvalid
-4352 NSUbiquitousFileUnavailableError NSUbiquitousFileNotUploadedDueToQuotaError
-NSUbiquitousFileUbiquityServerNotAvailable
-133000 NSManagedObjectValidationError
-133010 NSManagedObjectConstraintValidationError
-133020 NSValidationMultipleErrorsError
-134060 NSPersistentStoreSaveError
-134080 NSPersistentStoreOpenError
-134090 NSPersistentStoreTimeoutError
-134100 NSPersistentStoreIncompatibleSchemaError
-"""
-
-SECURITY = """
-0 errSecSuccess
--4 errSecUnimplemented
--34 errSecDiskFull
--36 errSecIO
--49 errSecOpWr errSecParam
--61 errSecWrPerm
--108 errSecAllocate
--128 errSecUserCanceled
--909 errSecBadReq
--2070 errSecInternalComponent
--4960 errSecCoreFoundationUnknown
--25240 errSecACLNotSimple errSecPolicyNotFound
--25243 errSecNoAccessForItem errSecInvalidOwnerEdit errSecTrustNotAvailable
--25291 errSecNotAvailable errSecReadOnly errSecAuthFailed errSecNoSuchKeychain errSecInvalidKeychain
-errSecDuplicateKeychain errSecDuplicateCallback errSecInvalidCallback errSecDuplicateItem
-errSecItemNotFound errSecBufferTooSmall errSecDataTooLarge errSecNoSuchAttr errSecInvalidItemRef
-errSecInvalidSearchRef errSecNoSuchClass errSecNoDefaultKeychain errSecInteractionNotAllowed
-errSecReadOnlyAttr errSecWrongSecVersion errSecKeySizeNotAllowed errSecNoStorageModule
-errSecNoCertificateModule errSecNoPolicyModule errSecInteractionRequired errSecDataNotAvailable
-errSecDataNotModifiable errSecCreateChainFailed errSecInvalidPrefsDomain errSecInDarkWake
--26267 errSecNotSigner
--26275 errSecDecode
--34018 errSecMissingEntitlement
--34020 errSecRestrictedAPI
--67694 errSecInvalidValue
--67871 errSecMissingValue
-"""
-
-SIGNALS = """
-1 SIGHUP SIGINT SIGQUIT SIGILL SIGTRAP SIGABRT SIGEMT SIGFPE SIGKILL SIGBUS SIGSEGV SIGSYS SIGPIPE
-SIGALRM SIGTERM SIGURG SIGSTOP SIGTSTP SIGCONT SIGCHLD SIGTTIN SIGTTOU SIGIO SIGXCPU SIGXFSZ
-SIGVTALRM SIGPROF SIGWINCH SIGINFO SIGUSR1 SIGUSR2
-"""
-
-SQLITE = """
-0 OK ERROR INTERNAL PERM ABORT BUSY LOCKED NOMEM READONLY INTERRUPT IOERR CORRUPT NOTFOUND FULL
-CANTOPEN PROTOCOL EMPTY SCHEMA TOOBIG CONSTRAINT MISMATCH MISUSE NOLFS AUTH FORMAT RANGE NOTADB
-NOTICE WARNING
-100 ROW DONE
-261 BUSY_RECOVERY
-266 IOERR_READ CORRUPT_VTAB
-275 CONSTRAINT_CHECK
-522 IOERR_SHORT_READ
-778 IOERR_WRITE
-787 CONSTRAINT_FOREIGNKEY
-1034 IOERR_FSYNC
-1290 IOERR_DIR_FSYNC
-1555 CONSTRAINT_PRIMARYKEY
-2067 CONSTRAINT_UNIQUE
-"""
-
-GRPC = """
-0 OK CANCELLED UNKNOWN INVALID_ARGUMENT DEADLINE_EXCEEDED NOT_FOUND ALREADY_EXISTS PERMISSION_DENIED
-RESOURCE_EXHAUSTED FAILED_PRECONDITION ABORTED OUT_OF_RANGE UNIMPLEMENTED INTERNAL UNAVAILABLE
-DATA_LOSS UNAUTHENTICATED
-"""
+CODES_FILE = Path(__file__).with_name("error_codes.csv")
 
-BONJOUR = """
-0 NoError
--65537 Unknown NoSuchName NoMemory BadParam BadReference BadState BadFlags Unsupported NotInitialized
--65547 AlreadyRegistered NameConflict Invalid Firewall Incompatible BadInterfaceIndex Refused
-NoSuchRecord NoAuth NoSuchKey NATTraversal DoubleNAT BadTime BadSig BadKey Transient
-ServiceNotRunning NATPortMappingUnsupported NATPortMappingDisabled NoRouter PollingMode Timeout
-DefunctConnection PolicyDenied NotPermitted StaleData
-"""
-
-EXIT = """
-0 EXIT_SUCCESS EXIT_FAILURE EXIT_MISUSE
-64 EX_USAGE EX_DATAERR EX_NOINPUT EX_NOUSER EX_NOHOST EX_UNAVAILABLE EX_SOFTWARE EX_OSERR EX_OSFILE
-EX_CANTCREAT EX_IOERR EX_TEMPFAIL EX_PROTOCOL EX_NOPERM EX_CONFIG
-126 EXIT_NOT_EXECUTABLE EXIT_NOT_FOUND EXIT_INVALID_ARG
-255 EXIT_OUT_OF_RANGE
-"""
-# Signals that have an exit code of their own, 128 above the signal's number.
-EXIT_SIGNALS = "HUP INT QUIT ILL ABRT FPE KILL BUS SEGV PIPE ALRM TERM XCPU XFSZ"
-
-# Domains in the order numbers are tried.
+# Domains in the order numbers are tried.
 DOMAINS = [
     "errno",
     "OSStatus",
@@ -262,7 +31,7 @@ DOMAINS = [
     "HTTP",
 ]
 
-# Numbers a domain is tried for; the others take any 32-bit number.
+# Numbers a domain is tried for; the others take any 32-bit number.
 NUMBER_RANGE = {"gRPC": (0, 16), "Exit Code": (0, 255), "HTTP": (1, 599)}
 
 
@@ -273,60 +42,13 @@ class Code(NamedTuple):
     description: str
 
 
-def _runs(table: str, prefix: str = "") -> list[tuple[int, str]]:
-    out, at = [], 0
-    for word in table.split():
-        if re.fullmatch(r"-?\d+|0x[0-9A-F]+", word):
-            at = int(word, 0)
-        else:
-            out.append((at, prefix + word))
-            at += -1 if at < 0 else 1
-    return out
-
-
-def _words(symbol: str) -> str:
-    """A readable form of a symbol: prefix off, words apart."""
-    bare = re.sub(
-        r"^(kIOReturn|kDNSServiceErr_|kAudioHardware|kAudioUnitErr_|kLS|kIO|errSecCS|errSec|errAE"
-        r"|NSURLError|NS|KERN_|SQLITE_|EXIT_|EX_|SIG)", "", symbol)
-    bare = re.sub(r"(Error|Err)$", "", bare) or bare
-    words = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|_", " ", bare).split()
-    text = " ".join(w if w.isupper() and "_" not in symbol and len(w) > 1 else w.lower() for w in words)
-    return text[:1].upper() + text[1:]
-
-
-def _describe(domain: str, symbol: str) -> str:
-    if domain == "errno" and hasattr(errno, symbol):
-        return os.strerror(getattr(errno, symbol))
-    if domain == "POSIX Signal" and hasattr(signal, symbol):
-        return signal.strsignal(getattr(signal, symbol)) or _words(symbol)
-    return _words(symbol)
+def load_codes(path: str | Path) -> list[Code]:
+    """Codes from a CSV file of the driver with the header ``domain,code,symbol,description``."""
+    with open(path, newline="", encoding="utf-8") as f:
+        return [Code(r["domain"], int(r["code"]), r["symbol"], r["description"]) for r in csv.DictReader(f)]
 
 
 @lru_cache(maxsize=1)
 def built_in_codes() -> tuple[Code, ...]:
     """All codes, domain by domain, with 32-bit numbers."""
-    signals = {name: number for number, name in _runs(SIGNALS)}
-    exits = _runs(EXIT) + [
-        (128 + signals[f"SIG{s}"], f"EXIT_SIGNALED_{s}") for s in EXIT_SIGNALS.split()
-    ]
-    tables = {
-        "errno": _runs(ERRNO),
-        "OSStatus": _runs(OSSTATUS),
-        "IOReturn": [(n - 2**32 if n >= 2**31 else n, s) for n, s in _runs(IORETURN)],
-        "Mach": _runs(MACH),
-        "CFNetwork": _runs(CFNETWORK, "NSURLError"),
-        "Cocoa": _runs(COCOA),
-        "Security": _runs(SECURITY),
-        "POSIX Signal": _runs(SIGNALS),
-        "SQLite": _runs(SQLITE, "SQLITE_"),
-        "gRPC": _runs(GRPC),
-        "Bonjour": _runs(BONJOUR, "kDNSServiceErr_"),
-        "Exit Code": sorted(exits),
-        "HTTP": [(int(s), s.phrase) for s in HTTPStatus],
-    }
-    return tuple(
-        Code(domain, number, symbol, _describe(domain, symbol))
-        for domain in DOMAINS
-        for number, symbol in tables[domain]
-    )
+    return tuple(load_codes(CODES_FILE))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.functions.codes import code_hex, extract_error_tokens, parse_code
-from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, Code, built_in_codes
+from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, Code, built_in_codes, load_codes
 from timberline.settle import staged
 
 MATCH_TYPE = T.StructType(
@@ -31,14 +31,6 @@ MATCH_TYPE = T.StructType(
 UNNAMED = {"HTTP"}
 
 
-def load_codes(path: str) -> list[Code]:
-    """Codes from a CSV file with the header ``domain,code,symbol,description``."""
-    import csv
-
-    with open(path, newline="", encoding="utf-8") as f:
-        return [Code(r["domain"], int(r["code"]), r["symbol"], r["description"]) for r in csv.DictReader(f)]
-
-
 def _rank(domain: str) -> int:
     return DOMAINS.index(domain) if domain in DOMAINS else len(DOMAINS)
 
