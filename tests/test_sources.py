@@ -74,6 +74,23 @@ def test_ingest_only_what_changed(spark, folder):
     assert [(r.line_number, r.level) for r in now.orderBy("line_number").collect()] == [(1, 3), (3, 1)]
 
 
+def test_ingest_of_json_and_reports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "j.log").write_text("".join(f'{{"level":"warn","message":"m{i}"}}\n' for i in range(5)))
+    (tmp_path / "in" / "r.ips").write_text('{"timestamp":"2026-05-01 08:00:00.00 +0000","app_name":"Pump","bug_type":"309"}\nbody\n')
+    (tmp_path / "in" / "p.log").write_text("ERROR pipe burst\n")
+    table, root = f"{tmp_path}/t", f"{tmp_path}/in"
+    assert ingest_changed(spark, log_catalog(spark, root), table) == 3
+    rows = read_ingested(spark, table)
+    got = sorted((os.path.basename(r.source_id), r.line_number) for r in rows.collect())
+    assert got == [("j.log", n) for n in range(1, 6)] + [("p.log", 1)] + [("r.ips", n) for n in range(3)]
+    assert rows.where("message is null").count() == 0
+    (tmp_path / "in" / "j.log").unlink()
+    assert ingest_changed(spark, log_catalog(spark, root), table) == 0
+    assert read_ingested(spark, table).count() == 4
+    assert ingest_changed(spark, log_catalog(spark, root), table) == 0
+
+
 def test_log_table_keeps_rows(spark, folder):
     root, _ = folder
     df = parse_logs(read_log_lines(spark, f"{root}/in/a0.log"), "plain")

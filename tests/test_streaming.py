@@ -5,8 +5,9 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
+from timberline.formats import parse_logs
 from timberline.plans import views as V
-from timberline.streaming import LiveLog, rate_and_stall, stream_log_lines, stream_table, time_windows
+from timberline.streaming import LiveLog, rate_and_stall, stream_log_lines, stream_table, time_windows, to_table
 from timberline.streaming.live import LiveHistogram
 from timberline.streaming.rates import _combine, tick
 
@@ -83,3 +84,26 @@ def test_rate_stream(spark, tmp_path):
     finally:
         running.stop()
     assert sum(r.lines for r in out) == 3 and any(r.idle_seconds > 0 for r in out)
+
+
+def test_each_live_source_has_its_own_header(spark, tmp_path):
+    groups = [
+        ["timestamp,level,component,message", f"2026-05-0{n} 08:00:00,WARN,pump,flow {n}", f"2026-05-0{n} 09:00:00,INFO,pump,flow again"]
+        for n in (1, 2, 3)
+    ]
+    lines = batches(spark, tmp_path, groups)
+    live = LiveLog(f"{tmp_path}/log", lambda: [F.col("raw_line").startswith("2026"), F.col("raw_line")])
+    query = lines.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+    query.foreachBatch(live).start().awaitTermination()
+    rows = live.rows(spark).orderBy("line_number").collect()
+    assert [r.line_number for r in rows] == list(range(1, 10))
+    assert sum(r.message.startswith("CSV Header: ") for r in rows) == 3
+    assert sorted(r.level for r in rows if r.component == "pump") == [1, 1, 1, 3, 3, 3]
+
+
+def test_reports_on_a_stream_keep_their_text(spark, tmp_path):
+    lines = batches(spark, tmp_path, [["Date/Time: 2026-05-01 08:00:00", "stuck"], ["{", "x"]])
+    for fmt in ("diag", "ips", "unheard"):
+        out = to_table(parse_logs(lines.withColumn("format", F.lit(fmt)), "column"), label="reports")
+        assert sorted((r.level, r.message) for r in out.collect()) == [(1, "Date/Time: 2026-05-01 08:00:00"), (1, "stuck"), (1, "x"), (1, "{")]
+    assert to_table(parse_logs(lines, "diag"), label="reports").where("message = raw_line").count() == 4

@@ -11,7 +11,7 @@ from timberline.formats.jsonl import JSON, UNIFIED
 from timberline.formats.plain import PLAIN
 from timberline.formats.reports import DIAG, IPS
 from timberline.formats.sccm import SCCM
-from timberline.schema import LOG_SCHEMA, PARSED_FIELDS
+from timberline.schema import INFO, LOG_SCHEMA, PARSED_FIELDS
 from timberline.session import prefer_compiled
 
 SAMPLE_LINES = 50
@@ -43,11 +43,13 @@ def unregister_format(name: str) -> None:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """``(source_id, _head)``: the first lines of each source, in order; at most 50 per source."""
-    return (
-        lines.where(F.col("line_number").between(1, SAMPLE_LINES) & (F.col("raw_line") != ""))
-        .groupBy("source_id")
-        .agg(F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("_head"))
+    """``(source_id, _head[, _kinds])``: the first lines of each source, in order, at most 50 per
+    source; and the formats that these lines are given, if lines are given any.
+    """
+    first = lines.where(F.col("line_number").between(1, SAMPLE_LINES) & (F.col("raw_line") != ""))
+    kinds = [F.collect_set("format").alias("_kinds")] if "format" in lines.columns else []
+    return first.groupBy("source_id").agg(
+        F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("_head"), *kinds
     )
 
 
@@ -79,32 +81,39 @@ def parse_logs(
     ``format`` names one format for all lines; ``"auto"`` detects it per source; ``"column"``
     takes it from a ``format`` column already there (a stream, or a manifest that knows).
 
+    Reports need the top of their file, which a stream doesn't have at hand: there, as with formats
+    that nobody knows, their lines are plain messages of level info.
+
     Detection and file headers come from one pass over the first lines of each source. That
     table has a row per source and is joined without a broadcast hint: Spark broadcasts it by
     its measured size, and otherwise splits a source that holds most of the lines.
     """
     ctx = ParseContext(tz, now, honor_offset)
     prefer_compiled(lines.sparkSession)
+    if format == "auto" and lines.isStreaming:
+        raise ValueError("a stream has no first lines to detect a format from; name it, or use 'column'")
     if format in ("auto", "column"):
         chosen = formats()
-        if lines.isStreaming:
-            chosen = [f for f in chosen if not f.file_scoped]
     elif format in _formats:
         chosen = [_formats[format]]
+        lines = lines.withColumn("format", F.lit(format))
     else:
         raise ValueError(f"unknown format {format!r}; known: {sorted(_formats)}")
+    if lines.isStreaming:
+        chosen = [f for f in chosen if not f.file_scoped]
     if "entry_id" not in lines.columns:
         lines = lines.withColumn("entry_id", F.lit(None).cast("long"))
     lines = lines.where(F.col("raw_line") != "")
 
     headed = [f for f in chosen if f.file_scoped]
     if format == "auto" or headed:
-        heads = _heads(lines)
+        heads = _heads(lines.drop("format") if format == "auto" else lines)
         if format == "auto":
             heads = _scored(heads)
-        # A header is read only for sources of its format; with "column" the format is per line.
+            lines = lines.drop("format")
+        # A header is read only for sources of its format.
         def mine(f: LogFormat) -> Column:
-            return F.col("format") == f.name if format == "auto" else F.lit(True)
+            return F.col("format") == f.name if format == "auto" else F.array_contains("_kinds", f.name)
 
         heads = heads.withColumns(
             {f.header_column(): F.when(mine(f), f.header(F.col("_head"), ctx)) for f in headed}
@@ -135,6 +144,8 @@ def _title_rows(heads: DataFrame, fmt: LogFormat, like: DataFrame) -> DataFrame:
 
 def _parse_as(lines: DataFrame, chosen: list[LogFormat], ctx: ParseContext) -> DataFrame:
     one = len(chosen) == 1
+    # What a line of no format at hand is.
+    bare = {"level": F.lit(INFO), "message": F.col("raw_line")}
     base = lines.columns
     df, parsed = lines, {}
     for fmt in chosen:
@@ -144,11 +155,11 @@ def _parse_as(lines: DataFrame, chosen: list[LogFormat], ctx: ParseContext) -> D
     def field(name: str) -> Column:
         if one:
             return parsed[chosen[0].name][name]
-        out = None
+        out = F.when(F.lit(False), None)
         for fmt in chosen:
             value = parsed[fmt.name][name].cast(LOG_SCHEMA[name].dataType)
-            out = (out.when if out is not None else F.when)(F.col("format") == fmt.name, value)
-        return out
+            out = out.when(F.col("format") == fmt.name, value)
+        return out.otherwise(bare.get(name, F.lit(None)))
 
     settled = df.select(
         *base, *[settle(field(n).cast(LOG_SCHEMA[n].dataType)).alias(n) for n in PARSED_FIELDS]

@@ -49,9 +49,9 @@ def ingest_changed(
     """Bring the table under ``root`` up to date with the catalogued files; returns files parsed.
 
     A file is parsed again when its size or time differs from the manifest, which covers growth,
-    truncation and replacement. Its old rows go: each run writes one new generation of rows and
-    the manifest says which generation is current for a file, so a run that dies midway changes
-    nothing and readers never see half a file.
+    truncation and replacement. Its old rows go, as do those of files no longer catalogued: each run
+    writes one new generation of rows and the manifest says which generation is current for a file,
+    so a run that dies midway changes nothing and readers never see half a file.
     """
     manifest_path, rows_path = f"{root}/manifest", f"{root}/rows"
     schema = "path string, source_id string, size long, modified timestamp, generation long, format string"
@@ -60,9 +60,13 @@ def ingest_changed(
         if path_exists(spark, manifest_path)
         else spark.createDataFrame([], schema)
     )
-    todo = stage(changed_files(catalog.select("path", "source_id", "size", "modified"), old), "changed")
+    # Listed once: the folder may change meanwhile.
+    catalog = stage(catalog.select("path", "source_id", "size", "modified"), "catalog")
+    todo, here = stage(changed_files(catalog, old), "changed"), catalog.select("path")
     paths = [r["path"] for r in todo.select("path").toLocalIterator()]
     if not paths:
+        if not old.join(here, "path", "left_anti").isEmpty():
+            _write_manifest(old.join(here, "path", "left_semi"), manifest_path, spark)
         return 0
     generation = (old.agg(F.max("generation")).first()[0] or 0) + 1
     lines = read_log_lines(spark, paths)
@@ -79,13 +83,17 @@ def ingest_changed(
         fresh = fresh.withColumn("format", F.lit(format))
     else:
         fresh = fresh.join(kinds, "source_id", "left")
-    kept = old.join(fresh.select("path"), "path", "left_anti")
-    kept.unionByName(fresh.select(*kept.columns)).write.mode("errorifexists").parquet(
-        f"{manifest_path}/{generation:09d}"
-    )
+    kept = old.join(here, "path", "left_semi").join(fresh.select("path"), "path", "left_anti")
+    _write_manifest(kept.unionByName(fresh.select(*kept.columns)), manifest_path, spark)
     return len(paths)
 
 
+def _write_manifest(manifest: DataFrame, manifest_path: str, spark: SparkSession) -> None:
+    """A new manifest after the latest; manifests are numbered by themselves."""
+    last = int(_latest(spark, manifest_path).rsplit("/", 1)[1]) if path_exists(spark, manifest_path) else 0
+    manifest.write.mode("errorifexists").parquet(f"{manifest_path}/{last + 1:09d}")
+
+
 def _latest(spark: SparkSession, manifest_path: str) -> str:
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(manifest_path)

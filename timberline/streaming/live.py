@@ -15,7 +15,7 @@ from timberline.formats import detect_format, parse_logs
 from timberline.operators.histogram import peak_shadows, retain_peaks, spikes
 from timberline.operators.ordered import number_rows, number_sorted
 from timberline.schema import ERROR, WARNING
-from timberline.session import new_stage_path, path_exists
+from timberline.session import new_stage_path
 
 WATERMARK = "10 minutes"
 
@@ -198,15 +198,16 @@ class LiveLog:
     def _path(self, part: str, batch: int) -> str:
         return f"{self.root}/{part}/batch={batch}"
 
-    def _before(self, spark: SparkSession, batch: int) -> tuple[int, int]:
+    def _before(self, spark: SparkSession, batch: int) -> tuple[int, int, int]:
+        """Rows let through, lines dropped, and the batch that last wrote the sources (-1: none)."""
         if batch == 0:
-            return 0, 0
+            return 0, 0, -1
         row = spark.read.parquet(self._path("state", batch - 1)).first()
-        return row["rows"], row["dropped"]
+        return row["rows"], row["dropped"], row["sources"]
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
         spark = lines.sparkSession
-        rows, dropped = self._before(spark, batch)
+        rows, dropped, known = self._before(spark, batch)
         if self.order:
             lines = number_sorted(lines, self.order(), "_at", 0, "batch")
         # Held lines come before this batch's: their places are below zero.
@@ -221,35 +222,39 @@ class LiveLog:
             kept.write.mode("overwrite").parquet(self._path("held", batch))
             dropped += over
         else:
-            numbered = waiting.withColumns(
-                {"entry_id": F.col("_n") + rows, "line_number": F.col("_n") + rows + 1}
-            ).drop("_at", "_n")
-            self._parse(numbered, batch).write.mode("overwrite").parquet(self._path("rows", batch))
+            numbered = waiting.withColumn("entry_id", F.col("_n") + rows).drop("_at", "_n", "line_number")
+            self._parse(numbered, batch, known).write.mode("overwrite").parquet(self._path("rows", batch))
             waiting.where(F.lit(False)).drop("_n").write.mode("overwrite").parquet(self._path("held", batch))
-            rows, dropped = rows + total, 0
-        state = spark.createDataFrame([(rows, dropped)], "rows long, dropped long")
+            rows, dropped, known = rows + total, 0, batch
+        state = spark.createDataFrame([(rows, dropped, known)], "rows long, dropped long, sources long")
         state.coalesce(1).write.mode("overwrite").parquet(self._path("state", batch))
 
-    def _formats(self, spark: SparkSession, batch: int) -> DataFrame:
-        """Formats fixed before this batch."""
-        past = [b for b in range(batch - 1, -1, -1) if path_exists(spark, self._path("formats", b))]
-        if not past:
-            return spark.createDataFrame([], "source_id string, format string")
-        return spark.read.parquet(self._path("formats", past[0]))
-
-    def _parse(self, lines: DataFrame, batch: int) -> DataFrame:
-        if self.format:
-            return parse_logs(lines, self.format, self.tz, self.now)
+    def _parse(self, lines: DataFrame, batch: int, known: int) -> DataFrame:
+        """Records of lines with running numbers; headers are looked for by each source's own numbers."""
         spark = lines.sparkSession
-        known = self._formats(spark, batch)
-        # Detection counts lines from 1 per source, whatever their number in the whole stream.
-        heads = number_rows(
-            lines.select("source_id", "raw_line", "entry_id"), "entry_id", "line_number", keys=["source_id"]
-        )
-        fresh = detect_format(heads).select("source_id", "format").join(known, "source_id", "left_anti")
-        path = self._path("formats", batch)
-        known.unionByName(fresh).write.mode("overwrite").parquet(path)
-        return parse_logs(lines.join(spark.read.parquet(path), "source_id", "left"), "column", self.tz, self.now)
+        schema = "source_id string, format string, lines long"
+        past = spark.createDataFrame([], schema)
+        if known >= 0:
+            past = spark.read.parquet(self._path("sources", known)).select(*past.columns)
+        own = number_rows(lines, "entry_id", "line_number", keys=["source_id"])
+        now = own.groupBy("source_id").agg(F.count("*").alias("_now"))
+        if self.format:
+            now = now.withColumn("_format", F.lit(self.format))
+        else:
+            fresh = own.join(past.select("source_id"), "source_id", "left_anti")
+            now = now.join(detect_format(fresh).select("source_id", F.col("format").alias("_format")), "source_id", "left")
+        path = self._path("sources", batch)
+        past.join(now, "source_id", "full").select(
+            "source_id",
+            F.coalesce("format", "_format").alias("format"),
+            (F.coalesce("lines", F.lit(0)) + F.coalesce("_now", F.lit(0))).cast("long").alias("lines"),
+            F.coalesce("lines", F.lit(0)).cast("long").alias("_past"),
+        ).write.mode("overwrite").parquet(path)
+        placed = own.drop("format").join(spark.read.parquet(path), "source_id", "left")
+        placed = placed.withColumn("line_number", F.col("line_number") + F.col("_past")).drop("lines", "_past")
+        parsed = parse_logs(placed, "column", self.tz, self.now)
+        # A report's title isn't a line: it has no number.
+        return parsed.withColumn("line_number", F.coalesce(F.col("entry_id") + 1, F.col("line_number")))
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All rows let through so far."""
