@@ -52,7 +52,7 @@ def test_empty_results(spark, small):
     none = small.where("level > 9")
     assert op.histogram(none).count() == 0 and op.histogram(small).count() == 0
     assert [r.rows for r in op.level_counts(none).collect()] == [0] * 7
-    assert op.nearest_rows(none, [0]).first().row is None
+    assert op.nearest_rows(none, [0], keys=[]).first().row is None
     assert op.preset_counts(small, [op.FilterPreset("x", text="(", regex=True)]).first()["rows"] == 0
 
 
@@ -240,9 +240,29 @@ def test_long_hexadecimal_tokens(spark):
 
 def test_nothing_is_capped_unless_asked(spark):
     df = spark.range(70_000).select(F.col("id").alias("entry_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("component"))
-    assert op.component_dictionary(df).agg(F.max("component_id")).head()[0] == 70_000
-    assert op.component_dictionary(df, cap=65_535).count() == 65_535
+    assert op.component_dictionary(df, keys=[]).agg(F.max("component_id")).head()[0] == 70_000
+    assert op.component_dictionary(df, cap=65_535, keys=[]).count() == 65_535
     held = spark.range(12_000).select(F.col("id").alias("o"), F.lit(True).alias("paused"), F.lit(1).alias("pause_id"))
     assert op.pause_buffer(held, "o").count() == 12_000
     assert [tuple(r) for r in op.pause_drops(held).collect()] == [(1, 12_000, 0)]
     assert [tuple(r) for r in op.pause_drops(held, 10_000).collect()] == [(1, 10_000, 2_000)]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_navigation_stays_in_its_file(spark, parts):
+    rows = [(i, T0 + timedelta(seconds=i), 4 if i % 2 else 1, f"{name} {i}", name, name) for name in ("a", "b") for i in range(5)]
+    df = log(spark, rows).repartition(parts)
+    step = {(r.source_id, r.line_number): (r.next_error, r.previous_error) for r in op.neighbouring_errors(df).collect()}
+    assert step == {
+        (s, n): v for s in ("a", "b") for n, v in {1: (2, None), 2: (4, None), 3: (4, 2), 4: (None, 2), 5: (None, 4)}.items()
+    }
+    shown = op.visible_position(df, F.col("level") == 1)
+    assert sorted((r.source_id, r.line_number, r.position) for r in shown.where("position is not null").collect()) == [
+        (s, n, (n - 1) // 2) for s in ("a", "b") for n in (1, 3, 5)
+    ]
+    found = op.match_list(df, F.col("level") == 4).collect()
+    assert sorted((r.source_id, r.line_number, r.match_index, r.match_count, r.next_match, r.previous_match) for r in found) == [
+        (s, *v) for s in ("a", "b") for v in ((2, 0, 2, 4, 4), (4, 1, 2, 2, 2))
+    ]
+    first = op.bucket_representatives(df, buckets=2).orderBy("bucket").collect()
+    assert [(r.source_id, r.target, r.rolled) for r in first] == [("a", 1, False), ("a", 3, False)]

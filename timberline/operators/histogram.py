@@ -192,16 +192,18 @@ def peak_shadows(bars: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def bucket_representatives(
-    df: DataFrame, visible: Column | None = None, buckets: int = BUCKETS, order: str = "entry_id"
+    df: DataFrame, visible: Column | None = None, buckets: int = BUCKETS, order: str = "entry_id", keys=("source_id",)
 ) -> DataFrame:
-    """``(bucket, target, rolled)``: the row that stands for each bucket.
+    """``(bucket, *keys, target, rolled)``: the row that stands for each bucket of all rows.
+
+    ``target`` is the row's ``order`` within its ``keys``; rows are in the order of both, file by file.
 
     The first visible error or critical row of the bucket if the log has any there, else the
     first visible warning likewise, else the first visible row at or after the bucket's start in
     row order; ``rolled`` says that row lies past the bucket. One aggregation over the rows.
     """
     shown = F.lit(True) if visible is None else F.coalesce(visible, F.lit(False))
-    level, row = F.col("level"), F.col(order)
+    level, row = F.col("level"), F.struct(*keys, F.col(order).alias("_row"))
     placed = add_bucket(df.withColumn("_shown", shown), buckets).where(F.col("bucket").isNotNull())
     found = placed.groupBy("bucket").agg(
         F.min(F.when(F.col("_shown") & (level >= ERROR), row)).alias("_err"),
@@ -221,10 +223,11 @@ def bucket_representatives(
         filled.select("bucket", severe.alias("_severe"), following.alias("_next"))
         .select(
             "bucket",
-            F.coalesce("_severe", "_next._any").alias("target"),
+            F.coalesce("_severe", "_next._any").alias("_target"),
             (F.col("_severe").isNull() & (F.col("_next.bucket") > F.col("bucket"))).alias("rolled"),
         )
-        .where(F.col("target").isNotNull())
+        .where(F.col("_target").isNotNull())
+        .select("bucket", *[F.col("_target")[k].alias(k) for k in keys], F.col("_target._row").alias("target"), "rolled")
     )
 
 
@@ -234,15 +237,17 @@ def first_in_ranges(
     levels: list[int] | None = None,
     visible: Column | None = None,
     order: str = "entry_id",
+    keys=("source_id",),
 ) -> DataFrame:
-    """``(range_id, start_us, end_us, first_row)``: first row, in row order, with a time in
-    ``[start, end)`` µs, a level among ``levels`` and ``visible``. All ranges in one pass.
+    """``(*keys, range_id, start_us, end_us, first_row)``: the first row of a file with a time in
+    ``[start, end)`` µs, a level among ``levels`` and ``visible``. All ranges in one pass. Files
+    without any row of the levels have no rows here.
     """
     us = F.unix_micros("timestamp")
     ok = F.lit(True) if visible is None else F.coalesce(visible, F.lit(False))
     if levels is not None:
         ok = ok & F.col("level").isin(*levels)
-    found = df.where(ok).agg(
+    found = df.where(ok).groupBy(*keys).agg(
         *[F.min(F.when((us >= a) & (us < b), F.col(order))).alias(f"_{i}") for i, (a, b) in enumerate(ranges)]
     )
     rows = [
@@ -254,4 +259,4 @@ def first_in_ranges(
         )
         for i, (a, b) in enumerate(ranges)
     ]
-    return found.select(F.inline(F.array(*rows)))
+    return found.select(*keys, F.inline(F.array(*rows)))

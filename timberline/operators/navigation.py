@@ -1,4 +1,8 @@
-"""Stepping through a log: matches, visible positions, neighbouring errors, rows near a time."""
+"""Stepping through logs: matches, visible positions, neighbouring errors, rows near a time.
+
+Lines are numbered from the start in every file, so all of these work within ``keys``, by default each
+source by itself. ``keys=[]`` is for rows that are numbered through, such as a merged log.
+"""
 
 from __future__ import annotations
 
@@ -8,47 +12,50 @@ from pyspark.sql import functions as F
 from timberline.operators.ordered import Run, running
 from timberline.schema import ERROR
 
+PER_FILE = ("source_id",)
+
 
-def match_list(df: DataFrame, hit: Column, order: str = "entry_id", label: str = "line_number") -> DataFrame:
+def match_list(
+    df: DataFrame, hit: Column, order: str = "entry_id", label: str = "line_number", keys=PER_FILE
+) -> DataFrame:
     """Matching rows with their position, the number of matches, and the ``label`` of the next
-    and previous match, wrapping around at the ends.
+    and previous match of the file, wrapping around at its ends.
     """
-    matches = df.where(hit)
     at = F.struct(F.col(order).alias("o"), F.col(label).alias("l"))
-    ends = matches.agg(
-        F.struct(F.min(at)["l"].alias("first"), F.max(at)["l"].alias("last"), F.count("*").alias("n")).alias("e")
-    ).scalar()
     out = running(
-        matches,
+        df.where(hit),
         order,
         {
             "_n": Run("sum", F.lit(1).cast("long")),
             "_next": Run("first", F.struct(F.col(label).alias("l")), inclusive=False),
             "_prev": Run("last", F.struct(F.col(label).alias("l")), inclusive=False),
         },
-    ).withColumn("_e", ends)
+        list(keys),
+        totals={"_first": F.min(at)["l"], "_last": F.max(at)["l"], "match_count": F.count("*")},
+    )
     return out.withColumns(
         {
             "match_index": F.col("_n") - 1,
-            "match_count": F.col("_e.n"),
-            "next_match": F.coalesce(F.col("_next.l"), F.col("_e.first")),
-            "previous_match": F.coalesce(F.col("_prev.l"), F.col("_e.last")),
+            "next_match": F.coalesce(F.col("_next.l"), F.col("_first")),
+            "previous_match": F.coalesce(F.col("_prev.l"), F.col("_last")),
         }
-    ).drop("_n", "_next", "_prev", "_e")
+    ).drop("_n", "_next", "_prev", "_first", "_last")
 
 
-def visible_position(df: DataFrame, visible: Column, order: str = "entry_id", name: str = "position") -> DataFrame:
-    """Add the row's index from 0 among the visible rows; null where hidden."""
+def visible_position(
+    df: DataFrame, visible: Column, order: str = "entry_id", name: str = "position", keys=PER_FILE
+) -> DataFrame:
+    """Add the row's index from 0 among the file's visible rows; null where hidden."""
     shown = F.coalesce(visible, F.lit(False))
-    out = running(df, order, {"_n": Run("sum", F.when(shown, 1).otherwise(0).cast("long"))})
+    out = running(df, order, {"_n": Run("sum", F.when(shown, 1).otherwise(0).cast("long"))}, list(keys))
     return out.withColumn(name, F.when(shown, F.col("_n") - 1)).drop("_n")
 
 
 def neighbouring_errors(
-    df: DataFrame, order: str = "entry_id", label: str = "line_number", min_level: int = ERROR
+    df: DataFrame, order: str = "entry_id", label: str = "line_number", min_level: int = ERROR, keys=PER_FILE
 ) -> DataFrame:
-    """Add ``next_error`` and ``previous_error``: labels of the nearest later and earlier rows
-    of at least ``min_level``; null at the ends.
+    """Add ``next_error`` and ``previous_error``: labels of the nearest later and earlier rows of
+    the file of at least ``min_level``; null at the ends.
     """
     value = F.when(F.col("level") >= min_level, F.struct(F.col(label).alias("l")))
     out = running(
@@ -58,23 +65,23 @@ def neighbouring_errors(
             "_next": Run("first", value, inclusive=False),
             "_prev": Run("last", value, inclusive=False),
         },
+        list(keys),
     )
     return out.withColumns({"next_error": F.col("_next.l"), "previous_error": F.col("_prev.l")}).drop(
         "_next", "_prev"
     )
 
 
-def nearest_rows(df: DataFrame, targets: list[int], order: str = "entry_id") -> DataFrame:
-    """``(target_us, row)`` for a few times: the last row at or before each, the later of equal
-    ones; before all rows, the first timed row; null when no row has a time. One pass.
+def nearest_rows(df: DataFrame, targets: list[int], order: str = "entry_id", keys=PER_FILE) -> DataFrame:
+    """``(*keys, target_us, row)`` for a few times, in each file: the last row at or before each, the
+    later of equal ones; before all rows, the first timed row; null in a file without times. One pass.
 
     For times in a table use :func:`timberline.operators.asof.asof_join`.
     """
     us = F.unix_micros("timestamp")
     at = F.struct(us.alias("t"), F.col(order).alias("r"))
-    timed = df.where(us.isNotNull())
-    found = timed.agg(
-        F.min(order).alias("_first"),
+    found = df.groupBy(*keys).agg(
+        F.min(F.when(us.isNotNull(), F.col(order))).alias("_first"),
         *[F.max(F.when(us <= t, at))["r"].alias(f"_{i}") for i, t in enumerate(targets)],
     )
     rows = [
@@ -84,4 +91,4 @@ def nearest_rows(df: DataFrame, targets: list[int], order: str = "entry_id") ->
         )
         for i, t in enumerate(targets)
     ]
-    return found.select(F.inline(F.array(*rows)))
+    return found.select(*keys, F.inline(F.array(*rows)))

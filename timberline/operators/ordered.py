@@ -85,10 +85,12 @@ def running(
     runs: dict[str, Run],
     keys: list[str] | None = None,
     width: int = BLOCK,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running values over ``order``, a long unique within ``keys`` (default: all rows).
 
-    The rows are shuffled once, by block.
+    ``totals`` are aggregates over all rows of a key. The rows are shuffled once, by block; what
+    each row learns from elsewhere comes with its block.
     """
     df, keys = keyed(df, keys or [])
     df = df.withColumns(
@@ -104,6 +106,11 @@ def running(
         *[_total(r, F.col(f"_v_{n}"), F.col(order)).alias(f"_t_{n}") for n, r in runs.items()]
     )
     carried = _carry(blocks, runs, keys, width)
+    if totals:
+        whole = df.groupBy(*keys).agg(F.struct(*[c.alias(n) for n, c in totals.items()]).alias("_whole"))
+        # Without keys this is one row.
+        carried = carried.join(whole, keys) if keys else carried.withColumn("_whole", whole.scalar())
+        carried = carried.select(*keys, "_block", *[c for c in carried.columns if c.startswith("_f_")], "_whole.*")
     rows = rows.join(carried, [*keys, "_block"], "left")
     out = rows.withColumns({n: _combine(r, F.col(f"_n_{n}"), F.col(f"_f_{n}")) for n, r in runs.items()})
     helpers = [c for n in runs for c in (f"_v_{n}", f"_n_{n}", f"_f_{n}")]

@@ -37,26 +37,28 @@ def column_flags(df: DataFrame) -> DataFrame:
 
 
 def component_dictionary(
-    df: DataFrame, order: str = "entry_id", cap: int | None = None
+    df: DataFrame, order: str = "entry_id", cap: int | None = None, keys=("source_id",)
 ) -> DataFrame:
-    """``(component_id, component, first_row, rows)``, ids from 1 by first appearance.
+    """``(component_id, component, *keys, first_row, rows)``, ids from 1 by first appearance.
 
-    0 stands for no component. All are numbered; only with a ``cap``, such as 65 535 for a 16-bit
-    column, components first seen after the cap get no id.
+    Rows are in the order of ``keys`` and ``order``, file by file. 0 stands for no component. All are
+    numbered; only with a ``cap``, such as 65 535 for a 16-bit column, components first seen after the
+    cap get no id.
     """
     found = (
         df.where(F.col("component") != "")
         .groupBy("component")
-        .agg(F.min(order).alias("first_row"), F.count("*").alias("rows"))
+        .agg(F.min(F.struct(*keys, F.col(order).alias("first_row"))).alias("_first"), F.count("*").alias("rows"))
+        .select("component", "_first.*", "rows")
     )
-    by_first = [F.col("first_row"), F.col("component")]
+    by_first = [F.col(k).asc_nulls_first() for k in keys] + [F.col("first_row"), F.col("component")]
     if cap is None:
         numbered = number_sorted(found, by_first, "component_id", 1, "components")
     else:
         numbered = found.orderBy(*by_first).limit(cap).withColumn(
             "component_id", F.row_number().over(Window.orderBy(*by_first)).cast("long")
         )
-    return numbered.select("component_id", "component", "first_row", "rows")
+    return numbered.select("component_id", "component", *keys, "first_row", "rows")
 
 
 def encode_components(df: DataFrame, dictionary: DataFrame) -> DataFrame:

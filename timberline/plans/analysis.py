@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from timberline import functions as fn
 from timberline import operators as op
 from timberline.formats import parse_logs
-from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, built_in_codes
+from timberline.functions.codes import TOKEN_PATTERN
+from timberline.operators.error_tables import CODES_FILE
 from timberline.plans import views as V
 from timberline.plans.catalogue import query, with_ctes
 from timberline.plans.parsing import NOW, keyword_level_sql
@@ -177,7 +178,7 @@ FROM log WHERE level >= 1 AND contains(message, '"k": 4') WINDOW w AS (ORDER BY
 )
 def find_next(spark: SparkSession, sf: str) -> DataFrame:
     found = op.find(V.events_log(spark, sf), op.LogFilter(text='"k": 4', min_level="info"))
-    return op.match_list(found, F.col("is_match")).select(
+    return op.match_list(found, F.col("is_match"), keys=[]).select(
         "line_number", "match_index", "match_count", "next_match", "previous_match"
     )
 
@@ -280,7 +281,7 @@ dict AS (SELECT row_number() OVER (ORDER BY first_row) AS component_id, componen
 
 @query("component_dictionary", with_ctes(E, _DICTIONARY_SQL, "SELECT * FROM dict"))
 def component_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return op.component_dictionary(V.events_log(spark, sf))
+    return op.component_dictionary(V.events_log(spark, sf), keys=[])
 
 
 @query(
@@ -296,7 +297,7 @@ dict AS (SELECT row_number() OVER (ORDER BY first_row) AS component_id, componen
 def component_dictionary_capped(spark: SparkSession, sf: str) -> DataFrame:
     """Components first seen after the cap become 0, as a fixed-width id column needs."""
     log = V.orders_log(spark, sf)
-    ids = op.component_dictionary(log, cap=100)
+    ids = op.component_dictionary(log, cap=100, keys=[])
     return op.encode_components(log, ids).select("line_number", "component_id")
 
 
@@ -393,7 +394,7 @@ FROM ahead LEFT JOIN found ON b = bucket WHERE coalesce(e, wn, nxt) IS NOT NULL"
     ),
 )
 def bucket_representative(spark: SparkSession, sf: str) -> DataFrame:
-    return op.bucket_representatives(V.orders_log(spark, sf), visible=F.col("component").endswith("7"))
+    return op.bucket_representatives(V.orders_log(spark, sf), visible=F.col("component").endswith("7"), keys=[])
 
 
 def _us(text: str) -> int:
@@ -415,7 +416,7 @@ FROM (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(RANGES))})
     ),
 )
 def first_in_range(spark: SparkSession, sf: str) -> DataFrame:
-    return op.first_in_ranges(V.orders_log(spark, sf), RANGES, levels=[3, 4])
+    return op.first_in_ranges(V.orders_log(spark, sf), RANGES, levels=[3, 4], keys=[])
 
 
 # ---------------------------------------------------------------- order and navigation
@@ -448,7 +449,7 @@ FROM (VALUES {', '.join(f'({t})' for t in TARGETS)}) v(t)""",
     ),
 )
 def nearest_before(spark: SparkSession, sf: str) -> DataFrame:
-    return op.nearest_rows(V.orders_log(spark, sf), TARGETS)
+    return op.nearest_rows(V.orders_log(spark, sf), TARGETS, keys=[])
 
 
 @query(
@@ -463,7 +464,7 @@ FROM log""",
     ),
 )
 def next_error(spark: SparkSession, sf: str) -> DataFrame:
-    return op.neighbouring_errors(V.events_log(spark, sf)).select("line_number", "next_error", "previous_error")
+    return op.neighbouring_errors(V.events_log(spark, sf), keys=[]).select("line_number", "next_error", "previous_error")
 
 
 @query(
@@ -476,7 +477,125 @@ FROM log""",
     ),
 )
 def line_position(spark: SparkSession, sf: str) -> DataFrame:
-    return op.visible_position(V.events_log(spark, sf), F.col("level") >= 3).select("line_number", "position")
+    return op.visible_position(V.events_log(spark, sf), F.col("level") >= 3, keys=[]).select("line_number", "position")
+
+
+# ---------------------------------------------------------------- navigation in many files
+
+
+_FILES = V.CUSTOMER_LOGS_SQL
+
+
+@query(
+    "find_next_files",
+    with_ctes(
+        _FILES,
+        """
+SELECT source_id, line_number, row_number() OVER w - 1 AS match_index, count(*) OVER p AS match_count,
+       coalesce(lead(line_number) OVER w, min(line_number) OVER p) AS next_match,
+       coalesce(lag(line_number) OVER w, max(line_number) OVER p) AS previous_match
+FROM files WHERE level >= 3 WINDOW w AS (PARTITION BY source_id ORDER BY entry_id), p AS (PARTITION BY source_id)""",
+    ),
+)
+def find_next_files(spark: SparkSession, sf: str) -> DataFrame:
+    return op.match_list(V.customer_logs(spark, sf), F.col("level") >= 3).select(
+        "source_id", "line_number", "match_index", "match_count", "next_match", "previous_match"
+    )
+
+
+@query(
+    "next_error_files",
+    with_ctes(
+        _FILES,
+        """
+SELECT source_id, line_number,
+       min(line_number) FILTER (level >= 4) OVER (PARTITION BY source_id ORDER BY entry_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_error,
+       max(line_number) FILTER (level >= 4) OVER (PARTITION BY source_id ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_error
+FROM files""",
+    ),
+)
+def next_error_files(spark: SparkSession, sf: str) -> DataFrame:
+    found = op.neighbouring_errors(V.customer_logs(spark, sf))
+    return found.select("source_id", "line_number", "next_error", "previous_error")
+
+
+@query(
+    "line_position_files",
+    with_ctes(
+        _FILES,
+        """
+SELECT source_id, line_number,
+       CASE WHEN level >= 3 THEN count(*) FILTER (level >= 3) OVER (PARTITION BY source_id ORDER BY entry_id) - 1 END AS position
+FROM files""",
+    ),
+)
+def line_position_files(spark: SparkSession, sf: str) -> DataFrame:
+    placed = op.visible_position(V.customer_logs(spark, sf), F.col("level") >= 3)
+    return placed.select("source_id", "line_number", "position")
+
+
+@query(
+    "first_in_range_files",
+    with_ctes(
+        _FILES,
+        f"""
+SELECT source_id, CAST(i AS INTEGER) AS range_id, CAST(a AS BIGINT) AS start_us, CAST(b AS BIGINT) AS end_us,
+       min(entry_id) FILTER (ts_us >= a AND ts_us < b) AS first_row
+FROM (SELECT * FROM files WHERE level IN (3, 4)) CROSS JOIN (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(RANGES))}) v(i, a, b)
+GROUP BY ALL""",
+    ),
+)
+def first_in_range_files(spark: SparkSession, sf: str) -> DataFrame:
+    return op.first_in_ranges(V.customer_logs(spark, sf), RANGES, levels=[3, 4])
+
+
+@query(
+    "nearest_before_files",
+    with_ctes(
+        _FILES,
+        f"""
+SELECT source_id, CAST(t AS BIGINT) AS target_us,
+       coalesce(max_by(entry_id, (ts_us, entry_id)) FILTER (ts_us <= t), min(entry_id)) AS row
+FROM files CROSS JOIN (VALUES {', '.join(f'({t})' for t in TARGETS)}) v(t) GROUP BY ALL""",
+    ),
+)
+def nearest_before_files(spark: SparkSession, sf: str) -> DataFrame:
+    return op.nearest_rows(V.customer_logs(spark, sf), TARGETS)
+
+
+@query(
+    "bucket_representative_files",
+    with_ctes(
+        _FILES,
+        histogram_sql("files", 60),
+        """
+placed AS (SELECT *, least(59, (ts_us - f) * 60 // w) AS b, component LIKE '%7' AS shown, (source_id, entry_id) AS r FROM files, span),
+found AS (SELECT b, min(r) FILTER (shown AND level >= 4) AS e, min(r) FILTER (shown AND level = 3) AS wn,
+                 min(r) FILTER (shown) AS a FROM placed GROUP BY b),
+ahead AS (SELECT bucket, (SELECT min(a) FROM found WHERE b >= bucket) AS nxt FROM bars),
+chosen AS (SELECT bucket, coalesce(e, wn, nxt) AS r,
+       coalesce(e, wn) IS NULL AND (SELECT min(b) FROM found WHERE a = nxt AND b >= bucket) > bucket AS rolled
+  FROM ahead LEFT JOIN found ON b = bucket)
+SELECT bucket, r[1] AS source_id, r[2] AS target, rolled FROM chosen WHERE r IS NOT NULL""",
+    ),
+)
+def bucket_representative_files(spark: SparkSession, sf: str) -> DataFrame:
+    return op.bucket_representatives(V.customer_logs(spark, sf), visible=F.col("component").endswith("7"))
+
+
+@query(
+    "component_dictionary_files",
+    with_ctes(
+        _FILES,
+        """
+firsts AS (SELECT split_part(message, ' ', 3) AS component, min((source_id, entry_id)) AS r, count(*) AS rows FROM files GROUP BY 1)
+SELECT row_number() OVER (ORDER BY r, component) AS component_id, component, r[1] AS source_id, r[2] AS first_row, rows FROM firsts""",
+    ),
+)
+def component_dictionary_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The order's priority as the component, numbered as it first appears, file by file."""
+    log = V.customer_logs(spark, sf)
+    return op.component_dictionary(log.withColumn("component", F.get(F.split("message", " "), F.lit(2))))
 
 
 @query(
@@ -560,22 +679,21 @@ def histogram_merged(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- error codes
 
 
-def _codes_sql() -> str:
-    rows = []
-    for c in built_in_codes():
-        low, high = NUMBER_RANGE.get(c.domain, (c.code, c.code))
-        rows.append(
-            f"({DOMAINS.index(c.domain)}, '{c.domain}', {c.code}, '{c.symbol.replace(chr(39), chr(39) * 2)}', "
-            f"{str(low <= c.code <= high).lower()})"
-        )
-    return f"codes(rnk, domain, code, symbol, numbered) AS (VALUES {', '.join(rows)})"
-
-
-CODES_SQL = _codes_sql()
+# The dimension is read from its file; order and ranges of domains are stated once more.
+CODES_SQL = f"""
+codes AS (
+  SELECT CAST(list_position(['errno', 'OSStatus', 'IOReturn', 'Mach', 'CFNetwork', 'Cocoa', 'Security', 'POSIX Signal',
+                             'SQLite', 'gRPC', 'Bonjour', 'Exit Code', 'HTTP'], domain) * 1000 + row_number() OVER () AS BIGINT) AS rnk,
+         domain, code, symbol,
+         CASE domain WHEN 'gRPC' THEN code BETWEEN 0 AND 16 WHEN 'Exit Code' THEN code BETWEEN 0 AND 255
+              WHEN 'HTTP' THEN code BETWEEN 1 AND 599 ELSE true END AS numbered
+  FROM read_csv('{CODES_FILE}', header = true, quote = '"',
+                columns = {{'domain': 'VARCHAR', 'code': 'INTEGER', 'symbol': 'VARCHAR', 'description': 'VARCHAR'}})
+)"""
 
 _NUMBER_SQL = """CASE WHEN regexp_full_match({t}, '0[xX][0-9A-Fa-f]+') THEN
-      CASE WHEN CAST(concat('0x', {t}[3:]) AS BIGINT) BETWEEN 2147483648 AND 4294967295
-           THEN CAST(concat('0x', {t}[3:]) AS BIGINT) - 4294967296 ELSE CAST(concat('0x', {t}[3:]) AS BIGINT) END
+      CASE WHEN TRY_CAST(concat('0x', {t}[3:]) AS BIGINT) BETWEEN 2147483648 AND 4294967295
+           THEN TRY_CAST(concat('0x', {t}[3:]) AS BIGINT) - 4294967296 ELSE TRY_CAST(concat('0x', {t}[3:]) AS BIGINT) END
       ELSE TRY_CAST({t} AS BIGINT) END"""
 
 _HEX_SQL = """CASE WHEN domain IN ('HTTP', 'gRPC') THEN NULL
@@ -595,30 +713,29 @@ _PREFERRED_SQL = """CASE WHEN starts_with(t, 'errSec') THEN 'Security' WHEN uppe
 @query(
     "error_lookup",
     with_ctes(
-        E,
+        V.CODE_INPUTS_SQL,
         CODES_SQL,
         f"""
-asked AS (SELECT entry_id, {V.pick_sql(V.CODE_INPUTS)} AS t FROM log),
 inputs AS (SELECT DISTINCT t, {_NUMBER_SQL.format(t='t')} AS n FROM asked),
 pref AS (SELECT *, {_PREFERRED_SQL} AS p FROM inputs),
 found AS (SELECT t, domain, code, symbol,
                  CAST(row_number() OVER (PARTITION BY t ORDER BY coalesce(domain <> p, false), rnk) AS INTEGER) AS match_rank
           FROM pref JOIN codes ON (n = code AND numbered) OR (n IS NULL AND upper(t) = upper(symbol) AND domain <> 'HTTP'))
-SELECT entry_id, t AS input, match_rank, domain, code, symbol, {_HEX_SQL} AS hex FROM asked JOIN found USING (t)""",
+SELECT entry_id, t AS input, match_rank, domain, code, symbol, {_HEX_SQL} AS hex
+FROM (SELECT entry_id, t FROM asked) JOIN found USING (t)""",
     ),
 )
 def error_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    asked = V.events_log(spark, sf).select("entry_id", V.pick(V.CODE_INPUTS).alias("input"))
+    asked = V.code_inputs(spark, sf).select("entry_id", "input")
     return op.error_lookup(asked, "input").drop("description")
 
 
 @query(
     "error_lookup_domain",
     with_ctes(
-        E,
+        V.CODE_INPUTS_SQL,
         CODES_SQL,
         f"""
-asked AS (SELECT entry_id, {V.pick_sql(V.CODE_INPUTS)} AS t, {V.pick_sql(V.DOMAIN_ASKED)} AS domain FROM log),
 inputs AS (SELECT DISTINCT t, domain, {_NUMBER_SQL.format(t='t')} AS n FROM asked),
 found AS (SELECT t, i.domain, code, symbol FROM inputs i JOIN codes c ON i.domain = c.domain
           AND ((n = code AND numbered) OR (n IS NULL AND upper(t) = upper(symbol) AND c.domain <> 'HTTP')))
@@ -628,28 +745,24 @@ FROM asked LEFT JOIN found USING (t, domain)""",
     ),
 )
 def error_lookup_domain(spark: SparkSession, sf: str) -> DataFrame:
-    asked = V.events_log(spark, sf).select(
-        "entry_id", V.pick(V.CODE_INPUTS).alias("input"), V.pick(V.DOMAIN_ASKED).alias("domain")
-    )
-    return op.error_lookup_in(asked, "input", "domain").drop("description")
+    return op.error_lookup_in(V.code_inputs(spark, sf), "input", "domain").drop("description")
 
 
 @query(
     "error_priority",
     with_ctes(
-        E,
+        V.CODE_INPUTS_SQL,
         f"""
-asked AS (SELECT entry_id, {V.pick_sql(V.CODE_INPUTS)} AS t FROM log),
 inputs AS (SELECT DISTINCT t, {_NUMBER_SQL.format(t='t')} AS n FROM asked)
 SELECT entry_id, t AS input, {_PREFERRED_SQL} AS preferred FROM asked JOIN inputs USING (t)""",
     ),
 )
 def error_priority(spark: SparkSession, sf: str) -> DataFrame:
-    asked = V.events_log(spark, sf).select("entry_id", V.pick(V.CODE_INPUTS).alias("input"))
+    asked = V.code_inputs(spark, sf).select("entry_id", "input")
     return asked.withColumn("preferred", op.preferred_domain(F.col("input")))
 
 
-_TOKEN_RE = r"(0x[0-9A-Fa-f]{4,}|errno=\d+|OSStatus\s-?\d+|error\s-?\d+|kIOReturn\w*|-\d{6,})"
+_TOKEN_RE = TOKEN_PATTERN
 
 
 def _decode_sql(strict: bool) -> str:
@@ -660,10 +773,9 @@ def _decode_sql(strict: bool) -> str:
         else "CASE WHEN starts_with(token, 'errno=') THEN 'errno' WHEN starts_with(token, 'OSStatus') THEN 'OSStatus' END"
     )
     return with_ctes(
-        E,
+        V.CODE_MESSAGES_SQL,
         CODES_SQL,
         f"""
-said AS (SELECT entry_id, {V.pick_sql(V.CODE_MESSAGES)} AS m FROM log),
 texts AS (SELECT DISTINCT m, regexp_extract_all(m, '{_TOKEN_RE}', 1) AS ts FROM said),
 tokens AS (SELECT m, i, token, {bare} AS t, {hint} AS hint
            FROM (SELECT m, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS token FROM texts)),
@@ -680,8 +792,7 @@ FROM said s LEFT JOIN best b USING (m) LEFT JOIN found f ON f.m = s.m AND f.i =
 
 
 def _decode(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
-    said = V.events_log(spark, sf).select("entry_id", V.pick(V.CODE_MESSAGES).alias("message"))
-    decoded = op.decode_codes(said, strict=strict)
+    decoded = op.decode_codes(V.code_messages(spark, sf), strict=strict)
     best = F.get("matches", F.lit(0))
     return decoded.select(
         "entry_id", "message", "code_token", best["domain"].alias("domain"), best["code"].alias("code"),

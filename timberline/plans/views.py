@@ -291,26 +291,94 @@ def mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
     return number_rows(files, "entry_id", "line_number", keys=["source_id"])
 
 
-# Error-code inputs, spread over the events.
-CODE_INPUTS = [
-    "13", "EACCES", "0xE00002BC", "404", "-1001", "sigkill", "0x80000000", "SQLITE_BUSY", "errSecItemNotFound",
-    "-25300", "no such code", "0", "EX_USAGE", "kdnsserviceerr_timeout", "137", "5000000000", "kIOReturnTimeout",
-]
-CODE_MESSAGES = [
-    "Failed to connect: 0xE00002BC", "retry failed errno=60", "abandoned after OSStatus -50",
-    "sample rate error -10863", "tid[0x394aed] then kIOReturnNoMemory seen", "code -536870212 returned",
-    "nothing to see", "error 13 then errno=2", "kIOReturnBogus and 0xE00002C7", "OSStatus -99999 error -43",
-]
-DOMAIN_ASKED = ["errno", "HTTP", "POSIX Signal", "OSStatus", "Security", "gRPC", "IOReturn"]
+# ---------------------------------------------------------------- error codes from the rows
+
+
+def code_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(entry_id, input, domain)``: texts to look up, made of each order's numbers.
+
+    The priority says how they are written: customers as decimals, order keys as negative decimals,
+    customers above a driver's base in hexadecimal, digests of the key, and the status as a symbol.
+    """
+    key, customer, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    priority = F.substring("o_orderpriority", 1, 1)
+    symbol = F.when(status == "F", "sqlite_full").when(status == "O", "EBUSY").otherwise("errSecIO")
+    return table(spark, sf, "orders").select(
+        key.alias("entry_id"),
+        F.when(priority == "1", customer.cast("string"))
+        .when(priority == "2", F.concat(F.lit("-"), key.cast("string")))
+        .when(priority == "3", F.concat(F.lit("0x"), F.hex(customer + 0xE0000200)))
+        .when(priority == "4", F.concat(F.lit("0x"), F.md5(key.cast("string"))))
+        .otherwise(symbol)
+        .alias("input"),
+        F.when(priority == "1", "HTTP")
+        .when(priority == "2", "CFNetwork")
+        .when(priority == "3", "IOReturn")
+        .when(priority == "4", "OSStatus")
+        .when(status == "F", "SQLite")
+        .when(status == "O", "errno")
+        .otherwise("HTTP")
+        .alias("domain"),
+    )
 
 
-def pick(options: list[str]) -> Column:
-    """One of ``options`` by event."""
-    return F.get(
-        F.array(*[F.lit(o) for o in options]), (F.col("entry_id") % len(options)).cast("int")
+CODE_INPUTS_SQL = """
+asked AS (
+  SELECT o_orderkey AS entry_id,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN CAST(o_custkey AS VARCHAR) WHEN '2' THEN '-' || o_orderkey
+              WHEN '3' THEN '0x' || upper(to_hex(o_custkey + 3758096896)) WHEN '4' THEN '0x' || md5(CAST(o_orderkey AS VARCHAR))
+              ELSE CASE o_orderstatus WHEN 'F' THEN 'sqlite_full' WHEN 'O' THEN 'EBUSY' ELSE 'errSecIO' END END AS t,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 'HTTP' WHEN '2' THEN 'CFNetwork' WHEN '3' THEN 'IOReturn' WHEN '4' THEN 'OSStatus'
+              ELSE CASE o_orderstatus WHEN 'F' THEN 'SQLite' WHEN 'O' THEN 'errno' ELSE 'HTTP' END END AS domain
+  FROM orders
+)"""
+
+
+def code_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """``(entry_id, message)``: each event's numbers as the codes of a log message."""
+    kind = F.col("event_type")
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    k = F.regexp_extract("props", r"\d+", 0)
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("entry_id"),
+        F.when(kind == "error", F.concat(F.lit("gave up on user "), user, F.lit(": error -"), k))
+        .when(kind == "purchase", F.concat(F.lit("basket kept, errno="), user, F.lit(" after errno="), k))
+        .when(kind == "view", F.concat(F.lit("page "), k, F.lit(" left with OSStatus -"), event))
+        .when(kind == "click", F.concat(F.lit("trace 0x"), F.md5(event), F.lit(" ended in error "), k))
+        .when(kind == "signup", F.concat(F.lit("driver said 0x"), F.hex(k.cast("long") + 0xE00002BC)))
+        .otherwise(F.concat_ws(" ", kind, "props"))
+        .alias("message"),
     )
 
 
-def pick_sql(options: list[str]) -> str:
-    quoted = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
-    return f"([{quoted}])[1 + entry_id % {len(options)}]"
+CODE_MESSAGES_SQL = r"""
+said AS (
+  SELECT event_id AS entry_id,
+         CASE event_type WHEN 'error' THEN 'gave up on user ' || user_id || ': error -' || k
+              WHEN 'purchase' THEN 'basket kept, errno=' || user_id || ' after errno=' || k
+              WHEN 'view' THEN 'page ' || k || ' left with OSStatus -' || event_id
+              WHEN 'click' THEN 'trace 0x' || md5(CAST(event_id AS VARCHAR)) || ' ended in error ' || k
+              WHEN 'signup' THEN 'driver said 0x' || upper(to_hex(CAST(k AS BIGINT) + 3758097084))
+              ELSE event_type || ' ' || props END AS m
+  FROM (SELECT *, regexp_extract(props, '\d+') AS k FROM events)
+)"""
+
+
+# ---------------------------------------------------------------- many files
+
+
+def customer_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as one log file for each customer, whose lines are numbered from the start."""
+    log = orders_log(spark, sf).drop("line_number").withColumn("source_id", F.col("component"))
+    numbered = number_rows(log.withColumnRenamed("entry_id", "order_key"), "order_key", "line_number", keys=["source_id"])
+    return numbered.withColumn("entry_id", F.col("line_number") - 1)
+
+
+CUSTOMER_LOGS_SQL = (
+    ORDERS_LOG_SQL
+    + """,
+files AS (
+  SELECT * REPLACE (component AS source_id, row_number() OVER f - 1 AS entry_id, row_number() OVER f AS line_number)
+  FROM orders_log WINDOW f AS (PARTITION BY component ORDER BY entry_id)
+)"""
+)
