@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -19,8 +20,9 @@ import regex
 
 NEVER = np.int64(1) << 40
 UNMERGED = (1 << 40, -1)
-#: Words remembered by a worker; beyond it the memory starts anew, results don't change.
-REMEMBERED = 500_000
+#: Words remembered by a worker; beyond it all but the first learned are forgotten, among which are the
+#: common ones. Results don't change.
+REMEMBERED, FIRST = 500_000, 60_000
 
 
 def byte_alphabet() -> list[str]:
@@ -65,10 +67,12 @@ class Merges:
         self.alphabet = {t: i for t, i in whole.items() if self.born[i] < 0}
         #: What a greedy match may propose: strings that encode alone as one token.
         self.proposals = {t: i for t, i in whole.items() if self.whole[i]}
-        #: The longest proposal by its first three characters.
-        self.reach: dict[str, int] = {}
+        #: Lengths of proposals by their first three characters, the longest first.
+        lengths: dict[str, set[int]] = {}
         for t in self.proposals:
-            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 3))
+            if len(t) > 2:
+                lengths.setdefault(t[:3], {1, 2}).add(len(t))
+        self.reach = {start: tuple(sorted(of, reverse=True)) for start, of in lengths.items()}
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -158,8 +162,9 @@ class Merges:
         out, at, n = [], 0, len(word)
         known, reach, mark = self.proposals, self.reach, bool(self.end)
         while at < n:
-            for stop in range(min(n, at + reach.get(word[at : at + 3], 3)), at, -1):
-                if mark and stop == n - 1:
+            for size in reach.get(word[at : at + 3], (2, 1)):
+                stop = at + size
+                if stop > n or (mark and stop == n - 1):
                     continue
                 if (t := known.get(word[at:stop])) is not None:
                     out.append(t)
@@ -248,9 +253,12 @@ class TextEncoder:
 
     def _learn(self, heads: set[str], chunks: set[str]) -> None:
         split = {c: self.of_chunk(c) for c in chunks}
-        self._learn_words(heads.union(*split.values()))
-        of = self.words.__getitem__
-        self.chunks.update({c: self.join(list(map(of, words))) for c, words in split.items()})
+        heads = set(heads)
+        for words in split.values():
+            heads.update(words)
+        self._learn_words(heads)
+        of, join = self.words.__getitem__, self.join
+        self.chunks.update({c: of(words[0]) if len(words) == 1 else join(list(map(of, words))) for c, words in split.items()})
 
     def _parts(self, text: str) -> list[tuple[list[str], list[str], str]]:
         """Words, chunks, and the special token that follows; in turn."""
@@ -270,7 +278,8 @@ class TextEncoder:
                 size += len(texts[stop])
                 stop += 1
             if len(self.chunks) + len(self.words) > REMEMBERED:
-                self.words, self.chunks = {}, {}
+                self.words = dict(itertools.islice(self.words.items(), FIRST))
+                self.chunks = dict(itertools.islice(self.chunks.items(), FIRST))
             known = self.chunks.get
             cuts, heads, new = [], set(), set()
             for text in texts[start:stop]:
@@ -368,7 +377,8 @@ class MarkedEncoder(TextEncoder):
         # Letters are lowered one by one: a final sigma is not special.
         return self.SPLIT.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
-    of_chunk = split
+    def of_chunk(self, chunk: str) -> list[str]:
+        return [chunk.lower()] if chunk.isascii() and chunk.isalpha() else self.split(chunk)
 
     def cut(self, text: str) -> tuple[list[str], list[str]]:
         return (self.split(text), []) if self.ODD.search(text) else ([], text.split())
