@@ -89,3 +89,33 @@ def test_reliabilities():
     assert up[0] > up[1] > up[2] > 0 and up[0] == pytest.approx(2.94, abs=0.5)
     assert all(a < 0 < w for w, a in c.votes[:3])
     assert F is not None and train([]).bias.keys() == c.bias.keys()
+
+
+def test_added_among_base_kinds(spark):
+    """Added kinds are found in a corpus full of base kinds, which don't turn what is not personal into personal data."""
+    good = [f"SSN: {301 + i}-12-34{i:02d}" for i in range(20)] + [f"so {301 + i}-12-34{i:02d} it" for i in range(20)]
+    good += [f"here is joe{i} (at) mail (dot) com" for i in range(20)] + [f"the DE{i + 10} 3704 0044 0532 0130 00 is it" for i in range(20)]
+    bad = [f"order {900 + i}-00-0000 was sent" for i in range(40)] + [f"so {900 + i}-00-0000 it" for i in range(40)]
+    bad += [f"the QX{i + 10} 3704 0044 0532 0130 00 is it" for i in range(20)]
+    base = ["mail19@mail5.example.com and 8.196.197.208 or 4539148803436467 so +1 (743) 555-3824 it"] * 180
+    docs = spark.createDataFrame(list(enumerate(good + bad + base)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in find_pii(docs).where("doc_id < 180").collect()}
+    kinds = ["national"] * 40 + ["spelled_email"] * 20 + ["iban"] * 20 + [""] * 100
+    assert [spans[i].split(":")[0] for i in range(180)] == kinds
+
+
+def test_base_counts_do_not_matter():
+    """A million base spans decide nothing but what certain personal data looks like, and the classes keep their names."""
+    added = [("national", (1, 0, 1, 0), 40), ("national", (1, 0, 0, 0), 300), ("national", (-1, 0, -1, -1), 3000)]
+    for n in (10, 1_000_000):
+        base = [("email", (1, 1, 0, 0), n), ("card", (1, -1, 0, 0), n), ("phone", (1, 1, 0, 0), n), ("ip", (1, 0, 0, 0), n)]
+        c = train(base + added)
+        score = [c.bias["national"] + sum((0.0, w, a)[v] for v, (w, a) in zip(votes, c.weights["national"])) for _, votes, _ in added]
+        assert score[0] > 0 and score[1] > 0 > score[2]
+
+
+def test_features_follow_the_posteriors():
+    """Where votes leave it open, a feature that goes with personal data decides."""
+    counts = [("national", (1, 0, 1, 0, 1, 0, 0, 0), 500), ("national", (-1, 0, -1, 0, 0, 0, 0, 0), 500)]
+    c = train(counts + [("national", (-1, 0, 1, 0, 1, 0, 0, 0), 1), ("national", (-1, 0, 1, 0, 0, 0, 0, 0), 1)])
+    assert c.features[0] > 2 and c.features[1:] == pytest.approx((0, 0, 0))

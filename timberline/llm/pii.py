@@ -1,9 +1,9 @@
 """Personal data: labelers vote on candidate spans, their reliabilities are estimated, and a trained
 classifier decides on what the base shapes don't settle. DataFrame functions alone.
 
-The votes of all candidates of all documents are counted by kind and pattern of votes: a table whose
-size is bounded by the kinds and labelers, whatever the data. Expectation-maximisation runs on these
-counts, and the classifier's weights go back into the plan as literals.
+The candidates of all documents are counted by kind and pattern of votes and features: a table whose
+size is bounded by the kinds, labelers and features, whatever the data. Expectation-maximisation runs
+on these counts, and the classifier's weights go back into the plan as literals.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +44,31 @@ AGAINST = r"(?i)(?:version|order|invoice|isbn|issn|page|part|model|serial|build|
 CONTEXT = 24
 
 
+LABELERS, FEATURES = 4, 4
+CANDIDATE = "struct<start:int,end:int,kind:string,base:boolean,v1:int,v2:int,v3:int,v4:int,f1:int,f2:int,f3:int,f4:int>"
+VOTES = [f"v{i + 1}" for i in range(LABELERS)]
+MARKS = [f"f{i + 1}" for i in range(FEATURES)]
+#: What certain personal data (the base kinds) may add to a labeler's counts, in rows.
+ANCHOR = 6.0
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Log-odds by kind, and a weight for each labeler's vote for and against."""
+    """Log-odds by kind; by kind and labeler a weight for a vote for and against; a weight for each
+    feature. ``votes`` are the labelers' weights over all kinds, by number of candidates."""
 
     bias: dict[str, float]
+    weights: dict[str, tuple[tuple[float, float], ...]]
+    features: tuple[float, ...]
     votes: tuple[tuple[float, float], ...]
 
-    def score(self, kind: Column, votes: Sequence[Column]) -> Column:
-        start = F.lit(0.0)
+    def score(self, kind: Column, votes: Sequence[Column], features: Sequence[Column]) -> Column:
+        out = total([F.when(f > 0, F.lit(w)).otherwise(0.0) for f, w in zip(features, self.features)])
+        by_kind = F.lit(0.0)
         for name, value in self.bias.items():
-            start = F.when(kind == name, F.lit(value)).otherwise(start)
-        parts = [F.when(v > 0, F.lit(w)).when(v < 0, F.lit(a)).otherwise(0.0) for v, (w, a) in zip(votes, self.votes)]
-        return total([start, *parts])
-
-
-LABELERS = 4
-CANDIDATE = "struct<start:int,end:int,kind:string,base:boolean,v1:int,v2:int,v3:int,v4:int>"
+            parts = [F.when(v > 0, F.lit(w)).when(v < 0, F.lit(a)).otherwise(0.0) for v, (w, a) in zip(votes, self.weights[name])]
+            by_kind = F.when(kind == name, total([F.lit(value), *parts])).otherwise(by_kind)
+        return out + by_kind
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -108,74 +117,170 @@ def _labelled(text: Column, spans: Column, kind: str) -> Column:
             place = _vote(word.startswith("("), F.lit(False))
         elif kind == "iban":
             place = _vote(F.substring(word, 1, 2).isin(COUNTRIES), ~F.substring(word, 1, 2).isin(COUNTRIES))
-            shape = _vote(word.rlike("^[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){3,7}"), F.lit(False))
         context = _vote(before.rlike(FOR), before.rlike(AGAINST))
         plain = number.rlike(r"([0-9])\1{5}") | number.rlike("012345|123456|987654")
         repeated = _vote(F.lit(False), plain) if kind not in ("email", "spelled_email") else _vote(F.lit(False), word.rlike(r"(?i)^(?:no-?reply|example|test)\W"))
+        after = F.substring(text, s["end"] + 1, F.lit(2))
+        # A mark right before the span, a bracket or quote or line start, what ends a phrase after it, and marks inside.
+        features = [F.lit(0)] * FEATURES if kind in BASE else [
+            before.rlike(r"[:=#]\x20?$"), before.rlike(r"(?:^|[\n(<\x22'|])\x20?$"), after.rlike(r"^(?:$|[\n)>\x22'|]|[.,;](?:\s|$))"),
+            F.length(F.regexp_replace(word, "[^\\x20().-]", "")) > 1,
+        ]
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(kind in BASE).alias("base"),
-            *(v.cast("int").alias(f"v{i + 1}") for i, v in enumerate((shape, place, context, repeated))),
+            *(v.cast("int").alias(n) for v, n in zip((shape, place, context, repeated), VOTES)),
+            *(f.cast("int").alias(n) for f, n in zip(features, MARKS)),
         )
 
     return F.transform(spans, one)
 
 
 def with_candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
-    """``docs`` and a column for its text column: all spans of all kinds with the labelers' votes."""
+    """``docs`` and a column for its text column: the spans of all kinds with the labelers' votes and
+    the features. What overlaps a base span is settled: it is neither trained on nor decided."""
     column = F.col(text)
-    found = base_spans(column)
+    base = base_spans(column)
     # The other shapes hold digits or a spelled mark; most texts have neither.
     likely = column.rlike(r"[0-9]|[\[(]at[\])]|\x20AT\x20")
-    found |= {k: F.when(likely, find_all(column, p)).otherwise(none_of(SPAN)) for k, p in EXTRA.items()}
-    return docs.withColumn(name, F.concat(none_of(CANDIDATE), *(_labelled(column, spans, k) for k, spans in found.items())))
+    extra = {k: F.when(likely, find_all(column, p)).otherwise(none_of(SPAN)) for k, p in EXTRA.items()}
+    settled = _free(docs, "settled")
+    docs = docs.withColumn(settled, F.concat(none_of(CANDIDATE), *(_labelled(column, spans, k) for k, spans in base.items())))
+    clear = {k: F.filter(spans, lambda s: ~overlaps_any(s["start"], s["end"], F.col(settled))) for k, spans in extra.items()}
+    return docs.withColumn(name, F.concat(F.col(settled), *(_labelled(column, spans, k) for k, spans in clear.items()))).drop(settled)
 
 
 def vote_counts(candidates: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """(kind, votes, number): at most kinds x 3^labelers rows, counted before they are gathered."""
+    """(kind, votes and features, number): at most kinds x 3^labelers x 2^features rows, counted
+    before they are gathered."""
     each = candidates.select(F.explode("candidates").alias("c"))
-    names = [f"v{i + 1}" for i in range(LABELERS)]
+    names = VOTES + MARKS
     rows = each.groupBy("c.kind", *(F.col(f"c.{n}").alias(n) for n in names)).count().collect()
     return sorted((r["kind"], tuple(r[n] for n in names), r["count"]) for r in rows)
 
 
-def train(counts: Sequence[tuple[str, tuple[int, ...], int]], rounds: int = 100) -> Classifier:
-    """Reliabilities by expectation-maximisation; each vote's weight is its log-likelihood ratio.
+_CELL = {1: 0, -1: 1, 0: 2}
+
 
-    Two classes, labelers independent given the class, one prior per kind. Add-one counts in favour
-    of a labeler being better than chance keep the classes from swapping and empty cells from being
-    certain. Without candidates the classifier trusts every labeler alike.
+def train(counts: Sequence[tuple[str, tuple[int, ...], int]], rounds: int = 100) -> Classifier:
+    """Each added kind has its own reliabilities, by expectation-maximisation; a vote's weight is its
+    log-likelihood ratio. The features' weights are then fitted to the posteriors as soft labels.
+
+    Two classes, labelers independent given the class. Base spans are personal data for certain: they
+    aren't divided, and how often labelers vote for and against them is known for that class. It adds
+    the same few rows to each added kind however many base spans there are. A labeler that casts no
+    vote on a kind says nothing about it, and none is taken to be worse than chance, which keeps the
+    classes from swapping. Without candidates the classifier trusts every labeler alike.
     """
-    right = [[(0.4, 0.1, 0.5), (0.1, 0.4, 0.5)] for _ in range(LABELERS)]  # P(for, against, none | class)
-    assumed = {k: 0.8 if k in BASE else 0.5 for k in (*BASE, *EXTRA)}
-    prior = dict(assumed)
-    cell = {1: 0, -1: 1, 0: 2}
+    sure = _sure(counts)
+    bias, weights, mass, soft = {}, {}, {}, []
+    for kind in EXTRA:
+        own: dict[tuple[int, ...], int] = {}
+        for k, pattern, n in counts:
+            if k == kind:
+                own[pattern[:LABELERS]] = own.get(pattern[:LABELERS], 0) + n
+        bias[kind], weights[kind] = _reliabilities(own, sure, rounds)
+        mass[kind] = sum(own.values())
+        for k, pattern, n in counts:
+            if k == kind and len(pattern) > LABELERS:
+                odds = bias[kind] + sum((0.0, w, a)[v] for v, (w, a) in zip(pattern, weights[kind]))
+                soft.append((kind, pattern[LABELERS:], n, _logistic(odds)))
+    share = {k: m / sum(mass.values()) if any(mass.values()) else 1 / len(mass) for k, m in mass.items()}
+    votes = tuple(
+        tuple(sum(share[k] * weights[k][j][side] for k in EXTRA) for side in (0, 1)) for j in range(LABELERS)
+    )
+    offset, features = _fit(soft)
+    return Classifier({k: b + offset.get(k, 0.0) for k, b in bias.items()}, weights, features, votes)
+
+
+def _sure(counts: Sequence[tuple[str, tuple[int, ...], int]]) -> list[tuple[float, float, float]]:
+    """By labeler, the shares of votes for, against and of none on base spans, where it votes at all;
+    each base kind counts alike."""
+    out = []
+    for j in range(LABELERS):
+        shares = []
+        for kind in BASE:
+            cells = [0.0, 0.0, 0.0]
+            for k, pattern, n in counts:
+                if k == kind:
+                    cells[_CELL[pattern[j]]] += n
+            if cells[0] + cells[1] > 0:
+                shares.append([x / sum(cells) for x in cells])
+        out.append(tuple(sum(s[c] for s in shares) / len(shares) if shares else 0.0 for c in range(3)))
+    return out
+
+
+def _reliabilities(own: dict[tuple[int, ...], int], sure: Sequence[tuple[float, float, float]], rounds: int):
+    """(log-odds without a vote, weights) of one kind from its counts by votes."""
+    start = [[[3.0 + ANCHOR * s[0], 1.0 + ANCHOR * s[1], 2.0 + ANCHOR * s[2]], [1.0, 3.0, 2.0]] for s in sure]
+    silent = [bool(own) and not any(votes[j] for votes in own) for j in range(LABELERS)]
+    right, prior = [_ordered(rows) for rows in start], 0.5
     for _ in range(rounds):
-        soft = [[[3.0, 1.0, 2.0], [1.0, 3.0, 2.0]] for _ in range(LABELERS)]
-        mass = {k: [2.0 * p, 2.0 * (1 - p)] for k, p in assumed.items()}
-        for kind, votes, n in counts:
-            odds = [prior[kind], 1 - prior[kind]]
+        cells = [[list(row) for row in rows] for rows in start]
+        mass = [1.0, 1.0]
+        for votes, n in own.items():
+            odds = [prior, 1 - prior]
             for j, v in enumerate(votes):
-                odds = [o * right[j][c][cell[v]] for c, o in enumerate(odds)]
+                if not silent[j]:
+                    odds = [o * right[j][c][_CELL[v]] for c, o in enumerate(odds)]
             p = odds[0] / (odds[0] + odds[1])
-            mass[kind][0] += n * p
-            mass[kind][1] += n * (1 - p)
-            for j, v in enumerate(votes):
-                soft[j][0][cell[v]] += n * p
-                soft[j][1][cell[v]] += n * (1 - p)
-        right = [[tuple(x / sum(row) for x in row) for row in rows] for rows in soft]
-        prior = {k: a / (a + b) for k, (a, b) in mass.items()}
-    bias = {}
-    for k, p in prior.items():
-        silent = total_log((right[j][0][2], right[j][1][2]) for j in range(LABELERS))
-        bias[k] = math.log(p / (1 - p)) + silent
-    weights = tuple(
-        (_ratio(right[j], 0) - _ratio(right[j], 2), _ratio(right[j], 1) - _ratio(right[j], 2)) for j in range(LABELERS)
-    )
-    return Classifier(bias, weights)
-
-
-def total_log(pairs) -> float:
-    return sum(math.log(a / b) for a, b in pairs)
+            for c, x in enumerate((n * p, n * (1 - p))):
+                mass[c] += x
+                for j, v in enumerate(votes):
+                    cells[j][c][_CELL[v]] += x
+        right, prior = [_ordered(rows) for rows in cells], mass[0] / sum(mass)
+    none = [0.0 if silent[j] else _ratio(right[j], 2) for j in range(LABELERS)]
+    weights = tuple((0.0, 0.0) if silent[j] else (_ratio(right[j], 0) - none[j], _ratio(right[j], 1) - none[j]) for j in range(LABELERS))
+    return math.log(prior / (1 - prior)) + sum(none), weights
+
+
+def _ordered(rows: Sequence[Sequence[float]]) -> list[list[float]]:
+    """Shares of a labeler's votes by class. A vote for is at least as common on personal data as on the
+    rest, and a vote against at most; what breaks this has the share of both classes together."""
+    shares = [[x / sum(row) for x in row] for row in rows]
+    both = [(a + b) / (sum(rows[0]) + sum(rows[1])) for a, b in zip(*rows)]
+    for cell, sign in ((0, 1), (1, -1)):
+        if sign * (shares[0][cell] - shares[1][cell]) < 0:
+            for s in shares:
+                s[cell] = both[cell]
+    return [[x / sum(s) for x in s] for s in shares]
+
+
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+
+
+def _fit(soft: Sequence[tuple[str, tuple[int, ...], int, float]], rounds: int = 50) -> tuple[dict[str, float], tuple[float, ...]]:
+    """(offset by kind, weight by feature): logistic regression of the posteriors on the features, by
+    Newton steps. The offset takes out the kind's own share, which the reliabilities have already."""
+    if not soft:
+        return {}, (0.0,) * FEATURES
+    kinds = sorted({k for k, *_ in soft})
+    x = np.array([[k == name for name in kinds] + list(f) for k, f, _, _ in soft], float)
+    n = np.array([row[2] for row in soft], float)
+    y = np.array([row[3] for row in soft])
+    ridge = np.array([1e-3] * len(kinds) + [1.0] * FEATURES)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0.0, z) - y * z) + 0.5 * ridge @ (w * w))
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (n * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    offset = {}
+    for i, name in enumerate(kinds):
+        of = x[:, i] > 0
+        share = min(max(float(n[of] @ y[of] / n[of].sum()), 1e-9), 1 - 1e-9)
+        offset[name] = float(w[i]) - math.log(share / (1 - share))
+    return offset, tuple(w[len(kinds) :].tolist())
 
 
 def _ratio(rows, i: int) -> float:
@@ -184,13 +289,11 @@ def _ratio(rows, i: int) -> float:
 
 def decided(candidates: Column, classifier: Classifier) -> dict[str, Column]:
     """Spans by kind: base spans as they are; others where the classifier finds personal data more
-    likely than not and no base span overlaps."""
+    likely than not."""
     base = {k: _of_kind(candidates, k) for k in BASE}
     good = F.filter(
-        candidates,
-        lambda c: ~c["base"] & (classifier.score(c["kind"], [c[f"v{i + 1}"] for i in range(LABELERS)]) > 0)
-        & ~overlaps_any(c["start"], c["end"], F.filter(candidates, lambda b: b["base"])),
-    )
+        candidates, lambda c: ~c["base"] & (classifier.score(c["kind"], [c[n] for n in VOTES], [c[n] for n in MARKS]) > 0)
+    )
     return base | {k: _of_kind(good, k) for k in EXTRA}
 
 
