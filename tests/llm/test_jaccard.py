@@ -126,3 +126,28 @@ def test_trees_lose_nothing():
     across = {tuple(sorted(p)) for p in candidate_pairs(marks, sizes, 80, side).tolist()}
     assert {(a, b) for a, b in linked if side[a] != side[b]} <= across
     assert all(side[a] != side[b] for a, b in across)
+
+
+def test_repeated_id_with_other_texts(spark):
+    """Each row of a repeated doc_id has the links of its own text, whichever row comes first."""
+    words = [[f"{x}{i}" for i in range(n)] for x, n in (("a", 60), ("b", 200), ("c", 90))]
+    first, second, third = (" ".join(w) for w in words)
+    near = [" ".join([*w[:-1], "other"]) for w in words]
+    rows = [(1, near[0]), (3, near[1]), (4, near[2]), (7, first), (7, second), (7, "alone with nothing that is like it"), (9, third)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in similar_documents(docs).collect()}
+        assert len(got) == 7
+        assert got[7, 56] == (1, False) and got[7, 196] == (3, False) and got[9, 86] == (4, False) and got[7, 3] == (7, True)
+
+
+def test_trees_pair_all_widths():
+    """Below 50 percent similar sets may be many times as large as one another."""
+    rng = np.random.default_rng(6)
+    large = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    sets = [large, np.sort(rng.permutation(large)[:220]), np.sort(rng.permutation(large)[:450])]
+    sizes = np.array([len(s) for s in sets])
+    pairs = {tuple(sorted(p)) for p in candidate_pairs([signature(s) for s in sets], sizes, 20).tolist()}
+    assert {(0, 1), (0, 2)} <= pairs
+    across = candidate_pairs([signature(s) for s in sets], sizes, 20, np.array([0, 1, 1]))
+    assert {(0, 1), (0, 2)} <= {tuple(sorted(p)) for p in across.tolist()}

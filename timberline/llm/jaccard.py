@@ -91,12 +91,12 @@ def _described(docs: DataFrame, size: int, percent: int, plain_for: list[int]) -
         for batch in batches:
             n, d1, d2, bits, keys, few = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text").to_pylist(), size):
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                digest = _digest(tokens)
                 first, short = set_keys(tokens, percent, plain)
                 few.append(short)
                 n.append(len(tokens))
-                d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                d2.append(int.from_bytes(digest[8:], "little", signed=True))
+                d1.append(digest[0])
+                d2.append(digest[1])
                 bits.append(signature(tokens) if len(tokens) else b"")
                 keys.append(first.view(np.int64))
             yield pa.RecordBatch.from_pydict(
@@ -168,19 +168,28 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` (staged) whose full sets are similar; texts of no other rows are read again.
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _linked(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``pairs`` (staged) of classes whose full sets are similar; texts of no other rows are read
+    again. ``leaves``: a class (id) and the document that stands for it.
 
     A text's set is sent to its partners' side once for each pair, dealt out so that no task checks
-    more than a bounded number of partners for one text.
+    more than a bounded number of partners for one text. Other texts of a repeated doc_id that are
+    read with it are classes of their own and meet no pair, or theirs.
     """
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    named = docs.join(checked_broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    of = stage(leaves.select("id", "doc_id").join(ids, "id", "left_semi").select(F.col("doc_id").alias("doc")).distinct(), "ids")
+    named = docs.join(checked_broadcast(of), F.col("doc_id") == F.col("doc"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), size)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "tokens": pa.array(found, pa.binary())})
+            found = shingle_sets(batch.column("text").to_pylist(), size)
+            ids = pa.array([_digest(s)[0] for s in found], pa.int64())
+            yield pa.RecordBatch.from_pydict({"id": ids, "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
 
     tokens = stage(named.mapInArrow(sets, "id long, tokens binary"), "sets")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
@@ -216,7 +225,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     whole sequence if it is shorter; two texts link when 100 * intersection >= ``percent`` * union.
     The component is the smallest doc_id that links reach. A text without words links with nothing,
     nor does a row without an id. Rows that repeat an id are judged by their own text. Sets are
-    compared by 64-bit token hashes. An empty table gives no rows.
+    compared by 64-bit token hashes, and told apart by 64 bits of their digest. An empty table gives no rows.
     """
     texts = narrow(docs, id_col, text_col)
     rows = stage(_described(texts, size, percent, []), "described")
@@ -227,9 +236,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     named = rows.where("doc_id is not null and n > 0")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     many = stage(classes.where("copies > 1").select("d1", "d2", F.col("id").alias("first")), "copies")
-    # A class is its first document; copies drop out here.
+    # A class is named by its digest and stands in its first document; copies drop out here. A doc_id
+    # that is repeated with another text is in several classes.
     of = named.join(checked_broadcast(many), ["d1", "d2"], "left").where("first is null or first = doc_id")
-    leaves = of.select(F.col("doc_id").alias("id"), "n", "bits", "keys")
+    leaves = of.select(F.col("d1").alias("id"), "doc_id", "n", "bits", "keys")
     keys = leaves.select("id", F.explode("keys").alias("key"))
     # Most keys have one class, and most others two, which are known from here.
     shared = (
@@ -249,7 +259,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     wide = listed.where(F.col("m") > WIDE)
     pivots = wide.groupBy("root").agg(F.min("id").alias("p"))
     spokes = stage(wide.join(pivots, "root").where("p < id").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "spokes")
-    links = stage(_linked(spokes, texts, size, percent), "links")
+    links = stage(_linked(spokes, leaves, texts, size, percent), "links")
     parts = stage(components(links), "parts")
 
     two = pairs.select("root", F.lit(2).cast("long").alias("m"), F.explode(F.array("low", "high")).alias("id"))
@@ -258,12 +268,18 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     )
     members = members.join(leaves.select("id", "n", "bits").dropDuplicates(["id"]), "id")
     candidates = stage(_tree_candidates(members, percent), "candidates")
-    links = stage(links.union(_linked(candidates, texts, size, percent)), "links")
+    links = stage(links.union(_linked(candidates, leaves, texts, size, percent)), "links")
     found = stage(components(links), "components")
 
-    named = rows.select("doc_id", "n", "d1", "d2").join(checked_broadcast(many), ["d1", "d2"], "left")
-    named = named.withColumn("own", F.coalesce("first", "doc_id"))
-    return named.join(checked_broadcast(found), F.col("own") == F.col("node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "own").alias("component_id"),
-        (F.coalesce("component", "own") == F.col("doc_id")).alias("kept"),
-    )
+    # The smallest class of a component isn't among the nodes. Its smallest doc_id names it.
+    heads = found.select(F.col("component").alias("node"), "component").distinct()
+    found = stage(found.union(heads), "nodes")
+    first = named.select("d1", "doc_id").join(checked_broadcast(found), F.col("d1") == F.col("node"))
+    first = first.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = stage(found.join(first, "component").select("node", "least"), "firsts")
+    all_ = rows.select("doc_id", "n", "d1", "d2").join(checked_broadcast(many), ["d1", "d2"], "left")
+    linked = all_.join(checked_broadcast(found), (F.col("d1") == F.col("node")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first", "doc_id"))
+    return linked.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+    )

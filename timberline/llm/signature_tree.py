@@ -102,7 +102,8 @@ def traverse(a: list[Level], b: list[Level], percent: int, same: bool) -> tuple[
 def candidate_pairs(signatures: list[bytes], sizes: np.ndarray, percent: int, side: np.ndarray | None = None):
     """(i, j) rows that may be similar. ``side``: 0 or 1, only pairs across the two are wanted.
 
-    One tree for each width of bitmaps; similar texts have the same width or neighbouring ones.
+    One tree for each width of bitmaps, compared with all that are as wide or wider; sizes that don't
+    allow similar texts end the comparison at the roots.
     """
     widths = np.fromiter(map(len, signatures), np.int64, len(signatures))
     groups = {}
@@ -117,7 +118,7 @@ def candidate_pairs(signatures: list[bytes], sizes: np.ndarray, percent: int, si
     out = []
     for (w, s), (rows, bits, n) in groups.items():
         for (w2, s2), (rows2, bits2, n2) in groups.items():
-            if w2 not in (w, 2 * w) or (s is None and w2 == w and rows is not rows2) or (s is not None and s == s2):
+            if w2 < w or (s is None and w2 == w and rows is not rows2) or (s is not None and s == s2):
                 continue
             if s is not None and w == w2 and s > s2:
                 continue
