@@ -14,6 +14,7 @@ from timberline.llm.pii import find_pii
 from timberline.llm.quality import quality_rules
 from timberline.llm.quality_sql import RULES_SQL
 from timberline.llm.secret_scan import find_secrets
+from timberline.llm.suffix_trees import drop_repeated_passages
 from timberline.llm.tokens import count_tokens, encode_documents
 from timberline.llm.urls import FILTER_SQL, url_filter
 
@@ -41,6 +42,20 @@ FROM e LEFT JOIN (SELECT a, count(*) AS n_links FROM link GROUP BY a) n ON e.vec
 LEFT JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON e.vec_id = c.node
 """
 
+PASSAGES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+wins AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+),
+again AS (SELECT k FROM wins GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM wins SEMI JOIN again USING (k)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -107,3 +122,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_line_runs")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup(table(spark, sf, "documents"), min_words=50)
+
+
+@query("op11_passages", PASSAGES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf, "documents"), window=35, digest=True)

@@ -40,6 +40,11 @@ class Powers:
 _POWERS = Powers()
 
 
+def word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of the base and of its inverse."""
+    return _POWERS.to(n)
+
+
 def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of a byte string, by differences of one running sum."""
     blank = _BLANK[buffer]
