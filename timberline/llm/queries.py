@@ -13,6 +13,7 @@ from timberline.llm.packing import pack_documents
 from timberline.llm.pii import find_pii
 from timberline.llm.quality import quality_rules
 from timberline.llm.quality_sql import RULES_SQL
+from timberline.llm.ranked_search import ranked_search
 from timberline.llm.secret_scan import find_secrets
 from timberline.llm.suffix_trees import drop_repeated_passages
 from timberline.llm.tokens import count_tokens, encode_documents
@@ -56,6 +57,26 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM wor
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
+SEARCH_SQL = r"""
+WITH term AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+asked AS (
+  SELECT DISTINCT item_id, unnest(
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM term WHERE len(w) > 0),
+held AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM term) SEMI JOIN asked USING (t) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY t),
+gain AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nt))) AS g FROM held JOIN weight USING (t), corpus),
+score AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(g) AS BIGINT) AS score FROM gain JOIN asked USING (t) GROUP BY item_id, r),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -127,3 +148,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_passages", PASSAGES_SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf, "documents"), window=35, digest=True)
+
+
+@query("op12_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
