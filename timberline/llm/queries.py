@@ -18,6 +18,7 @@ from timberline.llm.secret_scan import find_secrets
 from timberline.llm.suffix_trees import drop_repeated_passages
 from timberline.llm.tokens import count_tokens, encode_documents
 from timberline.llm.urls import FILTER_SQL, url_filter
+from timberline.llm.whitening import whiten
 
 EMBEDDINGS_SQL = r"""
 WITH RECURSIVE e AS (
@@ -153,3 +154,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_search", SEARCH_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"), most=8)
