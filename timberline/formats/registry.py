@@ -75,6 +75,7 @@ def parse_logs(
     tz: str = "UTC",
     now=None,
     honor_offset: bool = False,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """Lines ``(source_id, line_number, raw_line[, entry_id])`` to log records.
 
@@ -84,7 +85,8 @@ def parse_logs(
     Reports need the top of their file, which a stream doesn't have at hand: there, as with formats
     that nobody knows, their lines are plain messages of level info.
 
-    Detection and file headers come from one pass over the first lines of each source. That
+    Detection and file headers come from the first lines of each source: ``heads``, if given (see
+    ``timberline.sources.read_heads``), else one pass over the lines. That
     table has a row per source and is joined without a broadcast hint: Spark broadcasts it by
     its measured size, and otherwise splits a source that holds most of the lines.
     """
@@ -107,7 +109,12 @@ def parse_logs(
 
     headed = [f for f in chosen if f.file_scoped]
     if format == "auto" or headed:
-        heads = _heads(lines.drop("format") if format == "auto" else lines)
+        if heads is not None and format != "auto":
+            # A source's format goes for its first lines too.
+            known = lines.select("source_id", "format").distinct() if format == "column" else None
+            heads = heads.join(known, "source_id") if known is not None else heads.withColumn("format", F.lit(format))
+        first = lines if heads is None else heads
+        heads = _heads(first.drop("format") if format == "auto" else first)
         if format == "auto":
             heads = _scored(heads)
             lines = lines.drop("format")

@@ -67,33 +67,3 @@ def read_log_lines(spark: SparkSession, path: str | list[str], keep_empty: bool
         (F.col("_kept_before") + F.col("_kept_at") - F.col("_kept_in_task")).alias("entry_id"),
         "raw_line",
     )
-
-
-def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of files that are one JSON array of objects, or an object holding one.
-
-    The array is looked for under ``events, logs, records, entries, messages``. ``line_number`` is
-    the object's position from 1 and ``raw_line`` the compact object, so ``json`` and ``unified``
-    parse them like any line. A file is read by one task and must fit its memory.
-    """
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_id"), F.trim("value").alias("_text")
-    )
-    envelope = F.from_json("_text", "map<string,string>")
-    member = F.coalesce(
-        *[
-            F.from_json(F.element_at(envelope, F.lit(k)), "array<string>")
-            for k in ("events", "logs", "records", "entries", "messages")
-        ]
-    )
-    items = F.when(F.col("_text").startswith("["), F.from_json("_text", "array<string>")).otherwise(member)
-    objects = F.when(F.forall(items, lambda o: o.startswith("{")), items)
-    return (
-        text.select("source_id", F.posexplode(objects).alias("_i", "raw_line"))
-        .select(
-            "source_id",
-            (F.col("_i") + 1).cast("long").alias("line_number"),
-            F.col("_i").cast("long").alias("entry_id"),
-            "raw_line",
-        )
-    )
