@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from timberline.formats import parse_logs
 from timberline.sinks import write_csv, write_json, write_text
 from timberline.sources import (
-    file_category, ingest_changed, log_catalog, read_ingested, read_json_array, read_log_lines, read_log_table,
+    compact_ingested, current_files, file_category, ingest_changed, log_catalog, read_ingested, read_json_array, read_log_lines, read_log_table,
     write_log_table,
 )
 
@@ -91,6 +91,62 @@ def test_ingest_of_json_and_reports(spark, tmp_path):
     assert ingest_changed(spark, log_catalog(spark, root), table) == 0
 
 
+def _messages(spark, table):
+    return sorted(r.message for r in read_ingested(spark, table).collect())
+
+
+def test_ingest_in_groups_survives_a_crash(spark, tmp_path, monkeypatch):
+    from timberline.sources import tables
+
+    folder, table = tmp_path / "in", f"{tmp_path}/t"
+    folder.mkdir()
+    for n in range(9):
+        (folder / f"f{n}.log").write_text(f"ERROR old {n}\n")
+    wrote = []
+
+    def crashing(df, path):
+        wrote.append(path)
+        write_log_table(df, path)
+        if len(wrote) == 2:
+            raise RuntimeError("executor and driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "write_log_table", crashing)
+        with pytest.raises(RuntimeError):
+            ingest_changed(spark, log_catalog(spark, str(folder)), table, group_files=3)
+    done = current_files(spark, table).count()
+    assert 0 < done < 9 and read_ingested(spark, table).count() == done
+    # The next run does the rest only.
+    assert ingest_changed(spark, log_catalog(spark, str(folder)), table, group_files=3) == 9 - done
+    assert _messages(spark, table) == [f"old {n}" for n in range(9)]
+
+
+def test_compaction_drops_what_is_not_current(spark, tmp_path):
+    folder, table = tmp_path / "in", f"{tmp_path}/t"
+    folder.mkdir()
+    assert compact_ingested(spark, table) == 0
+    for n in range(4):
+        (folder / f"f{n}.log").write_text(f"ERROR old {n}\nWARN more {n}\n")
+    ingest_changed(spark, log_catalog(spark, str(folder)), table, group_files=2)
+    before = len(list((tmp_path / "t" / "rows").iterdir()))
+    (folder / "f0.log").write_text("ERROR new\n")
+    (folder / "f1.log").unlink()
+    ingest_changed(spark, log_catalog(spark, str(folder)), table)
+    want = ["more 2", "more 3", "new", "old 2", "old 3"]
+    assert _messages(spark, table) == want
+    assert compact_ingested(spark, table) >= 1
+    assert _messages(spark, table) == want
+    live = {r.generation for r in current_files(spark, table).collect()}
+    folders = {int(p.name.split("=")[1]) for p in (tmp_path / "t" / "rows").iterdir()}
+    assert folders == live and len(folders) <= before + 1
+    # Going on from the compacted table.
+    assert ingest_changed(spark, log_catalog(spark, str(folder)), table) == 0
+    (folder / "f4.log").write_text("INFO last\n")
+    assert ingest_changed(spark, log_catalog(spark, str(folder)), table) == 1
+    assert _messages(spark, table) == sorted([*want, "last"])
+    assert compact_ingested(spark, table) == 0
+
+
 def test_log_table_keeps_rows(spark, folder):
     root, _ = folder
     df = parse_logs(read_log_lines(spark, f"{root}/in/a0.log"), "plain")

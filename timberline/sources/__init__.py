@@ -7,6 +7,8 @@ from timberline.sources.json_arrays import read_json_array
 from timberline.sources.lines import read_log_lines
 from timberline.sources.tables import (
     changed_files,
+    compact_ingested,
+    current_files,
     ingest_changed,
     read_ingested,
     read_log_table,
@@ -15,6 +17,8 @@ from timberline.sources.tables import (
 
 __all__ = [
     "changed_files",
+    "compact_ingested",
+    "current_files",
     "file_category",
     "ingest_changed",
     "log_catalog",

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.formats import detect_format, parse_logs
 from timberline.schema import LOG_COLUMNS
 from timberline.session import path_exists, stage
-from timberline.sources.lines import read_log_lines
+from timberline.sources.files import open_logs
 
 MTIME_TOLERANCE_US = 1_000
 
@@ -43,73 +42,129 @@ def changed_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     return catalog.join(known, same, "left_anti")
 
 
+MANIFEST = "path string, source_id string, size long, modified timestamp, generation long, format string, gone boolean"
+#: Files that are read together, and written as one generation.
+GROUP_FILES = 1000
+
+
 def ingest_changed(
-    spark: SparkSession, catalog: DataFrame, root: str, tz: str = "UTC", now=None, format: str = "auto"
+    spark: SparkSession, catalog: DataFrame, root: str, tz: str = "UTC", now=None, format: str = "auto", group_files: int = GROUP_FILES
 ) -> int:
     """Bring the table under ``root`` up to date with the catalogued files; returns files parsed.
 
     A file is parsed again when its size or time differs from the manifest, which covers growth,
-    truncation and replacement. Its old rows go, as do those of files no longer catalogued: each run
-    writes one new generation of rows and the manifest says which generation is current for a file,
-    so a run that dies midway changes nothing and readers never see half a file.
+    truncation and replacement; its old rows go, as do those of files no longer catalogued.
+
+    Files are taken in groups of about ``group_files``. Each group's rows are a generation of their own, and
+    a note of which files it holds, written last, makes them current: a run that dies midway keeps
+    the groups it finished, changes nothing else, and the next run goes on with the rest. Readers never see
+    half a file. :func:`compact_ingested` removes what is no longer current.
     """
-    manifest_path, rows_path = f"{root}/manifest", f"{root}/rows"
-    schema = "path string, source_id string, size long, modified timestamp, generation long, format string"
-    old = (
-        spark.read.parquet(_latest(spark, manifest_path))
-        if path_exists(spark, manifest_path)
-        else spark.createDataFrame([], schema)
-    )
     # Listed once: the folder may change meanwhile.
     catalog = stage(catalog.select("path", "source_id", "size", "modified"), "catalog")
-    todo, here = stage(changed_files(catalog, old), "changed"), catalog.select("path")
-    paths = [r["path"] for r in todo.select("path").toLocalIterator()]
-    if not paths:
-        if not old.join(here, "path", "left_anti").isEmpty():
-            _write_manifest(old.join(here, "path", "left_semi"), manifest_path, spark)
-        return 0
-    generation = (old.agg(F.max("generation")).first()[0] or 0) + 1
-    lines = read_log_lines(spark, paths)
-    if format == "auto":
-        kinds = stage(detect_format(lines).select("source_id", "format"), "formats")
-        parsed = parse_logs(lines.join(kinds, "source_id"), "column", tz, now)
-    else:
-        kinds = None
-        parsed = parse_logs(lines, format, tz, now)
-    write_log_table(parsed, f"{rows_path}/generation={generation}")
-
-    fresh = todo.withColumn("generation", F.lit(generation).cast("long"))
-    if kinds is None:
-        fresh = fresh.withColumn("format", F.lit(format))
-    else:
-        fresh = fresh.join(kinds, "source_id", "left")
-    kept = old.join(here, "path", "left_semi").join(fresh.select("path"), "path", "left_anti")
-    _write_manifest(kept.unionByName(fresh.select(*kept.columns)), manifest_path, spark)
-    return len(paths)
-
-
-def _write_manifest(manifest: DataFrame, manifest_path: str, spark: SparkSession) -> None:
-    """A new manifest after the latest; manifests are numbered by themselves."""
-    last = int(_latest(spark, manifest_path).rsplit("/", 1)[1]) if path_exists(spark, manifest_path) else 0
-    manifest.write.mode("errorifexists").parquet(f"{manifest_path}/{last + 1:09d}")
-
-
-def _latest(spark: SparkSession, manifest_path: str) -> str:
+    old = stage(current_files(spark, root), "current")
+    todo = stage(changed_files(catalog, old), "changed")
+    generation = _last_generation(spark, root)
+    left = old.join(catalog.select("path"), "path", "left_anti").withColumn("gone", F.lit(True))
+    if not left.isEmpty():
+        generation += 1
+        _note(left.withColumn("generation", F.lit(generation).cast("long")), root, generation)
+    files = todo.count()
+    groups = -(-files // group_files)
+    group = F.pmod(F.xxhash64("path"), F.lit(max(groups, 1)))
+    for g in range(groups):
+        mine = todo.where(group == g)
+        paths = [r["path"] for r in mine.select("path").collect()]
+        if not paths:
+            continue
+        generation += 1
+        records, kinds = open_logs(spark, paths, format, tz, now)
+        write_log_table(records, f"{root}/rows/generation={generation}")
+        noted = mine.join(kinds.select("source_id", "format"), "source_id", "left").withColumns(
+            {"generation": F.lit(generation).cast("long"), "gone": F.lit(False)}
+        )
+        _note(noted, root, generation)
+    return files
+
+
+def _note(files: DataFrame, root: str, generation: int, base: bool = False) -> None:
+    """Write a part of the manifest; it counts once Spark marks it as complete."""
+    columns = [c.split()[0] for c in MANIFEST.split(", ")]
+    files.select(*columns).write.mode("overwrite").parquet(f"{root}/manifest/{generation:09d}{'b' if base else ''}")
+
+
+def _notes(spark: SparkSession, root: str) -> list[str]:
+    """Complete parts of the manifest in order, from the last one that stands for all before it."""
+    if not path_exists(spark, f"{root}/manifest"):
+        return []
     jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(manifest_path)
+    base = jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(
+        s.getPath().getName() for s in fs.listStatus(base) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    )
+    bases = [i for i, name in enumerate(done) if name.endswith("b")]
+    return done[bases[-1] if bases else 0 :]
+
+
+def _last_generation(spark: SparkSession, root: str) -> int:
+    notes = _notes(spark, root)
+    return int(notes[-1].rstrip("b")) if notes else 0
+
+
+def current_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files in the table under ``root``, and the generation that holds each one's rows."""
+    notes = _notes(spark, root)
+    if not notes:
+        return spark.createDataFrame([], MANIFEST)
+    parts = spark.read.schema(MANIFEST).parquet(*[f"{root}/manifest/{n}" for n in notes])
+    latest = parts.groupBy("path").agg(F.max_by(F.struct(*[c for c in parts.columns if c != "path"]), "generation").alias("f"))
+    return latest.select("path", "f.*").where(~F.col("gone")).select(*parts.columns)
+
+
+def compact_ingested(spark: SparkSession, root: str) -> int:
+    """Drop rows that are no longer current; returns generations removed.
+
+    Rows still current in generations that hold others too are written as one new generation, then the
+    manifest is written anew as a whole, and only then folders are removed. A run that dies before that changes
+    nothing; one that dies while removing is made good by the next. Nobody may read meanwhile.
+    """
+    files = stage(current_files(spark, root), "current")
+    last = _last_generation(spark, root)
+    notes = _notes(spark, root)
+    if not notes:
+        return 0
+    parts = spark.read.schema(MANIFEST).parquet(*[f"{root}/manifest/{n}" for n in notes])
+    held = parts.where(~F.col("gone")).select("path", "generation").distinct()
+    dead = held.join(files.select("path", "generation"), ["path", "generation"], "left_anti").select("generation").distinct()
+    moved = stage(files.join(dead, "generation", "left_semi"), "moved")
+    new = last + 1
+    if not moved.isEmpty():
+        rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+        rows = rows.join(moved.select("source_id", "generation"), ["source_id", "generation"], "left_semi")
+        write_log_table(rows, f"{root}/rows/generation={new}")
+    now = F.when(F.col("_moved"), F.lit(new).cast("long")).otherwise(F.col("generation"))
+    marked = files.join(moved.select("path", F.lit(True).alias("_moved")), "path", "left")
+    _note(marked.withColumn("generation", now), root, new, base=True)
+    live = {f"generation={r.generation}" for r in current_files(spark, root).select("generation").distinct().collect()}
+    removed = _remove_others(spark, f"{root}/rows", live)
+    _remove_others(spark, f"{root}/manifest", {f"{new:09d}b"})
+    return removed
+
+
+def _remove_others(spark: SparkSession, folder: str, keep: set[str]) -> int:
+    if not path_exists(spark, folder):
+        return 0
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [
-        s.getPath().toString()
-        for s in fs.listStatus(base)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max(done)
+    old = [s.getPath() for s in fs.listStatus(base) if s.isDirectory() and s.getPath().getName() not in keep]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 def read_ingested(spark: SparkSession, root: str) -> DataFrame:
     """Current rows of a table kept by :func:`ingest_changed`."""
-    manifest = spark.read.parquet(_latest(spark, f"{root}/manifest"))
-    current = manifest.select("source_id", "generation")
+    current = current_files(spark, root).select("source_id", "generation")
     rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
     return rows.join(current, ["source_id", "generation"], "left_semi").drop("generation")
-

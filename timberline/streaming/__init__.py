@@ -10,6 +10,7 @@ from timberline.streaming.live import (
     to_table,
 )
 from timberline.streaming.rates import rate_and_stall
+from timberline.streaming.tail import tail_log_lines
 
 __all__ = [
     "LiveLog",
@@ -18,6 +19,7 @@ __all__ = [
     "running_level_counts",
     "stream_log_lines",
     "stream_table",
+    "tail_log_lines",
     "time_windows",
     "to_table",
 ]
