@@ -19,7 +19,7 @@ from timberline.sinks import to_csv_lines, to_json_records
 
 E, O, LI, D = V.EVENTS_LOG_SQL, V.ORDERS_LOG_SQL, V.LINEITEM_LOG_SQL, V.DOCUMENT_LINES_SQL
 _DISPLAY = "(['Unknown', 'Debug', 'Info', 'Notice', 'Warning', 'Error', 'Critical'])[level + 2]"
-_SHORT = "(['???', 'DBG', 'INFO', 'NOT', 'WARN', 'ERR', 'CRT'])[level + 2]"
+SHORT_LEVEL_SQL = "(['???', 'DBG', 'INFO', 'NOT', 'WARN', 'ERR', 'CRT'])[level + 2]"
 
 
 def ts_us() -> Column:
@@ -818,7 +818,7 @@ def decode_message_codes_strict(spark: SparkSession, sf: str) -> DataFrame:
     with_ctes(
         E,
         f"""
-SELECT line_number, line_number || ',"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '",' || {_SHORT} || ',"' ||
+SELECT line_number, line_number || ',"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '",' || {SHORT_LEVEL_SQL} || ',"' ||
        component || '","' || replace(message, '"', '""') || '"' AS value FROM log""",
     ),
 )
@@ -851,7 +851,7 @@ SELECT line_number, strftime(timestamp, '%H:%M:%S.%g') AS clock, strftime(timest
        format('{{:,}}', size) AS grouped,
        CASE WHEN size < 1000 THEN size::VARCHAR WHEN size < 10000 THEN replace(format('{{:.1f}}k', size / 1000.0), '.0k', 'k')
             ELSE (size // 1000)::VARCHAR || 'k' END AS compact,
-       {_SHORT} AS short, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' · ' || component || ' · thread ' || entry_id || ' · ' || {_DISPLAY} AS about
+       {SHORT_LEVEL_SQL} AS short, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' · ' || component || ' · thread ' || entry_id || ' · ' || {_DISPLAY} AS about
 FROM sized""",
     ),
 )
