@@ -266,3 +266,37 @@ def test_navigation_stays_in_its_file(spark, parts):
     ]
     first = op.bucket_representatives(df, buckets=2).orderBy("bucket").collect()
     assert [(r.source_id, r.target, r.rolled) for r in first] == [("a", 1, False), ("a", 3, False)]
+
+
+def test_rates_by_the_recurrence(spark):
+    """Over blocks, long silences and sources with their own clocks; null keys and times."""
+    import random
+
+    rnd = random.Random(4)
+    seconds = {"a": [], None: [], "b": [10**6]}
+    for key in ("a", None):
+        s = rnd.randrange(-3000, 3000)
+        for _ in range(400):
+            seconds[key] += [s] * rnd.choice([1, 1, 3])
+            s += rnd.choice([1, 1, 1, 2, 6, 40, 511, 512, 513, 700])
+    rows = [(k, s * 1_000_000 + rnd.randrange(10**6)) for k, ss in seconds.items() for s in ss] + [("a", None)]
+    df = spark.createDataFrame(rows, "source_id string, us long").withColumn("timestamp", F.timestamp_micros("us")).repartition(3)
+    got = {(r.source_id, r.second): r for r in op.rate_seconds(df, keys=["source_id"], until=F.timestamp_micros(F.lit(10**12 + 10**7))).where("source_id = 'b' or second < 100000").collect()}
+    sparse = {(r.source_id, r.second): r for r in op.line_rates(df, keys=["source_id"]).collect()}
+    for key, ss in seconds.items():
+        count, rate, idle, last = {}, 0.0, 0, None
+        for s in ss:
+            count[s] = count.get(s, 0) + 1
+        for s in range(min(ss), min(max(ss), 99_999) + 1 if key != "b" else 10**6 + 11):
+            n = count.get(s, 0)
+            rate = 0.6 * rate + 0.4 * n
+            idle = 0 if n else idle + 1
+            r = got.pop((key, s))
+            assert (r.lines, r.idle_seconds, r.stalled) == (n, idle, idle >= 5)
+            assert abs(r.rate - rate) <= 1e-12 * rate + 1e-300
+            if n:
+                r = sparse.pop((key, s))
+                assert r.lines == n and abs(r.rate - rate) <= 1e-12 * rate and r.idle_before == (0 if last is None else s - last - 1)
+                last = s
+    assert all(s >= max(seconds[k]) for k, s in got)
+    assert op.line_rates(df.limit(0)).count() == 0 and op.rate_seconds(df.limit(0)).count() == 0

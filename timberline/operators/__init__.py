@@ -51,7 +51,7 @@ from timberline.operators.navigation import (
     visible_position,
 )
 from timberline.operators.ordered import Run, number_rows, number_sorted, running
-from timberline.operators.rates import line_rates, pause_buffer, pause_drops, pause_state, shown_rate
+from timberline.operators.rates import line_rates, pause_buffer, pause_drops, pause_state, rate_seconds, shown_rate
 from timberline.operators.summary import (
     column_flags,
     component_dictionary,

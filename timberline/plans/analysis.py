@@ -910,12 +910,13 @@ _SQUEEZE = 300
         E,
         f"""
 counts AS (SELECT (ts_us // {_SQUEEZE}) // 1000000 AS second, count(*) AS lines FROM log GROUP BY 1),
-rated AS (SELECT a.second, sum(b.lines * 0.4 * pow(0.6, a.second - b.second)) AS rate
-          FROM counts a JOIN counts b ON b.second BETWEEN a.second - 160 AND a.second GROUP BY 1)
+steps AS (SELECT second, lines, row_number() OVER (ORDER BY second) AS i, second - lag(second) OVER (ORDER BY second) AS gap FROM counts),
+rated AS (SELECT i, second, CAST(0.4 AS DOUBLE) * lines AS rate FROM steps WHERE i = 1
+          UNION ALL SELECT s.i, s.second, r.rate * pow(0.6, s.gap) + CAST(0.4 AS DOUBLE) * s.lines FROM rated r JOIN steps s ON s.i = r.i + 1)
 SELECT second, lines, round(rate, 6) AS rate, coalesce(second - lag(second) OVER (ORDER BY second) - 1, 0) AS idle_before,
        coalesce(second - lag(second) OVER (ORDER BY second) - 1, 0) >= 5 AS stalled_before
 FROM counts JOIN rated USING (second)""",
-    ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def rate_ewma(spark: SparkSession, sf: str) -> DataFrame:
     us = F.unix_micros("timestamp")
@@ -924,6 +925,28 @@ def rate_ewma(spark: SparkSession, sf: str) -> DataFrame:
     return op.line_rates(log).withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    "rate_seconds",
+    with_ctes(
+        E,
+        f"""
+counts AS (SELECT (ts_us // {_SQUEEZE}) // 1000000 AS second, count(*) AS lines FROM log GROUP BY 1),
+every AS (SELECT unnest(generate_series(min(second), max(second) + 7)) AS second FROM counts),
+steps AS (SELECT second, coalesce(lines, 0) AS lines, row_number() OVER (ORDER BY second) AS i FROM every LEFT JOIN counts USING (second)),
+rated AS (SELECT i, second, lines, CAST(0.4 AS DOUBLE) * lines AS rate, CAST(0 AS BIGINT) AS idle_seconds FROM steps WHERE i = 1
+          UNION ALL SELECT s.i, s.second, s.lines, CAST(0.6 AS DOUBLE) * r.rate + CAST(0.4 AS DOUBLE) * s.lines, CASE WHEN s.lines > 0 THEN 0 ELSE r.idle_seconds + 1 END
+          FROM rated r JOIN steps s ON s.i = r.i + 1)
+SELECT second, lines, round(rate, 6) AS rate, idle_seconds, idle_seconds >= 5 AS stalled FROM rated""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def rate_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second with its rate, idle ones too, and seven more after the last line."""
+    squeezed = F.timestamp_micros(F.call_function("div", F.unix_micros("timestamp"), F.lit(_SQUEEZE).cast("long")))
+    log = V.events_log(spark, sf).select(squeezed.alias("timestamp"))
+    until = log.agg(F.max("timestamp") + F.expr("INTERVAL 7 SECONDS")).scalar()
+    return op.rate_seconds(log, until=until).withColumn("rate", F.round("rate", 6))
+
+
 _PAUSE_SQL = """
 ctl AS (SELECT *, event_type = 'signup' AS pause, event_type = 'purchase' AS resume FROM log),
 st AS (SELECT *, last_value(CASE WHEN pause THEN 1 WHEN resume THEN 0 END IGNORE NULLS) OVER w AS s,
