@@ -36,6 +36,8 @@ PER_GROUP = 1.2
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 #: Members in a tile of a root, and from how many members on a root has pivots first.
 TILE, WIDE = 512, 64
+#: Numbers of roots with two members begin here.
+TWOS = 1 << 62
 #: Partners of one text that a task checks.
 PARTNERS = 2000
 
@@ -54,7 +56,7 @@ def group_keys(tokens: np.ndarray, level: int, wanted: int) -> tuple[np.ndarray,
     group = tokens >> np.uint64(64 - level)
     start = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1))
     size = np.diff(np.append(start, len(tokens)))
-    key = mix(np.add.reduceat(mix(tokens + _LEVEL), start) + _LEVEL * np.uint64(level))
+    key = mix(np.add.reduceat(mix(tokens + _LEVEL), start) + np.uint64(int(_LEVEL) * level & 0xFFFFFFFFFFFFFFFF))
     if len(key) <= wanted:
         return key, len(key)
     order = np.lexsort((key, -np.minimum(size, 3)))
@@ -138,8 +140,9 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
 def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of classes below a root that no tree rules out and that aren't connected yet.
 
-    ``members``: root, m (its members), id, part (what it is connected to), n, bits. A root with more
-    than a tile of members is dealt out as pairs of tiles.
+    ``members``: root, m (its members), id, part (what it is connected to), n, bits, roots (of the class,
+    those with more than two members). A root with more than a tile of members is dealt out as pairs of tiles.
+    A pair is given out by the smallest of the roots that both share, and by no other.
     """
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)).cast("int")
@@ -148,7 +151,7 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "part", "n", "bits",
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "part", "n", "bits", "roots",
         )
     )
     by = ["root", "i", "j"]
@@ -161,6 +164,7 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
             across = group.column("side").to_numpy() if group.column("i")[0].as_py() != group.column("j")[0].as_py() else None
             pairs = candidate_pairs(group.column("bits").to_pylist(), n, percent, across)
             pairs = pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]
+            pairs = pairs[~_share_below(group.column("roots"), group.column("root")[0].as_py(), pairs)]
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -168,6 +172,26 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
+def _share_below(roots: pa.ChunkedArray, root: int, pairs: np.ndarray) -> np.ndarray:
+    """Whether the two of each pair share a root smaller than ``root``: their rows of a bit table, AND-ed."""
+    lists = roots.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().to_numpy()
+    below = flat < root
+    if not len(pairs) or not below.any():
+        return np.zeros(len(pairs), bool)
+    known, place = np.unique(flat[below], return_inverse=True)
+    table = np.zeros((len(lists), -(-len(known) // 64)), np.uint64)
+    np.bitwise_or.at(table, (row[below], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    out = np.empty(len(pairs), bool)
+    each = max(1, (1 << 21) // table.shape[1])
+    for k in range(0, len(pairs), each):
+        part = pairs[k : k + each]
+        out[k : k + each] = (table[part[:, 0]] & table[part[:, 1]]).any(axis=1)
+    return out
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -246,15 +270,17 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
         keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     )
     shared = stage(shared, "keys")
-    pairs = shared.where("m = 2").groupBy("low", "high").agg(F.min("key").alias("root"))
+    pairs = shared.where("m = 2").select("low", "high").distinct()
     longer = shared.where("m > 2").select("key")
     listed = stage(keys.join(checked_broadcast(longer), "key").distinct(), "lists")
     # Keys with the same list of classes are one root: by number, ends and hash of the list.
     lists = listed.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark")
     )
-    roots = stage(lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")).select("root", "m"), "roots")
-    listed = listed.join(checked_broadcast(roots), F.col("key") == F.col("root")).select("root", "m", "id")
+    roots = lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")).select(F.col("root").alias("first"), "m")
+    roots = stage(stage(roots, "roots").withColumn("root", F.monotonically_increasing_id()), "roots")
+    listed = stage(listed.join(checked_broadcast(roots), F.col("key") == F.col("first")).select("root", "m", "id"), "listed")
+    of_class = listed.groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
 
     wide = listed.where(F.col("m") > WIDE)
     pivots = wide.groupBy("root").agg(F.min("id").alias("p"))
@@ -262,11 +288,15 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     links = stage(_linked(spokes, leaves, texts, size, percent), "links")
     parts = stage(components(links), "parts")
 
+    # Roots of two come after all others, by a number of their own.
+    pairs = stage(pairs, "twos").withColumn("root", F.monotonically_increasing_id() + F.lit(TWOS))
     two = pairs.select("root", F.lit(2).cast("long").alias("m"), F.explode(F.array("low", "high")).alias("id"))
     members = listed.union(two).join(checked_broadcast(parts), F.col("id") == F.col("node"), "left").select(
         "root", "m", "id", F.coalesce("component", "id").alias("part")
     )
-    members = members.join(leaves.select("id", "n", "bits").dropDuplicates(["id"]), "id")
+    facts = leaves.select("id", "n", "bits").dropDuplicates(["id"]).join(of_class, "id", "left")
+    facts = facts.withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
+    members = members.join(facts, "id")
     candidates = stage(_tree_candidates(members, percent), "candidates")
     links = stage(links.union(_linked(candidates, leaves, texts, size, percent)), "links")
     found = stage(components(links), "components")
