@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from timberline.llm.secret_scan import CLASSES, WINDOW, find_secrets
@@ -70,3 +71,20 @@ def test_secrets(spark):
         assert tuple(r)[1:] == plain(text), (text or "")[:200]
     assert "entropy:4:28" in {s for r in got for s in r.spans.split(",")}
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_candidates(spark):
+    """Each character costs the same however long the string is."""
+    rnd = random.Random(7)
+    mixed = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", k=20_000))
+    dull = "ab1" * 300 + mixed[:200] + "ab1" * 300 + mixed[200:300] + "zz9" * 500
+    texts = [f"data: {mixed} end", f"x {dull} y", f"{dull[:900]} {dull[900:1500]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in find_secrets(docs).collect():
+        assert tuple(r)[1:] == plain(texts[r.doc_id])
+    begin = time.monotonic()
+    docs = spark.createDataFrame([(1, mixed * 50)], "doc_id long, text string")
+    # A repeated string begins and ends like two copies of it.
+    _, first, last = plain(mixed * 2)[-1].split(":")
+    assert find_secrets(docs).first().spans == f"entropy:{first}:{960_000 + int(last)}"
+    assert time.monotonic() - begin < 60

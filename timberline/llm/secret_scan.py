@@ -27,39 +27,71 @@ WINDOW = 20
 CLASSES = {"hex": (r"^[0-9A-Fa-f]+$", 3.0), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.9)}
 
 
-def _count(character: Column, text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, character, F.lit("")))
+#: Characters of candidates are numbered from the first of them; a count takes five bits of a long.
+FIRST, LAST = ord("+"), ord("z")
+EACH = 12
+#: n log n for each count, in parts of 2^-40: sums of whole numbers don't drift over a long string.
+UNIT = 1 << 40
+WEIGHTS = [0, 0, *(round(n * math.log2(n) * UNIT) for n in range(2, WINDOW + 1))]
 
 
-def _weight(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
+def _changed(counts: Column, at: Column, by: int) -> Column:
+    """``counts`` with the count at ``at`` one higher or lower; each long holds the counts of EACH characters."""
+    one = F.call_function("shiftleft", F.lit(by).cast("long"), 5 * (at % EACH))
+    return F.transform(counts, lambda x, j: F.when(j == F.floor(at / EACH), x + one).otherwise(x))
 
 
-def dense_part(word: Column, least: Column, window: int = WINDOW) -> Column:
+def dense_part(word: Column, least: Column) -> Column:
     """struct<first, last>: where the windows of at least ``least`` bits begin and end; null if none.
 
     The window moves by one character: the count of the one that leaves and of the one that enters
-    change, and with them the sum of n log n from which the entropy follows.
+    change, and with them the sum of n log n from which the entropy follows. Each step costs the same.
     """
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - FIRST)
+    weights = F.array(*(F.lit(w).cast("long") for w in WEIGHTS))
+    # A window is dense if its sum is small enough; the last bits make up for rounding.
+    most = F.floor((math.log2(WINDOW) - least) * WINDOW * UNIT).cast("long") + WINDOW * WINDOW
 
-    def step(acc: Column, i: Column) -> Column:
-        # The characters that stay, then the one that leaves before them and the one that enters.
-        begin = F.greatest(i - window + 1, F.lit(0))
-        stay = F.substring(word, begin + 1, i - begin)
-        enters, leaves = F.substring(word, i + 1, F.lit(1)), F.substring(word, i - window + 1, F.lit(1))
-        added, gone = _count(enters, stay), _count(leaves, stay)
-        s = acc["s"] + _weight(added + 1) - _weight(added)
-        s = s - F.when(i >= window, _weight(gone + 1) - _weight(gone)).otherwise(0.0)
-        dense = (i >= window - 1) & (F.lit(math.log2(window)) - s / window >= least)
+    def weight(n: Column) -> Column:
+        return F.get(weights, n.cast("int"))
+
+    def count(counts: Column, at: Column) -> Column:
+        part = F.get(counts, F.floor(at / EACH).cast("int"))
+        return F.call_function("shiftright", part, 5 * (at % EACH)).bitwiseAND(F.lit(31).cast("long"))
+
+    def step(acc: Column, at: Column, way: int) -> Column:
+        """What the state is once the character ``at`` has entered (1) or left (-1)."""
+        n = count(acc["counts"], at)
         return F.struct(
-            s.alias("s"),
-            F.when(dense, F.coalesce(acc["first"], begin)).otherwise(acc["first"]).alias("first"),
-            F.when(dense, i + 1).otherwise(acc["last"]).alias("last"),
-        )
+            _changed(acc["counts"], at, way).alias("counts"), (acc["s"] + weight(n + way) - weight(n)).alias("s"),
+            acc["first"].alias("first"), acc["last"].alias("last"), acc["i"].alias("i"), acc["most"].alias("most"),
+        )
+
+    def moved(acc: Column, x: Column) -> Column:
+        # The parts are steps of an inner fold, so that each is computed once.
+        before = F.when(x["leaves"].isNull(), acc).otherwise(step(acc, x["leaves"], -1))
+        return F.aggregate(F.array(before), acc, lambda _, b: seen(step(b, x["enters"], 1), b))
+
+    def seen(state: Column, like: Column) -> Column:
+        """The state with its window judged, and one place further. ``like`` only gives the type."""
+        return F.aggregate(
+            F.array(state), like, lambda _, t: F.struct(
+                t["counts"].alias("counts"), t["s"].alias("s"),
+                F.when((t["i"] >= WINDOW - 1) & (t["s"] <= t["most"]), F.coalesce(t["first"], t["i"] - (WINDOW - 1))).otherwise(t["first"]).alias("first"),
+                F.when((t["i"] >= WINDOW - 1) & (t["s"] <= t["most"]), t["i"] + 1).otherwise(t["last"]).alias("last"),
+                (t["i"] + 1).alias("i"), t["most"].alias("most"),
+            ),
+        )
 
     nothing = F.lit(None).cast("int")
-    begin = F.struct(F.lit(0.0).alias("s"), nothing.alias("first"), nothing.alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), begin, step)
+    groups = -(-(LAST - FIRST + 1) // EACH)
+    start = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), groups).alias("counts"), F.lit(0).cast("long").alias("s"),
+        nothing.alias("first"), nothing.alias("last"), F.lit(0).alias("i"), most.alias("most"),
+    )
+    late = F.concat(F.array_repeat(nothing, WINDOW), codes)
+    both = F.arrays_zip(codes.alias("enters"), F.slice(late, 1, F.size(codes)).alias("leaves"))
+    return F.aggregate(both, start, moved, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def random_spans(text: Column) -> Column:
@@ -70,10 +102,11 @@ def random_spans(text: Column) -> Column:
         least = F.lit(None).cast("double")
         for pattern, bits in reversed(CLASSES.values()):
             least = F.when(s["match"].rlike(pattern), F.lit(bits)).otherwise(least)
-        part = dense_part(s["match"], least)
-        return F.struct((s["start"] + part["first"]).alias("start"), (s["start"] + part["last"]).alias("end"))
+        return F.struct(s["start"].alias("start"), dense_part(s["match"], least).alias("part"))
 
-    return F.filter(F.transform(found, dense), lambda s: s["start"].isNotNull())
+    # In two steps: a column that is used twice would be computed twice.
+    parts = F.filter(F.transform(found, dense), lambda s: s["part"]["first"].isNotNull())
+    return F.transform(parts, lambda s: F.struct((s["start"] + s["part"]["first"]).alias("start"), (s["start"] + s["part"]["last"]).alias("end")))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
