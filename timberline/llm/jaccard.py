@@ -36,6 +36,8 @@ PER_GROUP = 1.2
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 #: Members in a tile of a root, and from how many members on a root has pivots first.
 TILE, WIDE = 512, 64
+#: Pairs of a member that a wide root gives out in the first round.
+FIRST = 4
 #: Numbers of roots with two members begin here.
 TWOS = 1 << 62
 #: Partners of one text that a task checks.
@@ -137,12 +139,13 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield carry
 
 
-def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
+def _tree_candidates(members: DataFrame, percent: int, first: int | None = None) -> DataFrame:
     """(a, b): pairs of classes below a root that no tree rules out and that aren't connected yet.
 
-    ``members``: root, m (its members), id, part (what it is connected to), n, bits, roots (of the class,
-    those with more than two members). A root with more than a tile of members is dealt out as pairs of tiles.
-    A pair is given out by the smallest of the roots that both share, and by no other.
+    ``members``: root, m (its members), id, part (what it is connected to), n, bits, roots (the wide roots
+    of the class). A root with more than a tile of members is dealt out as pairs of tiles. A pair that shares
+    wide roots is given out by the smallest of these and by no other. With ``first``, a wide root gives
+    out no more than so many pairs for each member: a first round, to connect most of them.
     """
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)).cast("int")
@@ -152,6 +155,7 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
         .select(
             "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "part", "n", "bits", "roots",
+            (F.col("m") > WIDE).cast("int").alias("wide"),
         )
     )
     by = ["root", "i", "j"]
@@ -164,7 +168,11 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
             across = group.column("side").to_numpy() if group.column("i")[0].as_py() != group.column("j")[0].as_py() else None
             pairs = candidate_pairs(group.column("bits").to_pylist(), n, percent, across)
             pairs = pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]
-            pairs = pairs[~_share_below(group.column("roots"), group.column("root")[0].as_py(), pairs)]
+            wide = group.column("wide")[0].as_py()
+            pairs = pairs[~_share_below(group.column("roots"), group.column("root")[0].as_py() if wide else TWOS, pairs)]
+            if wide and first is not None:
+                pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+                pairs = pairs[np.arange(len(pairs)) - np.searchsorted(pairs[:, 1], pairs[:, 1]) < first]
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -173,7 +181,7 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _share_below(roots: pa.ChunkedArray, root: int, pairs: np.ndarray) -> np.ndarray:
-    """Whether the two of each pair share a root smaller than ``root``: their rows of a bit table, AND-ed."""
+    """Whether the two of each pair share a wide root smaller than ``root``: their rows of a bit table, AND-ed."""
     lists = roots.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -280,7 +288,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     roots = lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")).select(F.col("root").alias("first"), "m")
     roots = stage(stage(roots, "roots").withColumn("root", F.monotonically_increasing_id()), "roots")
     listed = stage(listed.join(checked_broadcast(roots), F.col("key") == F.col("first")).select("root", "m", "id"), "listed")
-    of_class = listed.groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
+    of_class = listed.where(F.col("m") > WIDE).groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
 
     wide = listed.where(F.col("m") > WIDE)
     pivots = wide.groupBy("root").agg(F.min("id").alias("p"))
@@ -291,15 +299,22 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     # Roots of two come after all others, by a number of their own.
     pairs = stage(pairs, "twos").withColumn("root", F.monotonically_increasing_id() + F.lit(TWOS))
     two = pairs.select("root", F.lit(2).cast("long").alias("m"), F.explode(F.array("low", "high")).alias("id"))
-    members = listed.union(two).join(checked_broadcast(parts), F.col("id") == F.col("node"), "left").select(
-        "root", "m", "id", F.coalesce("component", "id").alias("part")
-    )
     facts = leaves.select("id", "n", "bits").dropDuplicates(["id"]).join(of_class, "id", "left")
     facts = facts.withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
-    members = members.join(facts, "id")
-    candidates = stage(_tree_candidates(members, percent), "candidates")
+
+    def members(of: DataFrame, parts: DataFrame) -> DataFrame:
+        named = of.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left")
+        return named.select("root", "m", "id", F.coalesce("component", "id").alias("part")).join(facts, "id")
+
+    # First all pairs of narrow roots and a few for each member of wide ones, then what isn't connected by these.
+    candidates = stage(_tree_candidates(members(listed.union(two), parts), percent, FIRST), "candidates")
     links = stage(links.union(_linked(candidates, leaves, texts, size, percent)), "links")
     found = stage(components(links), "components")
+    rest = _tree_candidates(members(wide, found), percent).join(candidates, ["a", "b"], "left_anti")
+    rest = stage(rest, "candidates")
+    if not rest.isEmpty():
+        links = stage(links.union(_linked(rest, leaves, texts, size, percent)), "links")
+        found = stage(components(links), "components")
 
     # The smallest class of a component isn't among the nodes. Its smallest doc_id names it.
     heads = found.select(F.col("component").alias("node"), "component").distinct()
