@@ -13,10 +13,16 @@ from timberline.llm.pii import mask_pii
 from timberline.llm.quality import quality_rules
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is among ``ids`` (a column doc_id)."""
-    gone = stage(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, k1, k2): whole rows as a struct, so that no name can clash, and two hashes of all they hold."""
+    row = F.struct(*docs.columns)
+    return docs.select(row.alias("row"), F.xxhash64(row).alias("k1"), F.xxhash64(F.lit(1), row).alias("k2"))
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``_keyed`` but for those whose keys (k1, k2) are among ``keys``."""
+    gone = stage(keys.select("k1", "k2").distinct(), "gone")
+    return rows.join(checked_broadcast(gone), ["k1", "k2"], "left_anti")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -25,8 +31,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows that repeat an id go together."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    """Documents that the quality rules reject go, each row by its own text and host, whatever its id."""
+    rows = _keyed(docs)
+    judged = quality_rules(rows.select("row.doc_id", "row.text", "row.source", "k1", "k2"), keys=("k1", "k2"))
+    return _without(rows, judged.where(~F.col("kept"))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +43,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of similar texts stays."""
-    return _without(docs, similar_documents(docs).where("kept = false"))
+    """One document of each component of similar texts stays: the one with the smallest id, ids before none.
+
+    Rows are told apart by all they hold, so copies that repeat an id, or have none, are copies like
+    others; of rows that are equal in everything one stays. Rows without a word are alike to none.
+    """
+    rows = _keyed(docs)
+    ids = stage(rows.select(F.col("row.doc_id").alias("id"), "k1", "k2").distinct(), "ids")
+    found = similar_documents(rows.select("k1", "row.text"), id_col="k1").select(F.col("doc_id").alias("k1"), "component_id", "n_shingles")
+    found = stage(found.where("n_shingles > 0").distinct().join(ids, "k1"), "found")
+    order = F.struct(F.col("id").isNull(), "id", "k1", "k2")
+    first = found.groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = found.join(first, "component_id").where(order != F.col("first"))
+    left = _without(rows, gone)
+    # Equal rows with words: only those that occur again are moved.
+    again = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(found, ["k1", "k2"], "left_semi")
+    again = checked_broadcast(stage(again.select("k1", "k2"), "again"))
+    twice = left.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return left.join(again, ["k1", "k2"], "left_anti").unionByName(twice).select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,34 @@ def test_odd_documents(spark, tmp_path):
             f(spark, docs, SF).write.parquet(f"{tmp_path}/{name}-{step}")
             docs = spark.read.parquet(f"{tmp_path}/{name}-{step}")
         assert (docs.count() > 0) == bool(data)
+
+
+GOOD = "A calm morning by the river, with boats and birds and a long quiet walk home again. Number {}."
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Rejected rows take no others with them, by a shared id or by none."""
+    rows = [(1, GOOD.format(1)), (1, "bad"), (None, GOOD.format(2)), (None, "bad"), (5, GOOD.format(3))]
+    docs = spark.createDataFrame([(d, t, "s", len(t)) for d, t in rows], "doc_id long, text string, source string, n_chars long")
+    left = corpus_pipeline.quality(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(d), t) for d, t in rows if t != "bad")
+
+
+def test_one_copy_stays(spark):
+    text = GOOD.format(1)
+    rows = [(d, text, "s") for d in (2, 1, 1, None, None)] + [(None, GOOD.format("two, but with quite another end to it than the first one had"), "s")]
+    rows += [(7, "", "s"), (7, "", "s"), (8, None, "s"), (9, " \n", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    left = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted([("1", text), ("None", rows[5][1]), ("7", ""), ("7", ""), ("8", ""), ("9", " \n")])
+
+
+def test_columns_with_the_names_of_helpers(spark, tmp_path):
+    names = ["_doc", "_digest", "_removed", "_words", "_row", "_gone", "row", "k1", "k2", "_ROWS", "spans", "Candidates", "n_shingles", "kept"]
+    rows = [(i, GOOD.format(i), "s", 80, *range(len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for step, f in corpus_pipeline.STAGES[:-1]:
+        f(spark, docs, SF).write.parquet(f"{tmp_path}/{step}")
+        after = spark.read.parquet(f"{tmp_path}/{step}")
+        assert after.columns == docs.columns and after.count() > 0
+        docs = after

@@ -49,7 +49,7 @@ def either(*conditions: Column) -> Column:
     return functools.reduce(lambda a, b: a | b, conditions)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a long, b long).
 
     Large-star and small-star rounds: each halves the paths, each is two grouped minima and two
@@ -62,7 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     state = stage(state, "links")
-    for _ in range(max_rounds):
+    while True:
         both = state.union(state.select(F.col("m").alias("v"), F.col("v").alias("m")))
         # Large star: every neighbour above u is hung on u's smallest neighbour (or u itself).
         least = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), F.least("v", "low").alias("low"))
@@ -88,4 +88,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = after
         if same:
             return state.select(F.col("v").alias("node"), F.col("m").alias("component"))
-    raise RuntimeError("components did not settle")

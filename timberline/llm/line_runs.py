@@ -177,18 +177,18 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
 def drop_repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that are later copies; documents that consist of such lines go.
 
-    Other columns stay. Names of helper columns (_doc, _digest, _removed, _words, _lines, _left, _text)
-    may not be among them.
+    Other columns stay, whatever their names.
     """
-    rows = _without_lines(docs, list(docs.columns), min_words, id_col, text_col)
-    lines = F.split(F.col(text_col), "\n")
+    rows = _without_lines(docs, [F.struct(*docs.columns).alias("_row")], min_words, id_col, text_col)
+    own = F.col("_row")[text_col]
+    lines = F.split(own, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     cut = rows.withColumn("_lines", F.when(F.col("_removed").isNotNull(), lines)).withColumn(
         "_left", F.when(F.col("_removed").isNotNull(), left)
     )
     # Kept lines by number: both columns are there, so nothing is split again for each line.
     short = F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(short)
+    text = F.when(F.col("_removed").isNull(), own).otherwise(short)
     gone = F.col("_removed").isNotNull() & (F.btrim(F.col("_text"), F.lit(BLANKS)) == "")
-    named = {c: F.col("_text") if c == text_col else F.col(c) for c in docs.columns}
+    named = {c: F.col("_text") if c == text_col else F.col("_row")[c] for c in docs.columns}
     return cut.withColumn("_text", text).where(~gone).select(*(c.alias(n) for n, c in named.items()))

@@ -337,6 +337,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
         name = "_" + name
     return name

@@ -22,8 +22,10 @@ def _pairs(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
-def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, and the counts of a whole text; null text counts as empty, null host stays.
+def text_measures(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, host, ``keys`` as they are, and the counts of a whole text; null text counts as empty, null host stays.
 
     ``n_repeat_words`` counts the words in five-word windows that occur twice or more in the text.
     Windows are told apart by 64-bit hashes within one text. Everything is computed inside the row.
@@ -32,11 +34,13 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *keys,
     )
     trimmed = F.btrim("text", F.lit(BLANKS))
     cut = base.select(
         "doc_id",
         "host",
+        *keys,
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN)).alias("words"),
         F.length(without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -44,7 +48,7 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.length("text") - F.length(without(F.col("text"), UPPER))).cast("long").alias("n_upper"),
     )
     hashed = cut.select(
-        "doc_id", "host", "word_chars", "n_symbols", "n_upper",
+        "doc_id", "host", *keys, "word_chars", "n_symbols", "n_upper",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -120,16 +124,16 @@ def host_rates(flags: DataFrame, z: float = 2.0) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, **columns: str) -> DataFrame:
+def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, keys: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """A row per document: its counts, its failed rules, its host's verdict, and whether it is kept.
 
     Base: a text of under 10 words, or with over 20 % of its words in repeated windows, fails. Of the
     others those go that fail two rules, or fail a rule that their host fails too: the lower bound of
     the host's shrunk failure rate exceeds ``host_limit``. A document that fails no rule is kept
-    whatever its host. Equal rows count each; an empty table gives no rows; a null text is empty and
+    whatever its host. ``keys`` are columns that come along. Equal rows count each; an empty table gives no rows; a null text is empty and
     fails; a null host is a host of its own.
     """
-    measures = text_measures(docs, **columns)
+    measures = text_measures(docs, keys=keys, **columns)
     words = F.col("n_words")
     rules = host_rules()
     flagged = measures.withColumns(
@@ -147,7 +151,7 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, **co
     )
     out = F.col("base_failed") | (F.size("failed") >= 2) | F.arrays_overlap("failed", "host_failed")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~out).alias("kept"),
         F.concat_ws(",", "failed").alias("failed_rules"),
         F.concat_ws(",", "host_failed").alias("host_failed_rules"),
