@@ -47,6 +47,27 @@ def test_line_numbers_over_splits(spark, folder):
     assert read_log_lines(spark, f"{root}/in/a0.log", keep_empty=True).count() == 4000
 
 
+def test_lines_stay_where_they_are(spark, folder, monkeypatch):
+    """Whatever Spark's own limit, lines are joined to their blocks in place; beyond the table's bound they move."""
+    from timberline.sources import lines
+
+    root, _ = folder
+    want = sorted(map(tuple, read_log_lines(spark, f"{root}/in").collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = read_log_lines(spark, f"{root}/in")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, df.collect())) == want
+        monkeypatch.setattr(lines, "SENT_BLOCKS", 0)
+        df = read_log_lines(spark, f"{root}/in")
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_catalog(spark, folder):
     root, _ = folder
     for name in ("Spin1.ips", "JetsamEvent-1.ips", "app.crash", ".hidden.log", "data.gz"):

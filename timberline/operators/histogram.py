@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.schema import ERROR, WARNING
+from timberline.session import stage
 
 # Fixed values.
 BUCKETS = 60
@@ -70,12 +71,17 @@ def add_bucket(df: DataFrame, buckets: int = BUCKETS, name: str = "bucket") -> D
     return df.withColumn(name, F.when(us.isNotNull(), bucket_of(us, span["first_us"], span["span_us"], buckets)))
 
 
-def histogram(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def histogram(df: DataFrame, buckets: int = BUCKETS, once: bool = False) -> DataFrame:
     """``(bucket, start_us, end_us, err, warn, info, total)``, empty buckets included.
 
+    The span is found before rows are counted, so ``df`` is evaluated twice; where that is costly, as
+    with lines still to be parsed, ``once`` writes times and levels to the staging folder and reads these.
+
     No rows at all when the log is too short, mostly untimed, or has a single time. Rows are
     counted per bucket before the shuffle, so a bucket holding most of them costs nothing extra.
     """
+    if once:
+        df = stage(df.select("timestamp", "level"), "histogram")
     level, span = F.col("level"), _span(df)
     counted = (
         add_bucket(df, buckets)

@@ -58,7 +58,7 @@ FLAGSHIP_SQL = with_ctes(
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """ISO log lines to records, warnings and worse, as a 60-bucket histogram."""
     records = parse_logs(V.events_lines(spark, sf, "iso"), "plain", now=NOW)
-    return op.histogram(op.apply_filter(records, op.LogFilter(min_level="warning")))
+    return op.histogram(op.apply_filter(records, op.LogFilter(min_level="warning")), once=True)
 
 
 # ---------------------------------------------------------------- filters
