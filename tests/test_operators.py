@@ -300,3 +300,40 @@ def test_rates_by_the_recurrence(spark):
                 last = s
     assert all(s >= max(seconds[k]) for k, s in got)
     assert op.line_rates(df.limit(0)).count() == 0 and op.rate_seconds(df.limit(0)).count() == 0
+
+
+def test_codes_from_a_table(spark):
+    """The same matches from a DataFrame of codes as from a list, sent to all tasks or joined."""
+    from timberline.operators import errorcodes
+
+    asked = spark.createDataFrame([(t,) for t in ("13", " eacces ", "0xE00002BC", "404", "", "-1001", "nowhere", None)], "t string")
+    said = spark.createDataFrame(
+        [(i, m) for i, m in enumerate(["failed errno=13 then -9999999", "error -1001 and errno=2", "nothing", None, "OSStatus -50 -1001", "99999 0xE00002BC"])], "i int, message string"
+    )
+    within = spark.createDataFrame([("13", "errno"), ("ENOENT", "errno"), ("404", "HTTP"), ("404", "errno"), (None, "errno")], "t string, d string")
+    own = op.code_table(spark)
+
+    def all_three(codes):
+        return (
+            sorted(map(str, op.error_lookup(asked, "t", codes).select("t", "domain", "code", "symbol", "hex").collect())),
+            sorted((r.i, r.code_token, sorted(m.symbol for m in r.matches or [])) for r in op.decode_codes(said, codes=codes).collect()),
+            sorted(map(str, op.error_lookup_in(within, "t", "d", codes).collect())),
+        )
+
+    want = all_three(None)
+    assert all_three(own) == want
+    limit, errorcodes.SENT_KEYS = errorcodes.SENT_KEYS, 0
+    try:
+        assert all_three(own) == want
+    finally:
+        errorcodes.SENT_KEYS = limit
+    assert all_three(own.limit(0))[0] == []
+
+
+def test_a_million_codes(spark):
+    codes = spark.range(1_000_000).select(
+        F.lit("Own").alias("domain"), F.col("id").cast("int").alias("code"), F.concat(F.lit("OWN_"), "id").alias("symbol"), F.lit("x").alias("description")
+    )
+    said = spark.range(20_000).select("id", F.concat(F.lit("disk failed: OWN_x error "), (F.col("id") * 50).cast("string")).alias("message"))
+    rows = op.decode_codes(said, codes=codes)
+    assert rows.where("matches[0].code = id * 50 and size(matches) = 1").count() == 20_000

@@ -2,7 +2,7 @@
 
 The codes are fixed values: domains, numbers and symbols have to be these for lookups to give the
 expected matches. They are plain rows of ``error_codes.csv`` beside this file, one a code, in the order
-of domains; descriptions are this library's own words.
+of domains; descriptions are for the most part the customary wording of these systems, not our own.
 """
 
 from __future__ import annotations

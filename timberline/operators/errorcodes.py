@@ -1,8 +1,9 @@
 """Looking up error codes: in a column of inputs, within a domain, and inside messages.
 
-Codes are a dimension held by the driver (about 750 built in; callers may pass their own list),
-so broadcasting them is safe. Matches of an input are an array of at most a few per domain, put
-in order before the join; no lookup shuffles the rows.
+Codes are a dimension: about 750 built in, a list of the caller's, or a DataFrame ``(domain, code, symbol,
+description)`` of any size. Matches of an input are an array, put in order before the join. A list is held by the
+driver and sent to all tasks, and no lookup shuffles the rows; so is a DataFrame's table of keys if it is counted
+to be small enough. A larger one is joined by key, with rows that have nothing to look up spread out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from timberline.functions.codes import code_hex, extract_error_tokens, parse_code
 from timberline.operators.error_tables import DOMAINS, NUMBER_RANGE, Code, built_in_codes, load_codes
+from timberline.session import stage
 from timberline.settle import staged
 
 MATCH_TYPE = T.StructType(
@@ -60,6 +62,43 @@ def code_table(spark: SparkSession, codes: Iterable[Code] | None = None) -> Data
     return spark.createDataFrame([tuple(c) for c in codes or built_in_codes()], MATCH_TYPE)
 
 
+#: Keys of a DataFrame of codes that may be sent to all tasks.
+SENT_KEYS = 200_000
+
+
+def _keys_of(codes: DataFrame) -> DataFrame:
+    """``(_key, _found)`` as :func:`_keyed` gives it, for a DataFrame of codes; written once."""
+    rank = F.coalesce(*[F.when(F.col("domain") == d, F.lit(i)) for i, d in enumerate(DOMAINS)], F.lit(len(DOMAINS)))
+    in_range = F.lit(True)
+    for domain, (low, high) in NUMBER_RANGE.items():
+        in_range = in_range & ((F.col("domain") != domain) | F.col("code").between(low, high))
+    own = F.concat(F.col("domain"), F.lit("|"))
+    number, symbol = F.concat(F.lit("n:"), F.col("code").cast("string")), F.concat(F.lit("s:"), F.upper("symbol"))
+    named = ~F.col("domain").isin(*UNNAMED)
+    keys = F.array(F.when(in_range, number), F.when(in_range, F.concat(own, number)), F.when(named, symbol), F.when(named, F.concat(own, symbol)))
+    typed = codes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MATCH_TYPE]).dropDuplicates()
+    rows = typed.select(F.explode(F.array_compact(keys)).alias("_key"), F.struct(rank.alias("_rank"), *MATCH_TYPE.fieldNames()).alias("_c"))
+    found = rows.groupBy("_key").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    match = lambda c: F.struct(*[c[f].alias(f) for f in MATCH_TYPE.fieldNames()])
+    return stage(found.select("_key", F.transform("_c", match).alias("_found")), "codes")
+
+
+def _table_of(spark: SparkSession, codes: Iterable[Code] | DataFrame | None, within: bool = False) -> DataFrame:
+    """The table of keys to join; ``within``: those of a domain, with the first match each."""
+    if not isinstance(codes, DataFrame):
+        keyed = _keyed(codes)
+        return _lookup_table(spark, {k: found[:1] for k, found in keyed.items() if "|" in k} if within else keyed)
+    table = _keys_of(codes)
+    if within:
+        table = table.where(F.contains("_key", F.lit("|"))).withColumn("_found", F.slice("_found", 1, 1))
+    return F.broadcast(table) if table.limit(SENT_KEYS + 1).count() <= SENT_KEYS else table
+
+
+def _spread_nulls(key: Column, salt: Column) -> Column:
+    """``key``, or where it is null one of many that no table has, so that these rows don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("-:"), F.pmod(F.xxhash64(salt), F.lit(1024)).cast("string")))
+
+
 def _lookup_table(spark: SparkSession, keyed: dict[str, list[Code]]) -> DataFrame:
     schema = T.StructType(
         [T.StructField("_key", T.StringType()), T.StructField("_found", T.ArrayType(MATCH_TYPE))]
@@ -112,9 +151,8 @@ def _preferred_first(found: Column, domain: Column) -> Column:
     )
 
 
-def _with_matches(df: DataFrame, key: Column, text: Column, keyed, name: str) -> DataFrame:
-    table = _lookup_table(df.sparkSession, keyed)
-    asked = staged(staged(df, _at=key, _text=text), _number=parse_code(F.col("_text")))
+def _with_matches(df: DataFrame, key: Column, text: Column, table: DataFrame, name: str) -> DataFrame:
+    asked = staged(staged(df, _at=_spread_nulls(key, text), _text=text), _number=parse_code(F.col("_text")))
     out = asked.join(table, F.col("_at") == F.col("_key"), "left")
     # Only inputs with several matches have an order to settle.
     domain = F.when(F.size("_found") > 1, preferred_domain(F.col("_text"), F.col("_number")))
@@ -135,23 +173,22 @@ def _exploded(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def error_lookup(df: DataFrame, text: str, codes: Iterable[Code] | None = None) -> DataFrame:
+def error_lookup(df: DataFrame, text: str, codes: Iterable[Code] | DataFrame | None = None) -> DataFrame:
     """A row per match of the input in column ``text``: ``match_rank`` from 1, domain, code,
-    symbol, description, hex. Inputs without a match vanish.
+    symbol, description, hex. Inputs without a match vanish. Matches in codes given as a DataFrame are in
+    the order of domains, then of domain, code and symbol; rows that repeat are one.
     """
-    keyed = _keyed(codes)
-    return _exploded(_with_matches(df, lookup_key(F.col(text)), F.col(text), keyed, "_matches"), "_matches")
+    table = _table_of(df.sparkSession, codes)
+    return _exploded(_with_matches(df, lookup_key(F.col(text)), F.col(text), table, "_matches"), "_matches")
 
 
 def error_lookup_in(
-    df: DataFrame, text: str, domain: str, codes: Iterable[Code] | None = None
+    df: DataFrame, text: str, domain: str, codes: Iterable[Code] | DataFrame | None = None
 ) -> DataFrame:
     """The one match of each input within the domain named in column ``domain``, or null fields."""
-    first = {key: found[:1] for key, found in _keyed(codes).items() if "|" in key}
     key = F.concat(F.col(domain), F.lit("|"), lookup_key(F.col(text)))
-    out = df.withColumn("_at", key).join(
-        _lookup_table(df.sparkSession, first), F.col("_at") == F.col("_key"), "left"
-    )
+    table = _table_of(df.sparkSession, codes, within=True)
+    out = df.withColumn("_at", _spread_nulls(key, F.col(text))).join(table, F.col("_at") == F.col("_key"), "left")
     match = F.get("_found", F.lit(0))
     return out.select(
         *[F.col(c) for c in df.columns],
@@ -165,7 +202,7 @@ def error_lookup_in(
 def decode_codes(
     df: DataFrame,
     message: str = "message",
-    codes: Iterable[Code] | None = None,
+    codes: Iterable[Code] | DataFrame | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """Add ``code_token``, the first code in the message that resolves, and ``matches``.
@@ -173,7 +210,6 @@ def decode_codes(
     Of ``errno=60`` and ``OSStatus -5`` the number is looked up in that domain, of ``error -5`` in
     all. ``strict`` looks whole tokens up as they stand, so that these never resolve.
     """
-    keyed = _keyed(codes)
     tokens = extract_error_tokens(F.col(message))
     if strict:
         hint, bare = "CAST(NULL AS STRING)", "t"
@@ -187,10 +223,29 @@ def decode_codes(
         F.concat(F.coalesce(t["hint"], F.lit("")), lookup_key(t["bare"])).alias("key"),
     )
     out = staged(out, _tokens=F.transform("_tokens", keyed_token))
-    # Membership in a literal set is one hash probe per token, inside the row.
-    known = ", ".join("'" + key.replace("'", "''") + "'" for key in keyed)
-    out = staged(out, _hit=F.expr(f"get(filter(_tokens, t -> t.key IN ({known})), 0)"))
+    table = _table_of(df.sparkSession, codes)
+    if isinstance(codes, DataFrame):
+        out = _first_resolving(out, table)
+    else:
+        # Membership in a literal set is one hash probe per token, inside the row.
+        known = ", ".join("'" + key.replace("'", "''") + "'" for key in _keyed(codes))
+        out = staged(out, _hit=F.expr(f"get(filter(_tokens, t -> t.key IN ({known})), 0)"))
     token = F.col("_hit.token")
     said = token if strict else F.regexp_replace(token, r"^(errno=|OSStatus\s|error\s)", "")
-    out = _with_matches(out.withColumn("code_token", token), F.col("_hit.key"), said, keyed, "matches")
+    out = _with_matches(out.withColumn("code_token", token), F.col("_hit.key"), said, table, "matches")
     return out.drop("_tokens", "_hit")
+
+
+def _first_resolving(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Add ``_hit``, the first of ``_tokens`` whose key is in ``table``.
+
+    What resolves depends on the tokens alone: each distinct list is looked up once, whatever number of
+    messages has it, and joined back by its text.
+    """
+    df = df.withColumn("_list", F.when(F.size("_tokens") > 0, F.to_json("_tokens")))
+    lists = df.where(F.col("_list").isNotNull()).select("_list", "_tokens").dropDuplicates(["_list"])
+    each = lists.select("_list", F.posexplode("_tokens").alias("_i", "_t"))
+    hits = each.join(table.select("_key"), F.col("_t.key") == F.col("_key"))
+    first = stage(hits.groupBy("_list").agg(F.min_by("_t", "_i").alias("_hit")).withColumnRenamed("_list", "_with"), "hits")
+    at = _spread_nulls(F.col("_list"), F.to_json(F.struct("_tokens", *[c for c in df.columns if c not in ("_tokens", "_list")][:1])))
+    return df.withColumn("_list", at).join(first, F.col("_list") == F.col("_with"), "left").drop("_list", "_with")
