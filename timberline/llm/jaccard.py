@@ -229,7 +229,8 @@ def _linked(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, size: int, per
         "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("turn")
     )
     self_ = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("turn"))
-    both = partner.union(self_).join(tokens, "id")
+    # Pairs are narrow, sets are not: while pairs are few by count, sets move only to where they are compared.
+    both = checked_broadcast(stage(partner.union(self_), "turns")).join(tokens, "id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
