@@ -4,7 +4,7 @@ Full windows of a document are sequences of their own. What is left of each, its
 than a window. The histogram of rests (one row per length, so bounded by the window) goes to the
 driver. Combinations of two or three lengths that fill a window exactly are enumerated; how often
 each is used is a non-negative least-squares fit to the histogram, rounded down, then topped up
-greedily. Rests that no combination takes are laid end to end, from long to short, and cut at the
+greedily from all combinations. Rests that no combination takes are laid end to end, from long to short, and cut at the
 windows' borders; the last, unfinished window is cut into powers of two, which need no padding.
 
 Ids are encoded once and never shuffled: full windows and uncut rests are carried by checksums, and
@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 from timberline.llm.bpe import PieceLibrary, vocabulary
 from timberline.llm.common import checked_broadcast, narrow, stage
 
-#: Combinations kept for rounding; fits with more, each used less than once, would round to none.
-KEPT = 4096
-
-
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
     """Rows of three lengths (0 for none) that fill the window; only lengths that are present."""
     rows = []
@@ -64,24 +60,33 @@ def plan_rests(counts: np.ndarray, window: int) -> tuple[list[tuple[int, int, in
     left, slots, sequences = counts.copy(), [], 0
     if not len(combos):
         return slots, left, sequences
-    x = fit_counts(combos, counts, 40)
-    best = np.argsort(-x, kind="stable")[:KEPT]
-    combos = combos[best]
-    x = fit_counts(combos, counts, 300)
+    # As many equations as lengths: a basic solution has no more counts than that. Those of twice as
+    # many combinations are fitted to the end and rounded; what they leave is open to all combinations.
+    order = np.argsort(-fit_counts(combos, counts, 40), kind="stable")
+    combos = combos[order]
+    x = fit_counts(combos[: 2 * window], counts, 300)
+    rows, room = combos.tolist(), left.tolist()
     times: dict[int, int] = defaultdict(int)
-    order = np.argsort(-x, kind="stable").tolist()
-    for wanted in (np.floor(x), np.full(len(x), np.inf)):  # as fitted, then whatever still fits
-        for i in order:
-            lengths = [n for n in combos[i].tolist() if n]
-            n = int(min(wanted[i], *(left[k] // lengths.count(k) for k in lengths)))
-            if n > 0:
-                times[i] += n
-                for k in lengths:
-                    left[k] -= n
+
+    def take(i: int, wanted: int | None) -> None:
+        lengths = [n for n in rows[i] if n]
+        n = min(room[k] // lengths.count(k) for k in lengths)
+        n = n if wanted is None else min(n, wanted)
+        if n > 0:
+            times[i] += n
+            for k in lengths:
+                room[k] -= n
+
+    fitted = np.argsort(-x, kind="stable").tolist()
+    for i in fitted:
+        take(i, int(x[i]))
+    for i in (*fitted, *range(len(x), len(rows))):  # whatever still fits; each one taken here uses up a length
+        take(i, None)
+    left = np.array(room, np.int64)
     given = np.zeros(len(counts), np.int64)
     for i, n in times.items():
         offset = 0
-        for k in combos[i].tolist():
+        for k in rows[i]:
             if k:
                 slots.append((k, int(given[k]), int(given[k] + n), sequences, offset))
                 given[k] += n
@@ -215,7 +220,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", window: in
         plan or [(0, 0, 0, 0, 0, 0)], "rest long, low long, high long, sequence long, offset long, stream long"
     )
     rests = rows.drop("ids", "crcs").where("rest > 0").join(firsts, ["rest", "part"]).withColumn("number", F.col("number") + F.col("earlier"))
-    # Bounded: two or three rows for each combination kept, one for each length.
+    # Bounded: three rows for each combination used, three windows' lengths of them at most; one for each length.
     placed = rests.join(F.broadcast(places), "rest").where("low <= number and number < high").select(
         "doc_id", "part", "row", "doc_tokens", "rest", "crc", "offset",
         (F.col("sequence") + F.col("number") - F.col("low")).alias("sequence_id"),
