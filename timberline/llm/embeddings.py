@@ -31,12 +31,19 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, scale, rest + 1e-12  # with room for rounding
 
 
+def level(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is about one: the cosine stays as
+    it is, and no square of a finite component overflows or vanishes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, rows: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
     """(i, j, recomputed): pairs whose cosine reaches the threshold; i < j where a is b.
 
     Whole-number products are exact in single precision while dimension * 127^2 stays below 2^24,
     and are made in double precision beyond.
     """
+    a, b = level(a), level(b)
     kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
     norms = [np.sqrt(np.square(x).sum(axis=1)) for x in (a, b)]
     (qa, sa, ea), (qb, sb, eb) = quantised(a / norms[0][:, None]), quantised(b / norms[1][:, None])
