@@ -49,12 +49,20 @@ def either(*conditions: Column) -> Column:
     return functools.reduce(lambda a, b: a | b, conditions)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node ``v`` hangs on one ``m`` alone, and no ``m`` hangs on another node."""
+    hung, head = F.lit(1).alias("hung"), F.lit(1).alias("head")
+    roles = edges.select(F.col("v").alias("node"), hung, F.lit(0).alias("head")).union(edges.select("m", F.lit(0), head))
+    return roles.groupBy("node").agg(F.sum("hung").alias("hung"), F.max("head").alias("head")).where("hung + head > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a long, b long).
 
     Large-star and small-star rounds: each halves the paths, each is two grouped minima and two
-    joins on node ids, so a hub of any degree is pre-aggregated and its rows can be split. Nodes
-    without an edge to another node are not in the result.
+    joins on node ids, so a hub of any degree is pre-aggregated and its rows can be split. It ends
+    when all that is left are stars, each a component. Nodes without an edge to another node are
+    not in the result.
     """
     state = (
         edges.where("a <> b")
@@ -62,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     state = stage(state, "links")
-    while True:
+    while not _stars(state):
         both = state.union(state.select(F.col("m").alias("v"), F.col("v").alias("m")))
         # Large star: every neighbour above u is hung on u's smallest neighbour (or u itself).
         least = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), F.least("v", "low").alias("low"))
@@ -72,7 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
             .join(least, "u")
             .select(F.col("w").alias("v"), F.col("low").alias("m"))
             .where("v <> m")
-            .distinct()
         )
         # Small star: every neighbour below u, and u, is hung on the smallest of them.
         low = large.groupBy("v").agg(F.min("m").alias("low"))
@@ -83,8 +90,5 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("v", F.col("low").alias("m")))
             .distinct()
         )
-        after = stage(small, "links")
-        same = state.exceptAll(after).isEmpty() and after.exceptAll(state).isEmpty()
-        state = after
-        if same:
-            return state.select(F.col("v").alias("node"), F.col("m").alias("component"))
+        state = stage(small, "links")
+    return state.select(F.col("v").alias("node"), F.col("m").alias("component"))

@@ -307,11 +307,19 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
         named = of.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left")
         return named.select("root", "m", "id", F.coalesce("component", "id").alias("part")).join(facts, "id")
 
+    def apart(parts: DataFrame) -> DataFrame:
+        """The rows of wide roots whose members aren't all connected yet; the others have nothing to add."""
+        named = wide.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left")
+        ends = named.groupBy("root").agg(*(f(F.coalesce("component", "id")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
+        mixed = stage(ends.where("lo <> hi").select("root"), "apart")
+        return wide.join(checked_broadcast(mixed), "root", "left_semi").select(*listed.columns)
+
     # First all pairs of narrow roots and a few for each member of wide ones, then what isn't connected by these.
-    candidates = stage(_tree_candidates(members(listed.union(two), parts), percent, FIRST), "candidates")
+    narrow_roots = listed.where(F.col("m") <= WIDE)
+    candidates = stage(_tree_candidates(members(narrow_roots.union(two).union(apart(parts)), parts), percent, FIRST), "candidates")
     links = stage(links.union(_linked(candidates, leaves, texts, size, percent)), "links")
     found = stage(components(links), "components")
-    rest = _tree_candidates(members(wide, found), percent).join(candidates, ["a", "b"], "left_anti")
+    rest = _tree_candidates(members(apart(found), found), percent).join(candidates, ["a", "b"], "left_anti")
     rest = stage(rest, "candidates")
     if not rest.isEmpty():
         links = stage(links.union(_linked(rest, leaves, texts, size, percent)), "links")
