@@ -96,12 +96,13 @@ def host_rules() -> dict[str, Column]:
 
 
 def host_rates(flags: DataFrame, z: float = 2.0) -> DataFrame:
-    """(host, rule, lower): a lower bound of each host's failure rate, shrunk to all hosts' rate.
+    """(host, rule, overall, mean, lower): each host's failure rate, shrunk to all hosts' rate, and a lower bound.
 
     ``flags``: host and a boolean column for each rule. The beta prior of a rule is fitted to the
     hosts by moments: its mean is the overall rate, its strength follows from how much hosts differ
     beyond chance. The bound is ``z`` standard deviations below the posterior mean. Documents
-    without a host are one host.
+    without a host are one host. Equal rows count each, hosts with equal rates are treated alike, an
+    empty table gives no rows.
     """
     n = F.count(F.lit(1)).alias("n")
     by_host = flags.groupBy("host").agg(n, *(F.sum(F.col(r).cast("long")).alias(r) for r in HOST_RULES))
@@ -120,18 +121,19 @@ def host_rates(flags: DataFrame, z: float = 2.0) -> DataFrame:
     both = F.col("n") + F.col("strength")
     mean = a / both
     return long.join(F.broadcast(prior), "rule").select(
-        "host", "rule", (mean - z * F.sqrt(mean * (1 - mean) / (both + 1))).alias("lower")
+        "host", "rule", F.col("m").alias("overall"), mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (both + 1))).alias("lower")
     )
 
 
-def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, keys: tuple[str, ...] = (), **columns: str) -> DataFrame:
-    """A row per document: its counts, its failed rules, its host's verdict, and whether it is kept.
+def quality_rules(docs: DataFrame, times: float = 2.0, z: float = 2.0, keys: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """A row per document: its counts, its failed rules, its host's verdict, whether it is kept, and for
+    each rule the host's posterior rate and its bound (``mean_..``, ``lower_..``, to six places).
 
     Base: a text of under 10 words, or with over 20 % of its words in repeated windows, fails. Of the
     others those go that fail two rules, or fail a rule that their host fails too: the lower bound of
-    the host's shrunk failure rate exceeds ``host_limit``. A document that fails no rule is kept
-    whatever its host. ``keys`` are columns that come along. Equal rows count each; an empty table gives no rows; a null text is empty and
-    fails; a null host is a host of its own.
+    the host's shrunk failure rate exceeds ``times`` the rate among all documents. A document that fails
+    no rule is kept whatever its host. ``keys`` are columns that come along. Equal rows count each; an
+    empty table gives no rows; a null text is empty and fails; a null host is a host of its own.
     """
     measures = text_measures(docs, keys=keys, **columns)
     words = F.col("n_words")
@@ -142,7 +144,8 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, keys
     flagged = stage(flagged, "measures")  # narrow; texts are read and counted once
     rates = host_rates(flagged, z)
     verdicts = rates.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.when(F.col("lower") > host_limit, F.col("rule")))).alias("host_failed")
+        F.array_sort(F.collect_list(F.when(F.col("lower") > times * F.col("overall"), F.col("rule")))).alias("host_failed"),
+        *(F.max(F.when(F.col("rule") == r, F.round(what, 6))).alias(f"{what}_{r}") for r in HOST_RULES for what in ("mean", "lower")),
     )
     failed = F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in sorted(HOST_RULES))))
     joined = (
@@ -155,4 +158,5 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.3, z: float = 2.0, keys
         (~out).alias("kept"),
         F.concat_ws(",", "failed").alias("failed_rules"),
         F.concat_ws(",", "host_failed").alias("host_failed_rules"),
+        *(f"{what}_{r}" for r in HOST_RULES for what in ("mean", "lower")),
     )

@@ -1,5 +1,7 @@
 """The quality rules in SQL, for checking."""
 
+from timberline.llm.quality import HOST_RULES
+
 RULES_SQL = r"""
 WITH d AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents
@@ -55,16 +57,19 @@ pr AS (
   FROM hr JOIN s ON hr.rule = s.rule GROUP BY hr.rule
 ),
 po AS (
-  SELECT host, hr.rule, n + k AS both_, (bad + m * k) / (n + k) AS mean
+  SELECT host, hr.rule, m AS overall, n + k AS both_, (bad + m * k) / (n + k) AS mean
   FROM hr JOIN (SELECT rule, m, least(greatest(chance / between_hosts - 1, 2.0::DOUBLE), 1000.0::DOUBLE) AS k FROM pr) p ON hr.rule = p.rule
 ),
+lo AS (SELECT host, rule, overall, mean, mean - 2.0 * sqrt(mean * (1 - mean) / (both_ + 1)) AS lower FROM po),
 v AS (
-  SELECT host, list_sort(list(rule) FILTER (WHERE mean - 2.0 * sqrt(mean * (1 - mean) / (both_ + 1)) > 0.3)) AS host_failed
-  FROM po GROUP BY host
+  SELECT host, list_sort(list(rule) FILTER (WHERE lower > 2.0 * overall)) AS host_failed, BOUNDS
+  FROM lo GROUP BY host
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR len(failed) >= 2 OR coalesce(list_has_any(failed, host_failed), false)) AS kept,
        array_to_string(failed, ',') AS failed_rules,
-       coalesce(array_to_string(host_failed, ','), '') AS host_failed_rules
+       coalesce(array_to_string(host_failed, ','), '') AS host_failed_rules, NAMES
 FROM f LEFT JOIN v ON f.host IS NOT DISTINCT FROM v.host
-"""
+""".replace("BOUNDS", ", ".join(f"max(round({w}, 6)) FILTER (WHERE rule = '{r}') AS {w}_{r}" for r in HOST_RULES for w in ("mean", "lower"))).replace(
+    "NAMES", ", ".join(f"{w}_{r}" for r in HOST_RULES for w in ("mean", "lower"))
+)
