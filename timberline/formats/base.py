@@ -14,6 +14,10 @@ from timberline.settle import settle, staged
 __all__ = ["LogFormat", "ParseContext", "Sample", "fields", "settle", "staged", "struct_parse"]
 
 
+#: Lines at the top of a file from which its format is told.
+SAMPLE_LINES = 50
+
+
 @dataclass(frozen=True)
 class ParseContext:
     """Settings of one parse: zone of times without offset, the clock for years, options."""
@@ -52,6 +56,7 @@ class LogFormat:
     A file-scoped format also gives ``header``: what a file's first lines (array of
     ``line_number, raw_line``) say about all its lines. The parse finds it, once per line, in
     the column :meth:`header_column`. ``title`` may turn it into the text of one extra line 0.
+    ``header_lines`` says how many of the first lines ``header`` looks at, by their numbers.
     """
 
     name: str
@@ -59,6 +64,7 @@ class LogFormat:
     parse: Parse
     header: Callable[[Column, ParseContext], Column] | None = None
     title: Callable[[Column], Column] | None = None
+    header_lines: int = SAMPLE_LINES
 
     @property
     def file_scoped(self) -> bool:

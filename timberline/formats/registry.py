@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.formats.base import LogFormat, ParseContext, Sample, settle
+from timberline.formats.base import SAMPLE_LINES, LogFormat, ParseContext, Sample, settle
 from timberline.formats.csv_rows import CSV
 from timberline.formats.jsonl import JSON, UNIFIED
 from timberline.formats.plain import PLAIN
@@ -14,8 +14,6 @@ from timberline.formats.sccm import SCCM
 from timberline.schema import INFO, LOG_SCHEMA, PARSED_FIELDS
 from timberline.session import prefer_compiled
 
-SAMPLE_LINES = 50
-
 # Order breaks ties between equal scores.
 _BUILT_IN = [IPS, DIAG, SCCM, UNIFIED, JSON, CSV, PLAIN]
 _formats: dict[str, LogFormat] = {f.name: f for f in _BUILT_IN}
@@ -42,11 +40,11 @@ def unregister_format(name: str) -> None:
         _formats.pop(name, None)
 
 
-def _heads(lines: DataFrame) -> DataFrame:
-    """``(source_id, _head[, _kinds])``: the first lines of each source, in order, at most 50 per
+def _heads(lines: DataFrame, count: int = SAMPLE_LINES) -> DataFrame:
+    """``(source_id, _head[, _kinds])``: the first lines of each source, in order, at most ``count`` per
     source; and the formats that these lines are given, if lines are given any.
     """
-    first = lines.where(F.col("line_number").between(1, SAMPLE_LINES) & (F.col("raw_line") != ""))
+    first = lines.where(F.col("line_number").between(1, count) & (F.col("raw_line") != ""))
     kinds = [F.collect_set("format").alias("_kinds")] if "format" in lines.columns else []
     return first.groupBy("source_id").agg(
         F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("_head"), *kinds
@@ -114,16 +112,21 @@ def parse_logs(
             known = lines.select("source_id", "format").distinct() if format == "column" else None
             heads = heads.join(known, "source_id") if known is not None else heads.withColumn("format", F.lit(format))
         first = lines if heads is None else heads
-        heads = _heads(first.drop("format") if format == "auto" else first)
+        # A format that is named needs no more lines than its header.
+        count = SAMPLE_LINES if format == "auto" else max(f.header_lines for f in headed)
+        heads = _heads(first if format == "column" else first.drop("format"), count)
         if format == "auto":
             heads = _scored(heads)
             lines = lines.drop("format")
         # A header is read only for sources of its format.
         def mine(f: LogFormat) -> Column:
-            return F.col("format") == f.name if format == "auto" else F.array_contains("_kinds", f.name)
+            if format == "auto":
+                return F.col("format") == f.name
+            return F.array_contains("_kinds", f.name) if format == "column" else F.lit(True)
 
+        # Settled: the filter on titles would read the header a second time.
         heads = heads.withColumns(
-            {f.header_column(): F.when(mine(f), f.header(F.col("_head"), ctx)) for f in headed}
+            {f.header_column(): settle(F.when(mine(f), f.header(F.col("_head"), ctx))) for f in headed}
         )
         facts = [f.header_column() for f in headed] + (["format"] if format == "auto" else [])
         heads = heads.select("source_id", *facts)

@@ -10,27 +10,30 @@ from timberline.functions import levels as L
 from timberline.functions.text import parse_json_object, trim_blanks
 from timberline.functions.times import parse_timestamp
 from timberline.schema import ERROR, INFO
+from timberline.settle import once
 
 DIAG_HEADER_LINES = 20
 
 
 def _ips_header(head: Column, ctx: ParseContext) -> Column:
     first = F.get(F.filter(head, lambda r: r["line_number"] == 1), F.lit(0))["raw_line"]
-    obj = parse_json_object(trim_blanks(first))
-
-    def member(name: str) -> Column:
-        return F.element_at(obj, F.lit(name))
-
-    return F.when(
-        obj.isNotNull(),
-        F.struct(
-            parse_timestamp(member("timestamp"), "report", ctx.tz).alias("time"),
-            member("app_name").alias("app"),
-            member("bug_type").alias("bug"),
-            member("incident_id").alias("incident"),
-            member("os_version").alias("os"),
-        ),
-    )
+
+    def read(obj: Column) -> Column:
+        def member(name: str) -> Column:
+            return F.element_at(obj, F.lit(name))
+
+        return F.when(
+            obj.isNotNull(),
+            F.struct(
+                parse_timestamp(member("timestamp"), "report", ctx.tz).alias("time"),
+                member("app_name").alias("app"),
+                member("bug_type").alias("bug"),
+                member("incident_id").alias("incident"),
+                member("os_version").alias("os"),
+            ),
+        )
+
+    return once(trim_blanks(first), lambda text: once(parse_json_object(text), read))
 
 
 def _ips_title(header: Column) -> Column:
@@ -72,7 +75,7 @@ def _score_ips(sample: Sample) -> Column:
     return F.when(hit, F.lit(0.95)).otherwise(F.lit(0.0))
 
 
-IPS = LogFormat("ips", _score_ips, _parse_ips, header=_ips_header, title=_ips_title)
+IPS = LogFormat("ips", _score_ips, _parse_ips, header=_ips_header, title=_ips_title, header_lines=1)
 
 
 def _diag_header(head: Column, ctx: ParseContext) -> Column:
@@ -107,4 +110,4 @@ def _score_diag(sample: Sample) -> Column:
     return F.when(hit, F.lit(0.9)).otherwise(F.lit(0.0))
 
 
-DIAG = LogFormat("diag", _score_diag, _parse_diag, header=_diag_header)
+DIAG = LogFormat("diag", _score_diag, _parse_diag, header=_diag_header, header_lines=DIAG_HEADER_LINES)

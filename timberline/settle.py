@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     before it, which takes exponential time and memory when planning a filter or join on top.
     """
     return df.withColumns({name: settle(column) for name, column in columns.items()})
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
