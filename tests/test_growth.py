@@ -15,3 +15,20 @@ def test_report_headers_are_read_once(spark):
     assert plan.count("from_json(") == 2
     # Only the first line of a report is looked at.
     assert "<= 50" not in plan
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    from timberline.sources import read_log_lines
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(key)
+    for i in range(40):
+        (tmp_path / f"file={i}").mkdir()
+        (tmp_path / f"file={i}" / "a.txt").write_text("one\ntwo\n")
+    assert read_log_lines(spark, f"{tmp_path}/file=*").count() == 80
+    assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+    # A number that somebody sets stays.
+    spark.conf.set(key, "7")
+    read_log_lines(spark, f"{tmp_path}/file=*")
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.session import list_in_few_tasks
+
 # File kinds and report name prefixes.
 REPORT_EXTENSIONS = ["ips", "crash", "diag", "spin", "hang"]
 SPIN_PREFIXES = ["Spin", "StackShot", "Hang"]
@@ -32,6 +34,7 @@ def log_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     log and report files, newest first. Contents are not read. ``source_id`` is what lines read
     from the file carry.
     """
+    list_in_few_tasks(spark)
     files = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
     return (

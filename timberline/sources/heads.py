@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.session import list_in_few_tasks
 from timberline.sources.bytes import first_lines
 
 HEADS = "source_id string, line_number long, raw_line string"
@@ -15,6 +16,7 @@ HEADS = "source_id string, line_number long, raw_line string"
 
 def file_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, source_id, size)`` of files; contents are not read, and tasks follow file sizes."""
+    list_in_few_tasks(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("_metadata.file_path").alias("source_id"), F.col("length").alias("size"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.session import stage
+from timberline.session import list_in_few_tasks, stage
 from timberline.sources.bytes import read_range
 from timberline.sources.heads import file_list
 
@@ -290,6 +290,7 @@ def read_json_array(spark: SparkSession, path: str | list[str], block: int = BLO
 
 def _unpacked(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Objects of gzip files, each read by one task: they can't be entered midway."""
+    list_in_few_tasks(spark)
     whole = spark.read.option("pathGlobFilter", "*.gz").text(path, wholetext=True)
     text = whole.select(F.col("_metadata.file_path").alias("source_id"), F.trim("value").alias("_text"))
     envelope = F.from_json("_text", "map<string,string>")

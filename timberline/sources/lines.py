@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.session import list_in_few_tasks
+
 _MASK = (1 << 33) - 1
 #: The block table is sent to all tasks up to so many rows of five longs (40 MB); beyond, lines are joined to it.
 SENT_BLOCKS = 1_000_000
@@ -36,6 +38,7 @@ def read_log_lines(spark: SparkSession, path: str | list[str], keep_empty: bool
     move, up to ``SENT_BLOCKS``; their number is bounded before anything runs. Gzip files are one block.
     """
     _pin_splits(spark)
+    list_in_few_tasks(spark)
     text = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_id"),
         F.col("_metadata.file_block_start").alias("_block"),
