@@ -32,3 +32,25 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     read_log_lines(spark, f"{tmp_path}/file=*")
     assert spark.conf.get(key) == "7"
     spark.conf.unset(key)
+
+
+def test_live_log_sorts_a_batch_once_and_parses_one_format(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from timberline.streaming import live
+
+    sorts, kinds = [], []
+    sort, parse = live.number_sorted, live.parse_logs
+    monkeypatch.setattr(live, "number_sorted", lambda *a, **k: (sorts.append(a[4]), sort(*a, **k))[1])
+    monkeypatch.setattr(live, "parse_logs", lambda *a, **k: (kinds.append(a[1]), parse(*a, **k))[1])
+    log = live.LiveLog(f"{tmp_path}/log", lambda: [F.col("raw_line")], format="plain")
+    for batch in range(2):
+        rows = [("a", f"2024-01-01 00:00:0{i} INFO [c] {batch}") for i in range(3)] + [("b", "x")]
+        log(spark.createDataFrame(rows, "source_id string, raw_line string"), batch)
+    assert sorts == ["batch", "batch"] and kinds == ["plain", "plain"]
+    rows = sorted((r.entry_id, r.line_number, r.source_id) for r in log.rows(spark).collect())
+    assert [r[:2] for r in rows] == [(i, i + 1) for i in range(8)]
+    # A source keeps the format it had, whatever is named later.
+    other = live.LiveLog(f"{tmp_path}/log", lambda: [F.col("raw_line")], format="json")
+    other(spark.createDataFrame([("a", "2024-01-01 00:00:09 ERROR [c] late")], "source_id string, raw_line string"), 2)
+    assert kinds[-1] == "column" and log.rows(spark).where("line_number = 9").first().level == 4

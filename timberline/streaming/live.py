@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.formats import detect_format, parse_logs
+from timberline.formats import detect_format, formats, parse_logs
 from timberline.operators.histogram import peak_shadows, retain_peaks, spikes
 from timberline.operators.ordered import number_rows, number_sorted
 from timberline.schema import ERROR, WARNING
@@ -167,6 +167,8 @@ class LiveHistogram:
 
 #: Held lines get places below those of a batch by so much; no batch has more lines.
 HELD_FIRST = 1 << 60
+#: Lines of a source that a task numbers, and then parses, together.
+NUMBER_WIDTH = 1 << 16
 
 
 class LiveLog:
@@ -211,10 +213,16 @@ class LiveLog:
         if self.order:
             lines = number_sorted(lines, self.order(), "_at", 0, "batch")
         # Held lines come before this batch's: their places are below zero.
-        if batch > 0:
-            held = spark.read.parquet(self._path("held", batch - 1))
+        held = spark.read.parquet(self._path("held", batch - 1)) if batch > 0 else None
+        if held is not None and held.isEmpty():
+            held = None
+        if held is not None:
             lines = held.withColumn("_at", F.col("_at") - HELD_FIRST).unionByName(lines, allowMissingColumns=True)
-        waiting = number_sorted(lines, [F.col("_at")], "_n", 0, "waiting")
+        if self.order and held is None:
+            # Sorted, staged and numbered from 0 already.
+            waiting = lines.withColumn("_n", F.col("_at"))
+        else:
+            waiting = number_sorted(lines, [F.col("_at")], "_n", 0, "waiting")
         total = waiting.count()
         if self.paused():
             over = 0 if self.capacity is None else max(0, total - self.capacity)
@@ -236,8 +244,9 @@ class LiveLog:
         past = spark.createDataFrame([], schema)
         if known >= 0:
             past = spark.read.parquet(self._path("sources", known)).select(*past.columns)
-        own = number_rows(lines, "entry_id", "line_number", keys=["source_id"])
-        now = own.groupBy("source_id").agg(F.count("*").alias("_now"))
+        own = number_rows(lines, "entry_id", "line_number", keys=["source_id"], width=NUMBER_WIDTH)
+        # Counted without their numbers.
+        now = lines.groupBy("source_id").agg(F.count("*").alias("_now"))
         if self.format:
             now = now.withColumn("_format", F.lit(self.format))
         else:
@@ -250,9 +259,12 @@ class LiveLog:
             (F.coalesce("lines", F.lit(0)) + F.coalesce("_now", F.lit(0))).cast("long").alias("lines"),
             F.coalesce("lines", F.lit(0)).cast("long").alias("_past"),
         ).write.mode("overwrite").parquet(path)
-        placed = own.drop("format").join(spark.read.parquet(path), "source_id", "left")
+        sources = spark.read.parquet(path)
+        placed = own.drop("format").join(sources, "source_id", "left")
         placed = placed.withColumn("line_number", F.col("line_number") + F.col("_past")).drop("lines", "_past")
-        parsed = parse_logs(placed, "column", self.tz, self.now)
+        # If all sources have the format that was named, first lines and the other formats aren't needed.
+        named = any(f.name == self.format for f in formats()) and sources.where(~F.col("format").eqNullSafe(self.format)).isEmpty()
+        parsed = parse_logs(placed, self.format if named else "column", self.tz, self.now)
         # A report's title isn't a line: it has no number.
         return parsed.withColumn("line_number", F.coalesce(F.col("entry_id") + 1, F.col("line_number")))
 
