@@ -151,3 +151,37 @@ def test_trees_pair_all_widths():
     assert {(0, 1), (0, 2)} <= pairs
     across = candidate_pairs([signature(s) for s in sets], sizes, 20, np.array([0, 1, 1]))
     assert {(0, 1), (0, 2)} <= {tuple(sorted(p)) for p in across.tolist()}
+
+
+def test_first_round_grows_with_members(spark, monkeypatch):
+    """A wide root's first round gives out a few pairs for each member, however many tiles it has."""
+    monkeypatch.setattr(module, "TILE", 8)
+    rng = np.random.default_rng(7)
+    tokens = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+    rows = [(5, 240, i, i, len(tokens), signature(tokens), [5]) for i in range(240)]
+    members = spark.createDataFrame(rows, "root long, m long, id long, part long, n long, bits binary, roots array<long>")
+    pairs = module._tree_candidates(members, 80, module.FIRST).collect()
+    assert 0 < len(pairs) <= module.FIRST * len(rows)
+    assert module._tree_candidates(members, 80).count() == 240 * 239 // 2
+
+
+def test_packed_keys(spark, monkeypatch):
+    """Packed keys give the classes of each key of several, and name those that a batch doesn't pack whole."""
+    for name, value in (("PACKED", 3), ("BUCKET", 16)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(8)
+    rows = [((i % 3 << 33) + 40 * i, sorted({*rng.integers(0, 1 << 48, 20).tolist(), *rng.integers(0, 60, 2).tolist(), *[99] * (i % 7 == 0)})) for i in range(90)]
+    rows += [(7, []), (11, [99])]
+    leaves = spark.createDataFrame(rows, "id long, keys array<long>").repartition(3)
+    of = {}
+    for i, keys in rows:
+        for k in keys:
+            of.setdefault(k, set()).add(i)
+    got = module._shared_keys(leaves, 2000).collect()
+    cut = {r.key for r in got if r.a < 0}
+    assert all(len(of[k]) > 3 for k in cut) and 99 in cut
+    assert {(r.key, r.a, r.b) for r in got if r.b >= 0} == {(k, min(x), max(x)) for k, x in of.items() if len(x) == 2}
+    more = sorted((r.key, r.a) for r in got if r.a >= 0 and r.b < 0)
+    assert more == sorted((k, i) for k, x in of.items() if len(x) > 2 and k not in cut for i in x)
+    ids = np.sort(rng.integers(0, 10_000, 4000))
+    assert (module._from_planes(module._planes(ids)) == ids).all()

@@ -11,8 +11,11 @@ chance or through a passage alone. Small sets use their first tokens instead (pr
 
 Below a root, leaves are class signatures, inner nodes OR-ed bitmaps with size ranges. Dual traversal
 leaves the pairs whose largest possible overlap suffices; roots too wide for a task are dealt out as
-pairs of tiles. Candidates are then checked on their full sets. Wide roots first link their members to
-a pivot, and what is connected by then isn't compared again: links only matter for components.
+pairs of tiles. Candidates are then checked on their full sets. Wide roots first compare a few pairs of
+neighbours, and what is connected by then isn't compared again: links only matter for components.
+
+Nearly all keys occur once. Keys go to their buckets packed, a batch of classes at a time, and only
+those of several classes come out as rows.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ PER_GROUP = 1.2
 _LEVEL = np.uint64(0xD6E8FEB86659FD93)
 #: Members in a tile of a root, and from how many members on a root has pivots first.
 TILE, WIDE = 512, 64
-#: Pairs of a member that a wide root gives out in the first round.
-FIRST = 4
+#: Wide roots of a class that take part in the first round, and pairs of a member that each then gives out.
+ROOTS, FIRST = 4, 4
+#: Keys are so many bits long; keys of different groups that are equal by chance only make a candidate more.
+KEY_BITS = 48
+#: Keys in a bucket, about, and classes with one key that a batch packs; keys of more are listed by a join.
+BUCKET, PACKED = 1 << 18, 64
 #: Numbers of roots with two members begin here.
 TWOS = 1 << 62
 #: Partners of one text that a task checks.
@@ -77,14 +84,14 @@ def set_keys(tokens: np.ndarray, percent: int, plain_for: np.ndarray) -> tuple[n
     most = n * 100 // percent  # the size of the largest similar set
     keys, short = [], False
     if not grouped or n < GROUPED_FROM or ((100 * plain_for >= percent * n) & (100 * n >= percent * plain_for)).any():
-        keys.append(tokens[: n - -(-percent * n // 100) + 1])
+        keys.append(mix(tokens[: n - -(-percent * n // 100) + 1]))
     if grouped and most >= GROUPED_FROM:
         wanted = differing(n, percent) + 1
         for level in range(_level(max(n, GROUPED_FROM)), _level(most) + 1):
             found, there = group_keys(tokens, level, wanted)
             keys.append(found)
             short |= there < wanted
-    return np.unique(np.concatenate(keys)), short
+    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS)), short
 
 
 def _described(docs: DataFrame, size: int, percent: int, plain_for: list[int]) -> DataFrame:
@@ -139,19 +146,101 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield carry
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as eight rows of bytes, which compress where neighbours have leading bytes in common."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers start, and their lengths."""
+    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return start, np.diff(np.append(start, len(ordered)))
+
+
+def _shared_keys(leaves: DataFrame, about: int) -> DataFrame:
+    """Keys of several classes: (key, a, b) for a key of these two, (key, a, -1) for each class of a key
+    of more, (key, -1, -1) for a key that some batch had too many classes of to pack them all.
+
+    ``leaves``: a row per class, id and keys (distinct). ``about``: how many keys there may be in all.
+    """
+    buckets = 1 << max(6, (about // BUCKET).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            if not len(key):
+                continue
+            id_ = np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy())
+            order = np.argsort(key, kind="stable")
+            start, size = _runs(key[order])
+            cut = key[order[start[size > PACKED]]]
+            keep = np.ones(len(key), bool)
+            keep[order[np.arange(len(key)) - np.repeat(start, size) >= PACKED]] = False
+            key, id_ = key[keep], id_[keep]
+            bucket = key & (buckets - 1)
+            order = np.argsort(bucket, kind="stable")
+            bucket, key, id_ = bucket[order], key[order], id_[order]
+            start, size = _runs(bucket)
+            bounds = list(zip(start.tolist(), (start + size).tolist()))
+            of_cut = {x: cut[cut & (buckets - 1) == x] for x in np.unique(cut & (buckets - 1)).tolist()}
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(bucket[start], pa.int64()),
+                    "keys": pa.array([_planes(key[x:y]) for x, y in bounds], pa.binary()),
+                    "ids": pa.array([_planes(id_[x:y]) for x, y in bounds], pa.binary()),
+                    "cut": pa.array([_planes(of_cut[x]) if x in of_cut else b"" for x in bucket[start].tolist()], pa.binary()),
+                }
+            )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["bucket"]):
+            key, id_, cut = (
+                np.concatenate([_from_planes(x) for x in group.column(c).to_pylist()]) for c in ("keys", "ids", "cut")
+            )
+            order = np.lexsort((id_, key))
+            key, id_ = key[order], id_[order]
+            start, size = _runs(key)
+            packed = ~np.isin(key[start], cut)
+            two = start[packed & (size == 2)]
+            more = np.flatnonzero(np.repeat(packed & (size > 2), size))
+            cut = np.unique(cut)
+            none = np.full(len(more) + len(cut), -1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "key": pa.array(np.concatenate((key[two], key[more], cut)), pa.int64()),
+                    "a": pa.array(np.concatenate((id_[two], id_[more], none[: len(cut)])), pa.int64()),
+                    "b": pa.array(np.concatenate((id_[two + 1], none)), pa.int64()),
+                }
+            )
+
+    packed = leaves.select("id", "keys").mapInArrow(pack, "bucket long, keys binary, ids binary, cut binary")
+    tasks = max(leaves.sparkSession.sparkContext.defaultParallelism, buckets // 4)
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(read, "key long, a long, b long")
+
+
 def _tree_candidates(members: DataFrame, percent: int, first: int | None = None) -> DataFrame:
     """(a, b): pairs of classes below a root that no tree rules out and that aren't connected yet.
 
     ``members``: root, m (its members), id, part (what it is connected to), n, bits, roots (the wide roots
     of the class). A root with more than a tile of members is dealt out as pairs of tiles. A pair that shares
-    wide roots is given out by the smallest of these and by no other. With ``first``, a wide root gives
-    out no more than so many pairs for each member: a first round, to connect most of them.
+    wide roots is given out by the smallest of these and by no other. With ``first``, a tile of a wide root
+    is compared with itself alone and gives out no more than so many pairs for each member, for so many wide
+    roots of a class: a first round, to connect most of them, whose work grows with the members.
     """
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)).cast("int")
+    own = F.pmod(F.xxhash64("id", "root"), F.ceil(F.col("m") / TILE)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    if first is not None:
+        members = members.where((F.col("m") <= WIDE) | F.array_contains(F.slice("roots", 1, ROOTS), F.col("root")))
+        other = F.when(F.col("m") > WIDE, F.col("own")).otherwise(0)
     dealt = (
         members.withColumns({"tiles": tiles, "own": own})
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumn("other", other)
         .select(
             "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "part", "n", "bits", "roots",
@@ -169,9 +258,11 @@ def _tree_candidates(members: DataFrame, percent: int, first: int | None = None)
             pairs = candidate_pairs(group.column("bits").to_pylist(), n, percent, across)
             pairs = pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]
             wide = group.column("wide")[0].as_py()
-            pairs = pairs[~_share_below(group.column("roots"), group.column("root")[0].as_py() if wide else TWOS, pairs)]
-            if wide and first is not None:
-                pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+            if not wide or first is None:
+                pairs = pairs[~_share_below(group.column("roots"), group.column("root")[0].as_py() if wide else TWOS, pairs)]
+            else:
+                # Any partners, not the first by size: those that turn out not to be alike differ from member to member.
+                pairs = pairs[np.lexsort((np.random.default_rng(len(pairs)).random(len(pairs)), pairs[:, 1]))]
                 pairs = pairs[np.arange(len(pairs)) - np.searchsorted(pairs[:, 1], pairs[:, 1]) < first]
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
@@ -207,21 +298,22 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 def _linked(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The ``pairs`` (staged) of classes whose full sets are similar; texts of no other rows are read
-    again. ``leaves``: a class (id) and the document that stands for it.
+    again. ``leaves``: a class (id), the document that stands for it and its digest.
 
     A text's set is sent to its partners' side once for each pair, dealt out so that no task checks
     more than a bounded number of partners for one text. Other texts of a repeated doc_id that are
-    read with it are classes of their own and meet no pair, or theirs.
+    read with it have other digests.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    of = stage(leaves.select("id", "doc_id").join(ids, "id", "left_semi").select(F.col("doc_id").alias("doc")).distinct(), "ids")
-    named = docs.join(checked_broadcast(of), F.col("doc_id") == F.col("doc"), "left_semi")
+    of = stage(leaves.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("doc"), "d1"), "ids")
+    named = docs.join(checked_broadcast(of), F.col("doc_id") == F.col("doc")).select("id", "d1", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shingle_sets(batch.column("text").to_pylist(), size)
-            ids = pa.array([_digest(s)[0] for s in found], pa.int64())
-            yield pa.RecordBatch.from_pydict({"id": ids, "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
+            rows = zip(batch.column("id").to_pylist(), batch.column("d1").to_pylist(), found)
+            own = [(i, s.tobytes()) for i, d, s in rows if _digest(s)[0] == d]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in own], pa.int64()), "tokens": pa.array([s for _, s in own], pa.binary())})
 
     tokens = stage(named.mapInArrow(sets, "id long, tokens binary"), "sets")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
@@ -261,27 +353,31 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     compared by 64-bit token hashes, and told apart by 64 bits of their digest. An empty table gives no rows.
     """
     texts = narrow(docs, id_col, text_col)
-    rows = stage(_described(texts, size, percent, []), "described")
+
+    def described(plain_for: list[int]) -> DataFrame:
+        return stage(_described(texts, size, percent, plain_for).withColumn("id", F.monotonically_increasing_id()), "described")
+
+    rows = described([])
     # Hash groups of a set may by rare chance be too few to be sure of a common key.
     few = [r["n"] for r in rows.where("few").select("n").distinct().collect()]
     if few:
-        rows = stage(_described(texts, size, percent, few), "described")
+        rows = described(few)
     named = rows.where("doc_id is not null and n > 0")
-    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    many = stage(classes.where("copies > 1").select("d1", "d2", F.col("id").alias("first")), "copies")
-    # A class is named by its digest and stands in its first document; copies drop out here. A doc_id
-    # that is repeated with another text is in several classes.
-    of = named.join(checked_broadcast(many), ["d1", "d2"], "left").where("first is null or first = doc_id")
-    leaves = of.select(F.col("d1").alias("id"), "doc_id", "n", "bits", "keys")
-    keys = leaves.select("id", F.explode("keys").alias("key"))
-    # Most keys have one class, and most others two, which are known from here.
-    shared = (
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    )
-    shared = stage(shared, "keys")
-    pairs = shared.where("m = 2").select("low", "high").distinct()
-    longer = shared.where("m > 2").select("key")
-    listed = stage(keys.join(checked_broadcast(longer), "key").distinct(), "lists")
+    classes = named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    many = stage(classes.where("copies > 1").select("d1", "d2", "rep", "first"), "copies")
+    # A class stands in its first row, whose number names it; copies drop out here. A doc_id that is repeated
+    # with another text is in several classes.
+    of = named.join(checked_broadcast(many), ["d1", "d2"], "left").where("rep is null or rep = id")
+    leaves = of.select("id", "doc_id", "d1", F.coalesce("first", "doc_id").alias("first"), "n", "bits", "keys")
+    about = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * (100 - percent) // 100
+    # Most keys have one class, and most others two.
+    shared = stage(_shared_keys(leaves, about), "keys")
+    pairs = shared.where("b >= 0").select(F.col("a").alias("low"), F.col("b").alias("high")).distinct()
+    cut = stage(shared.where("a < 0").select("key").distinct(), "cut")
+    listed = shared.where("a >= 0 and b < 0").select("key", F.col("a").alias("id"))
+    if not cut.isEmpty():
+        keys = leaves.select("id", F.explode("keys").alias("key"))
+        listed = listed.union(stage(keys.join(checked_broadcast(cut), "key").select("key", "id"), "lists"))
     # Keys with the same list of classes are one root: by number, ends and hash of the list.
     lists = listed.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark")
@@ -289,37 +385,28 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     roots = lists.groupBy("m", "low", "high", "mark").agg(F.min("key").alias("root")).select(F.col("root").alias("first"), "m")
     roots = stage(stage(roots, "roots").withColumn("root", F.monotonically_increasing_id()), "roots")
     listed = stage(listed.join(checked_broadcast(roots), F.col("key") == F.col("first")).select("root", "m", "id"), "listed")
-    of_class = listed.where(F.col("m") > WIDE).groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
-
     wide = listed.where(F.col("m") > WIDE)
-    pivots = wide.groupBy("root").agg(F.min("id").alias("p"))
-    spokes = stage(wide.join(pivots, "root").where("p < id").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "spokes")
-    links = stage(_linked(spokes, leaves, texts, size, percent), "links")
-    parts = stage(components(links), "parts")
+    of_class = wide.groupBy("id").agg(F.array_sort(F.collect_list("root")).alias("roots"))
 
     # Roots of two come after all others, by a number of their own.
     pairs = stage(pairs, "twos").withColumn("root", F.monotonically_increasing_id() + F.lit(TWOS))
     two = pairs.select("root", F.lit(2).cast("long").alias("m"), F.explode(F.array("low", "high")).alias("id"))
-    facts = leaves.select("id", "n", "bits").dropDuplicates(["id"]).join(of_class, "id", "left")
-    facts = facts.withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
-
-    def members(of: DataFrame, parts: DataFrame) -> DataFrame:
-        named = of.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left")
-        return named.select("root", "m", "id", F.coalesce("component", "id").alias("part")).join(facts, "id")
-
-    def apart(parts: DataFrame) -> DataFrame:
-        """The rows of wide roots whose members aren't all connected yet; the others have nothing to add."""
-        named = wide.join(checked_broadcast(parts), F.col("id") == F.col("node"), "left")
-        ends = named.groupBy("root").agg(*(f(F.coalesce("component", "id")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
-        mixed = stage(ends.where("lo <> hi").select("root"), "apart")
-        return wide.join(checked_broadcast(mixed), "root", "left_semi").select(*listed.columns)
-
-    # First all pairs of narrow roots and a few for each member of wide ones, then what isn't connected by these.
-    narrow_roots = listed.where(F.col("m") <= WIDE)
-    candidates = stage(_tree_candidates(members(narrow_roots.union(two).union(apart(parts)), parts), percent, FIRST), "candidates")
-    links = stage(links.union(_linked(candidates, leaves, texts, size, percent)), "links")
+    below = stage(listed.select("id").union(two.select("id")).distinct(), "below")
+    facts = leaves.select("id", "n", "bits").join(checked_broadcast(below), "id", "left_semi").join(of_class, "id", "left")
+    facts = stage(facts.withColumn("roots", F.coalesce("roots", F.array().cast("array<long>"))), "facts")
+
+    # First all pairs of narrow roots and a few of wide ones, then what isn't connected by these.
+    members = listed.union(two).join(facts, "id").withColumn("part", F.col("id"))
+    candidates = stage(_tree_candidates(members, percent, FIRST), "candidates")
+    links = stage(_linked(candidates, leaves, texts, size, percent), "links")
     found = stage(components(links), "components")
-    rest = _tree_candidates(members(apart(found), found), percent).join(candidates, ["a", "b"], "left_anti")
+
+    # Wide roots whose members are all connected have nothing to add.
+    parts = wide.join(checked_broadcast(found), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    ends = parts.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    apart = stage(ends.where("lo <> hi").select("root"), "apart")
+    members = parts.join(checked_broadcast(apart), "root", "left_semi").select("root", "m", "id", "part").join(facts, "id")
+    rest = _tree_candidates(members, percent).join(candidates, ["a", "b"], "left_anti")
     rest = stage(rest, "candidates")
     if not rest.isEmpty():
         links = stage(links.union(_linked(rest, leaves, texts, size, percent)), "links")
@@ -328,11 +415,12 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     # The smallest class of a component isn't among the nodes. Its smallest doc_id names it.
     heads = found.select(F.col("component").alias("node"), "component").distinct()
     found = stage(found.union(heads), "nodes")
-    first = named.select("d1", "doc_id").join(checked_broadcast(found), F.col("d1") == F.col("node"))
-    first = first.groupBy("component").agg(F.min("doc_id").alias("least"))
+    first = leaves.select("id", "first").join(checked_broadcast(found), F.col("id") == F.col("node"))
+    first = first.groupBy("component").agg(F.min("first").alias("least"))
     found = stage(found.join(first, "component").select("node", "least"), "firsts")
-    all_ = rows.select("doc_id", "n", "d1", "d2").join(checked_broadcast(many), ["d1", "d2"], "left")
-    linked = all_.join(checked_broadcast(found), (F.col("d1") == F.col("node")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
+    all_ = rows.select("doc_id", "n", "d1", "d2", "id").join(checked_broadcast(many), ["d1", "d2"], "left")
+    all_ = all_.withColumn("class", F.coalesce("rep", "id"))
+    linked = all_.join(checked_broadcast(found), (F.col("class") == F.col("node")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first", "doc_id"))
     return linked.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
