@@ -402,10 +402,11 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     found = stage(components(links), "components")
 
     # Wide roots whose members are all connected have nothing to add.
-    parts = wide.join(checked_broadcast(found), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    parts = wide.join(checked_broadcast(found), F.col("id") == F.col("node"), "left")
+    parts = stage(parts.select("root", "m", "id", F.coalesce("component", "id").alias("part")), "parts")
     ends = parts.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
     apart = stage(ends.where("lo <> hi").select("root"), "apart")
-    members = parts.join(checked_broadcast(apart), "root", "left_semi").select("root", "m", "id", "part").join(facts, "id")
+    members = parts.join(checked_broadcast(apart), "root", "left_semi").join(facts, "id")
     rest = _tree_candidates(members, percent).join(candidates, ["a", "b"], "left_anti")
     rest = stage(rest, "candidates")
     if not rest.isEmpty():
