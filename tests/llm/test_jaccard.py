@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import tracemalloc
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import timberline.llm.jaccard as module
@@ -185,3 +188,46 @@ def test_packed_keys(spark, monkeypatch):
     assert more == sorted((k, i) for k, x in of.items() if len(x) > 2 and k not in cut for i in x)
     ids = np.sort(rng.integers(0, 10_000, 4000))
     assert (module._from_planes(module._planes(ids)) == ids).all()
+
+
+def test_memory_goes_by_slices(monkeypatch):
+    """What a task makes of a batch's texts or keys is held for a slice of its rows, not for all of them."""
+    monkeypatch.setattr(module, "TEXT_BYTES", 1 << 18, raising=False)
+    monkeypatch.setattr(module, "KEYS_AT_ONCE", 1 << 14, raising=False)
+    texts = [" ".join(f"{i}.{j}" for j in range(300)) for i in range(2000)] + ["", "x " * 200_000]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    keys = np.random.default_rng(9).integers(0, 1 << 48, 400_000).reshape(4000, 100)
+    leaves = pa.RecordBatch.from_pydict({"id": pa.array(range(4000), pa.int64()), "keys": pa.array(list(keys), pa.list_(pa.int64()))})
+    df = MagicMock()
+    df.select.return_value = df
+    df.sparkSession.sparkContext.defaultParallelism = 4
+    module._described(df, 5, 80, [])
+    module._shared_keys(df, 400_000)
+    described, packed = (c.args[0] for c in df.mapInArrow.call_args_list)
+    for run, batch, most in ((described, docs, 25), (packed, leaves, 3)):
+        tracemalloc.start()
+        made = [[], []]
+        for out in run(iter([batch])):
+            made[0] += out.column("doc_id").to_pylist() if run is described else []
+            made[1] += [len(x) // 8 for x in out.column("ids").to_pylist()] if run is packed else []
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert made[0] == list(range(len(texts))) if run is described else sum(made[1]) == keys.size
+        assert peak < most
+
+
+@pytest.mark.parametrize("most", [1, 300])
+def test_slices_lose_nothing(spark, monkeypatch, most):
+    """Results are the same however small the slices are, rows larger than a slice and empty ones included."""
+    batch = pa.RecordBatch.from_pydict({"text": ["", "ab", None, "x" * 1000, "", "y"] * 50, "keys": [[1] * (k % 7) for k in range(300)]})
+    for column in ("text", "keys"):
+        parts = list(module._parts(iter([batch, batch.slice(7, 0), batch.slice(3, 90)]), column, most))
+        rows = [r for p in parts for r in p.to_pylist()]
+        assert rows == batch.to_pylist() + batch.slice(3, 90).to_pylist()
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(column).to_pylist()) <= most for p in parts)
+    for name in ("TEXT_BYTES", "KEYS_AT_ONCE"):
+        monkeypatch.setattr(module, name, most)
+    rows = corpus(11)
+    sets, component = want(rows)
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {(d, len(sets[d]), component[d]) for d in sets}

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ ROOTS, FIRST = 4, 4
 KEY_BITS = 48
 #: Keys in a bucket, about, and classes with one key that a batch packs; keys of more are listed by a join.
 BUCKET, PACKED = 1 << 18, 64
+#: Bytes of text or of sets, about, and keys that a task works on at once, however many rows a batch has.
+TEXT_BYTES, KEYS_AT_ONCE = 1 << 22, 1 << 19
 #: Numbers of roots with two members begin here.
 TWOS = 1 << 62
 #: Partners of one text that a task checks.
@@ -94,12 +97,30 @@ def set_keys(tokens: np.ndarray, percent: int, plain_for: np.ndarray) -> tuple[n
     return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS)), short
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices (not copies) with at most so much in a column, or one row.
+
+    Much: bytes of texts, entries of lists. A batch holds ten thousand rows, and what a task makes of
+    them is several times as large; a worker keeps most of the memory that it ever had.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        much = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = np.cumsum(pc.fill_null(much, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+            yield batch.slice(start, end - start)
+            start, before = end, ends[end - 1]
+    pa.default_memory_pool().release_unused()
+
+
 def _described(docs: DataFrame, size: int, percent: int, plain_for: list[int]) -> DataFrame:
     """doc_id, the set's size, digest, signature and keys, and whether its groups may be too few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.array(plain_for, np.int64)
-        for batch in batches:
+        for batch in _parts(batches, "text", TEXT_BYTES):
             n, d1, d2, bits, keys, few = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text").to_pylist(), size):
                 digest = _digest(tokens)
@@ -170,7 +191,7 @@ def _shared_keys(leaves: DataFrame, about: int) -> DataFrame:
     buckets = 1 << max(6, (about // BUCKET).bit_length())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, "keys", KEYS_AT_ONCE):
             lists = batch.column("keys")
             key = lists.flatten().to_numpy()
             if not len(key):
@@ -309,7 +330,7 @@ def _linked(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, size: int, per
     named = docs.join(checked_broadcast(of), F.col("doc_id") == F.col("doc")).select("id", "d1", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, "text", TEXT_BYTES):
             found = shingle_sets(batch.column("text").to_pylist(), size)
             rows = zip(batch.column("id").to_pylist(), batch.column("d1").to_pylist(), found)
             own = [(i, s.tobytes()) for i, d, s in rows if _digest(s)[0] == d]
@@ -326,7 +347,7 @@ def _linked(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, size: int, per
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for batch in batches:
+        for batch in _parts(batches, "tokens", TEXT_BYTES):
             a_out, b_out = [], []
             for row in batch.to_pylist():
                 if (row["a"], row["salt"]) != now:
